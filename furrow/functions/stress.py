@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from furrow.config import STRESS_WEIGHTS, StressWeights
-from furrow.functions.scalars import clamp, weighted_present
+from furrow.functions.scalars import clamp, half_up, weighted_present
 
 
 def deficit_score(deficit: Column) -> Column:
@@ -80,14 +80,14 @@ def water_driver(deficit: Column, pr_sum: Column) -> Column:
 
 
 def heat_driver(lst: Column, vpd: Column) -> Column:
-    return (F.when(surface_heat_raw(lst) > 50, F.format_string("High temperature (%.1f°C)", lst))
+    return (F.when(surface_heat_raw(lst) > 50, F.format_string("High temperature (%.1f°C)", half_up(lst, 1)))
             .when(vpd_score(vpd) > 50, "High atmospheric dryness")
             .otherwise("Moderate heat stress"))
 
 
 def vegetation_driver(ndvi: Column) -> Column:
     return (F.when(ndvi.isNull(), "No NDVI data")
-            .otherwise(F.format_string("NDVI %.3f (vegetation vigor)", ndvi)))
+            .otherwise(F.format_string("NDVI %.3f (vegetation vigor)", half_up(ndvi, 3))))
 
 
 def recommendations(overall: Column, water: Column, heat: Column, vegetation: Column,

@@ -53,14 +53,15 @@ def missing_drift(df: DataFrame, columns: Sequence[str] | None = None, limit_pct
     }).filter(F.col("missing_pct") > limit_pct)
 
 
-def drift_report(df: DataFrame, columns: Sequence[str], rows: int = 7, threshold: float = 2.0) -> DataFrame:
+def drift_report(df: DataFrame, columns: Sequence[str], rows: int = 7, threshold: float = 2.0,
+                 group_threshold: float = 2.0) -> DataFrame:
     """The three checks as one table of findings (check, column, fips, mean, z_score, n, missing_pct)."""
     none = F.lit(None)
     temporal = temporal_drift(df, columns, rows, threshold).select(
         F.lit("temporal").alias("check"), "column", none.cast("string").alias("fips"),
         F.col("recent_mean").alias("mean"), "z_score", none.cast("long").alias("n"),
         none.cast("double").alias("missing_pct"), "has_drift")
-    county = group_drift(df, columns, threshold).select(
+    county = group_drift(df, columns, group_threshold).select(
         F.lit("county").alias("check"), "column", "fips", "mean", "z_score", "n",
         none.cast("double").alias("missing_pct"), F.lit(True).alias("has_drift"))
     missing = missing_drift(df, columns).select(

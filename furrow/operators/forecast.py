@@ -64,11 +64,31 @@ def forecast_features(records: DataFrame, keys: Sequence[str] = ("fips", "curren
     return records.groupBy(*keys).agg(*[c.alias(n) for n, c in _features().items()])
 
 
-def running_features(records: DataFrame, keys: Sequence[str] = ("fips",)) -> DataFrame:
-    """The same features for every current week, as running aggregates over the weeks so far."""
-    so_far = Window.partitionBy(*keys).orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
-    return records.select(*keys, F.col("week").alias("current_week"),
-                          *[c.alias(n) for n, c in _features(so_far).items()])
+def running_features(records: DataFrame, keys: Sequence[str] = ("fips",), last_week: int | None = None) -> DataFrame:
+    """The same features for every current week, as running aggregates over the weeks so far.
+
+    With ``last_week`` a week without a record takes the features of the one before.
+    """
+    series = Window.partitionBy(*keys).orderBy("week")
+    so_far = series.rowsBetween(Window.unboundedPreceding, 0)
+    names = {n: c.alias(n) for n, c in _features(so_far).items()}
+    if last_week is None:
+        return records.select(*keys, F.col("week").alias("current_week"), *names.values())
+    upto = F.lead("week").over(series) - 1
+    table = records.select(*keys, "week", upto.alias("__upto"), *names.values())
+    weeks = F.explode(F.sequence("week", F.coalesce("__upto", F.greatest("week", F.lit(last_week)))))
+    return table.select(*keys, weeks.alias("current_week"), *names)
+
+
+def season_records(weekly: DataFrame) -> DataFrame:
+    """Season records of all years from the weekly table, with its real heat-day counts."""
+    return weekly.select(
+        "fips", "year", F.col("week_of_season").alias("week"),
+        F.coalesce("water_deficit_mean", F.lit(0.0)).alias("water_deficit_mean"),
+        F.col("lst_days_above_32").alias("lst_days_above_32C"),
+        F.coalesce("ndvi_mean", F.lit(0.5)).alias("ndvi_mean"),
+        F.coalesce("vpd_mean", F.lit(0.0)).alias("vpd_mean"),
+        F.coalesce("pr_sum", F.lit(0.0)).alias("pr_sum"))
 
 
 def forecast_linear(features: DataFrame, k: ForecastCoefficients = FORECAST) -> DataFrame:

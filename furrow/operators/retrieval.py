@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.config import CHUNKING, PROMPT, Bm25, Chunking, PromptLayout
+from furrow.functions.scalars import half_up
 from furrow.functions.text import fixed_chunks, sentence_chunks, words
 from furrow.operators.topk import best_k, blockwise_topk
 
@@ -202,6 +203,10 @@ def _filled(template: str, *values: Column) -> Column:
     return F.format_string(template, *texts)
 
 
+def _shown(names: tuple[str, ...], digits: int) -> list[Column]:
+    return [half_up(F.col(n), digits) for n in names]
+
+
 def gathered_chunks(hits: DataFrame, layout: PromptLayout = PROMPT) -> DataFrame:
     """Chunk texts of each request in rank order, joined and cut; at most k texts per request."""
     texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda x: x["text"])
@@ -219,11 +224,10 @@ def assemble_prompts(contexts: DataFrame, hits: DataFrame, layout: PromptLayout
     c = contexts.join(gathered_chunks(hits, layout), "request_id", "left")
     county = F.coalesce("county_name", "fips", F.lit("Unknown"))
     live_stress = F.when(F.col("has_stress"), _filled(
-        STRESS_BLOCK, county, F.col("week_start"), F.col("week_of_season"), F.col("overall_stress"),
-        F.col("water_stress"), F.col("heat_stress"), F.col("vegetation_health"), F.col("atmospheric_stress"),
-        F.col("ndvi_raw"), F.col("lst_raw"), F.col("vpd_raw"), F.col("water_raw")))
+        STRESS_BLOCK, county, F.col("week_start"), F.col("week_of_season"), *_shown(tuple(CLIENT_INDICES), 2),
+        *_shown(("ndvi_raw", "lst_raw", "vpd_raw", "water_raw"), 3)))
     live_yield = F.when(F.col("has_yield"), _filled(
-        YIELD_BLOCK, county, F.col("predicted_yield"), F.col("confidence_lower"), F.col("confidence_upper"),
+        YIELD_BLOCK, county, *_shown(("predicted_yield", "confidence_lower", "confidence_upper"), 2),
         F.col("primary_driver")))
     documents = F.when(F.length("context") > 0, F.concat(
         F.lit("\nDOCUMENT CONTEXT (Retrieved from knowledge base):\n"), F.col("context"), F.lit("\n"))

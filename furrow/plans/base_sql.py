@@ -8,8 +8,8 @@ KEYS = "year, week_of_season, fips, county_name"
 
 
 def r6(expr: str) -> str:
-    """Six digits, never a negative zero."""
-    return f"(round({expr}, 6) + 0e0)"
+    """Six digits, half up in decimal arithmetic, as the queries present doubles."""
+    return f"CAST(round(CAST({expr} AS DECIMAL(30, 9)), 6) AS DOUBLE)"
 
 
 def r6s(*names: str) -> str:
@@ -21,8 +21,8 @@ def r9(expr: str) -> str:
     return f"(round({expr}, 9) + 0e0)"
 
 
-def half_up(expr: str) -> str:
-    return f"CAST(round(CAST({expr} AS DECIMAL(24, 8)), 2) AS DOUBLE)"
+def half_up(expr: str, digits: int = 2) -> str:
+    return f"CAST(round(CAST({expr} AS DECIMAL(24, 8)), {digits}) AS DOUBLE)"
 
 
 def clamp(expr: str) -> str:
@@ -121,11 +121,11 @@ SELECT fips, county_name, year, week_start, week_start + 6 AS week_end, week_of_
   CASE WHEN s_def > 60 THEN 'High water deficit' WHEN s_rain > 60 THEN 'Low precipitation'
        ELSE 'Moderate water stress across indicators' END AS water_key_driver,
   {half_up('heat')} AS heat_value, {status('heat')} AS heat_status,
-  CASE WHEN s_lst_raw > 50 THEN format('High temperature ({{:.1f}}°C)', lst_mean)
+  CASE WHEN s_lst_raw > 50 THEN format('High temperature ({{:.1f}}°C)', {half_up('lst_mean', 1)})
        WHEN s_vpd > 50 THEN 'High atmospheric dryness' ELSE 'Moderate heat stress' END AS heat_key_driver,
   {half_up('vegetation')} AS vegetation_value, {status('vegetation')} AS vegetation_status,
   CASE WHEN ndvi_mean IS NULL THEN 'No NDVI data'
-       ELSE format('NDVI {{:.3f}} (vegetation vigor)', ndvi_mean) END AS vegetation_key_driver,
+       ELSE format('NDVI {{:.3f}} (vegetation vigor)', {half_up('ndvi_mean', 3)}) END AS vegetation_key_driver,
   {half_up('atmosphere')} AS atmosphere_value, {status('atmosphere')} AS atmosphere_status,
   'Atmospheric evaporative demand' AS atmosphere_key_driver,
   water, heat, vegetation, atmosphere, overall,

@@ -33,7 +33,7 @@ def present(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), 6)
+            column = F.round(F.round(column.cast("double"), 9), 6)
         elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             column = column.cast("string")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("ingestion", "tables", "quality_checks", "stress_index", "forecasting", "documents")
+MODULES = ("ingestion", "tables", "quality_checks", "stress_index", "forecasting", "documents", "live")
 
 
 def all_queries() -> None:

@@ -8,21 +8,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def clamp(value: Column, low: float = 0.0, high: float = 100.0) -> Column:
-    """Bounded value; a missing value stays missing (greatest and least alone would drop it)."""
-    return F.when(value.isNotNull(), F.greatest(F.lit(low), F.least(F.lit(high), value)))
+def clamp(value: Column, low: float = 0.0, high: float = 100.0, source: Column | None = None) -> Column:
+    """Bounded value; a missing value stays missing (greatest and least alone would drop it).
 
+    ``source`` is the column the value is missing with, where that is simpler to test.
+    """
+    present = (value if source is None else source).isNotNull()
+    return F.when(present, F.greatest(F.lit(low), F.least(F.lit(high), value)))
 
-def half_up(value: Column, digits: int = 2) -> Column:
-    """Decimal rounding that ignores binary noise beyond the eighth digit."""
-    return F.round(F.round(value, 8), digits)
 
+def half_up(value: Column, digits: int = 2, noise: float = 5e-9) -> Column:
+    """Decimal rounding, halves away from zero, that ignores binary noise below ``noise``.
 
-def weighted_present(parts: list[tuple[float, Column]]) -> Column:
-    """Weighted mean of the parts that are present; 0 when none is."""
-    total = reduce(lambda a, b: a + b, [F.coalesce(v * w, F.lit(0.0)) for w, v in parts])
+    Plain arithmetic: the built-in ``round`` goes through a decimal object per value.
+    """
+    scale = 10.0 ** digits
+    return F.signum(value) * F.floor(F.abs(value) * scale + (0.5 + noise * scale)) / scale + 0.0
+
+
+def weighted_present(parts: list[tuple[float, Column, Column]]) -> Column:
+    """Weighted mean of the parts whose input is present; 0 when none is.
+
+    Parts are (weight, value, input): presence is read off the plain input column,
+    so that the value's expression appears once.
+    """
+    total = reduce(lambda a, b: a + b, [F.coalesce(v * w, F.lit(0.0)) for w, v, _ in parts])
     weight = reduce(lambda a, b: a + b,
-                    [F.when(v.isNotNull(), F.lit(w)).otherwise(0.0) for w, v in parts])
+                    [F.when(x.isNotNull(), F.lit(w)).otherwise(0.0) for w, _, x in parts])
     return F.coalesce(F.try_divide(total, weight), F.lit(0.0))
 
 

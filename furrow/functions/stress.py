@@ -13,15 +13,15 @@ from furrow.functions.scalars import clamp, half_up, weighted_present
 
 
 def deficit_score(deficit: Column) -> Column:
-    return clamp(deficit / 6.0 * 100)
+    return clamp(deficit / 6.0 * 100, source=deficit)
 
 
 def rain_score(weekly_sum: Column) -> Column:
-    return clamp((1 - weekly_sum / 7.0 / 4.0) * 100)
+    return clamp((1 - weekly_sum / 7.0 / 4.0) * 100, source=weekly_sum)
 
 
 def demand_score(weekly_sum: Column) -> Column:
-    return clamp(weekly_sum / 7.0 / 8.0 * 100)
+    return clamp(weekly_sum / 7.0 / 8.0 * 100, source=weekly_sum)
 
 
 def surface_heat_raw(celsius: Column) -> Column:
@@ -33,26 +33,25 @@ def surface_heat_raw(celsius: Column) -> Column:
 
 
 def surface_heat_score(celsius: Column) -> Column:
-    raw = surface_heat_raw(celsius)
-    return F.when(raw.isNotNull(), F.least(F.lit(100.0), raw))
+    return F.when(celsius.isNotNull(), F.least(F.lit(100.0), surface_heat_raw(celsius)))
 
 
 def vpd_score(kpa: Column) -> Column:
-    return clamp(kpa / 3.0 * 100)
+    return clamp(kpa / 3.0 * 100, source=kpa)
 
 
 def eto_score(daily: Column) -> Column:
-    return clamp(daily / 10.0 * 100)
+    return clamp(daily / 10.0 * 100, source=daily)
 
 
 def water_index(deficit: Column, pr_sum: Column, eto_sum: Column,
                 w: StressWeights = STRESS_WEIGHTS) -> Column:
-    return weighted_present([(w.deficit, deficit_score(deficit)), (w.rain, rain_score(pr_sum)),
-                             (w.demand, demand_score(eto_sum))])
+    return weighted_present([(w.deficit, deficit_score(deficit), deficit), (w.rain, rain_score(pr_sum), pr_sum),
+                             (w.demand, demand_score(eto_sum), eto_sum)])
 
 
 def heat_index(lst: Column, vpd: Column, w: StressWeights = STRESS_WEIGHTS) -> Column:
-    return weighted_present([(w.surface_heat, surface_heat_score(lst)), (w.dry_air, vpd_score(vpd))])
+    return weighted_present([(w.surface_heat, surface_heat_score(lst), lst), (w.dry_air, vpd_score(vpd), vpd)])
 
 
 def vegetation_index(ndvi: Column) -> Column:
@@ -64,13 +63,13 @@ def vegetation_index(ndvi: Column) -> Column:
 
 
 def atmospheric_index(vpd: Column, eto: Column, w: StressWeights = STRESS_WEIGHTS) -> Column:
-    return weighted_present([(w.air_vpd, vpd_score(vpd)), (w.air_eto, eto_score(eto))])
+    return weighted_present([(w.air_vpd, vpd_score(vpd), vpd), (w.air_eto, eto_score(eto), eto)])
 
 
 def composite_index(water: Column, heat: Column, vegetation: Column, atmosphere: Column,
                     w: StressWeights = STRESS_WEIGHTS) -> Column:
-    return clamp(water * w.water + heat * w.heat + vegetation * w.vegetation
-                 + atmosphere * w.atmosphere)
+    total = water * w.water + heat * w.heat + vegetation * w.vegetation + atmosphere * w.atmosphere
+    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
 
 
 def water_driver(deficit: Column, pr_sum: Column) -> Column:

@@ -12,8 +12,13 @@ from furrow.functions.calendar import season_end, season_start, with_calendar
 
 
 def county_dim(df: DataFrame, order: str = "date") -> DataFrame:
-    """One name per county; the name seen last wins."""
-    return df.groupBy("fips").agg(F.max_by("county_name", F.struct(order, "county_name")).alias("county_name"))
+    """One name per county; the name seen last wins.
+
+    Spellings are counted off first, so the step that picks one only sees a few rows per county.
+    """
+    spellings = df.groupBy("fips", "county_name").agg(F.max(order).alias("last_seen"))
+    return spellings.groupBy("fips").agg(
+        F.max_by("county_name", F.struct("last_seen", "county_name")).alias("county_name"))
 
 
 def season_grid(counties: DataFrame, first_year: int, last_year: int) -> DataFrame:
@@ -33,23 +38,25 @@ def in_bbox(df: DataFrame, west: float, south: float, east: float, north: float)
     return df.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
 
 
-def zonal_stats(pixels: DataFrame, indicator: str, keys: Sequence[str] = ("date", "fips"),
+def zonal_stats(pixels: DataFrame, indicator: str, keys: Sequence[str] = ("date", "fips", "county_name"),
                 code: int = 1) -> DataFrame:
     """Observation table of one indicator: mean, population std, min, max of masked pixels."""
     value = F.col(indicator)
     return pixels.filter(crop_mask(code=code) == 1).groupBy(*keys).agg(
-        F.min("county_name").alias("county_name"), F.avg(value).alias("mean"),
-        F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+        F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
 
 
 def zonal_table(pixels: DataFrame, indicators: Sequence[str] = PIXEL_INDICATORS,
                 keys: Sequence[str] = ("date", "fips"), code: int = 1) -> DataFrame:
-    """Mean and population std of several indicators in one pass over the pixels, plus the deficit."""
+    """Mean and population std of several indicators in one pass over the pixels.
+
+    Partitioned by date and county like the grid, so the merge shuffles only the grid.
+    """
     stats = []
     for name in indicators:
         stats += [F.avg(name).alias(f"{name}_mean"), F.stddev_pop(name).alias(f"{name}_std")]
-    return pixels.filter(crop_mask(code=code) == 1).groupBy(*keys).agg(
-        F.min("county_name").alias("county_name"), *stats)
+    return pixels.filter(crop_mask(code=code) == 1).groupBy(*keys).agg(*stats)
 
 
 def with_deficit(df: DataFrame) -> DataFrame:

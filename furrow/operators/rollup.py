@@ -7,18 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.config import INDICATORS
+from furrow.config import INDICATORS, SEASON
 from furrow.functions import bands
-from furrow.functions.calendar import week_start
+from furrow.functions.calendar import week_start, with_calendar
 from furrow.functions.scalars import half_up, suffix_cols
 
 WEEK_KEYS = ("year", "week_of_season", "fips", "county_name")
 
 
-def weekly(daily: DataFrame, totals: bool = True) -> DataFrame:
-    """County weeks: mean of the means, root mean square of the stds, and the weekly totals."""
-    stats = [F.avg(c).alias(c) for c in suffix_cols(daily, "_mean")]
-    stats += [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in suffix_cols(daily, "_std")]
+def _week_stats(df: DataFrame, totals: bool) -> list[Column]:
+    stats = [F.avg(c).alias(c) for c in suffix_cols(df, "_mean")]
+    stats += [F.sqrt(F.avg(F.col(c) * F.col(c))).alias(c) for c in suffix_cols(df, "_std")]
     if totals:
         stats += [
             F.sum("pr_mean").alias("pr_sum"), F.sum("eto_mean").alias("eto_sum"),
@@ -27,13 +26,38 @@ def weekly(daily: DataFrame, totals: bool = True) -> DataFrame:
             F.max("lst_mean").alias("lst_max"), F.max("vpd_mean").alias("vpd_max"),
             F.count_if(F.col("lst_mean") > 32).alias("lst_days_above_32"),
         ]
-    table = daily.dropna(subset=list(WEEK_KEYS)).groupBy(*WEEK_KEYS).agg(*stats)
+    return stats
+
+
+def _week_table(table: DataFrame) -> DataFrame:
     values = [c for c in table.columns if c not in WEEK_KEYS]
     ordered = [f"{n}_{s}" for n in INDICATORS for s in ("mean", "std") if f"{n}_{s}" in values]
     return table.withColumn("week_start", week_start(F.col("year"), F.col("week_of_season"))).select(
         "week_start", *WEEK_KEYS, *ordered, *[c for c in values if c not in ordered])
 
 
+def weekly(daily: DataFrame, totals: bool = True) -> DataFrame:
+    """County weeks: mean of the means, root mean square of the stds, and the weekly totals."""
+    return _week_table(daily.dropna(subset=list(WEEK_KEYS)).groupBy(*WEEK_KEYS).agg(*_week_stats(daily, totals)))
+
+
+def weekly_from_observations(obs: DataFrame, counties: DataFrame, first_year: int, last_year: int) -> DataFrame:
+    """The weekly table of an unfilled daily grid, without building the grid.
+
+    Days without observations add nothing to a week, so the observations are
+    rolled up first and completed to all weeks afterwards: the merge handles week
+    rows, a seventh of the days.
+    """
+    keys = ["fips", "year", "week_of_season"]
+    rolled = with_calendar(obs).groupBy(*keys).agg(*_week_stats(obs, totals=True))
+    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
+    weeks = F.explode(F.sequence(F.lit(1), F.lit(SEASON.weeks)))
+    all_weeks = counties.dropna().select("fips", "county_name", years.alias("year")).select(
+        "*", weeks.alias("week_of_season"))
+    table = all_weeks.join(rolled, keys, "left")
+    return _week_table(table.fillna(0, subset=["lst_days_above_32"]))
+
+
 def climatology(daily: DataFrame) -> DataFrame:
     """Normals per season week and county over all days and years, with sample std."""
     stats = [f(f"{n}_mean").alias(f"{n}_mean_{label}") for n in INDICATORS

@@ -214,7 +214,10 @@ def rrf_fuse(spark, sf):
     return retrieval.rrf(lexical, near)
 
 
-@query("embed_chunks", FIXED + "\n--\nSELECT doc_id, chunk_index, 256 AS dim, 1e0 AS norm FROM fixed")
+@query("embed_chunks", FIXED + """
+--
+SELECT doc_id, chunk_index, 256 AS dim, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1e0 ELSE 0e0 END AS norm
+FROM fixed""")
 def embed_chunks(spark, sf):
     """Unit vectors of all chunks; the summary columns check length and support."""
     embedded, _ = retrieval.embed(fixed(spark, sf))

@@ -35,8 +35,8 @@ def county_code(key: Column) -> Column:
 
 def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem")
-    counties = table(spark, sf_dir, "supplier")
-    return lines.join(counties, lines.l_suppkey == counties.s_suppkey).select(
+    areas = table(spark, sf_dir, "supplier")
+    return lines.join(areas, lines.l_suppkey == areas.s_suppkey).select(
         F.to_date("l_shipdate").alias("date"), county_code(F.col("s_suppkey")).alias("fips"),
         F.col("s_name").alias("county_name"), F.col("s_nationkey").alias("nation"),
         "l_orderkey", "l_linenumber", "l_suppkey",
@@ -63,17 +63,22 @@ def indicator(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return grid.zonal_stats(season_pixels(spark, sf_dir), name).withColumn("mask_year", F.year("date"))
 
 
-def season_grid(obs: DataFrame) -> DataFrame:
-    return grid.season_grid(grid.county_dim(obs), FIRST_YEAR, LAST_YEAR)
+def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counties with observations."""
+    return grid.county_dim(season_pixels(spark, sf_dir).filter(grid.crop_mask() == 1))
+
+
+def season_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.season_grid(counties(spark, sf_dir), FIRST_YEAR, LAST_YEAR)
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = observations(spark, sf_dir)
-    return grid.daily_from_wide(season_grid(obs), obs)
+    return grid.daily_from_wide(season_grid(spark, sf_dir), observations(spark, sf_dir))
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapped(rollup.weekly(daily(spark, sf_dir)))
+    return snapped(rollup.weekly_from_observations(
+        observations(spark, sf_dir), counties(spark, sf_dir), FIRST_YEAR, LAST_YEAR))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,13 +97,13 @@ def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chat requests: every user turn, dealt to the counties; some carry values of the client."""
-    counties = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
+    known = table(spark, sf_dir, "supplier").agg(F.count("*")).scalar()
     turns = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
     conv, turn = F.col("conv_id"), F.col("turn")
     sent = conv % 3 == 0
     return turns.select(
         (conv * 1000 + turn).alias("request_id"), F.col("text").alias("message"),
-        F.when(conv % 11 != 10, county_code(conv % counties)).alias("fips"),
+        F.when(conv % 11 != 10, county_code(conv % known)).alias("fips"),
         F.when(turn % 4 != 3, ((conv * 7 + turn * 3) % 31).cast("int")).alias("week"),
         (conv % 7 != 6).alias("include_live_data"),
         F.when(sent, (conv % 100).cast("double")).alias("overall_stress"),

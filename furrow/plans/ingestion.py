@@ -164,7 +164,7 @@ SELECT nation, year(date) AS year, {r6('avg(eto)')} AS mean, {r6('stddev_pop(eto
   {r6('max(eto)')} AS max FROM px WHERE crop_class = 1 AND month(date) BETWEEN 5 AND 10 GROUP BY nation, year(date)""")
 def spatial_stats(spark, sf):
     yearly = d.season_pixels(spark, sf).withColumn("year", F.year("date"))
-    return grid.zonal_stats(yearly, "eto", keys=("nation", "year")).drop("county_name")
+    return grid.zonal_stats(yearly, "eto", keys=("nation", "year"))
 
 
 def _raw(spark, sf, name, encode):

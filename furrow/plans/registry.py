@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from furrow.functions.scalars import half_up
 from furrow.plans.base_sql import with_base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,7 +34,7 @@ def present(df: DataFrame) -> DataFrame:
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DoubleType, T.FloatType)):
-            column = F.round(F.round(column.cast("double"), 9), 6)
+            column = half_up(column.cast("double"), 6, noise=5e-10)
         elif isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
             column = column.cast("string")
         elif isinstance(kind, (T.IntegerType, T.ShortType, T.ByteType)):

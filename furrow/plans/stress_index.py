@@ -29,12 +29,10 @@ for _name, _part in (("water_stress", "water"), ("heat_stress", "heat"), ("veget
     _index(_name, _part)
 
 
-@query("stress_status", f"SELECT {KEY_SQL}, overall_status, count(*) OVER (PARTITION BY overall_status) AS peers FROM scored")
+@query("stress_status", f"SELECT {KEY_SQL}, overall_status FROM scored")
 def stress_status(spark, sf):
-    labelled = stress.with_indices(d.weekly(spark, sf)).select(
+    return stress.with_indices(d.weekly(spark, sf)).select(
         *KEYS, bands.stress_status(F.col("overall")).alias("overall_status"))
-    sizes = labelled.groupBy("overall_status").agg(F.count("*").alias("peers"))
-    return labelled.join(sizes, "overall_status").select(*KEYS, "overall_status", "peers")
 
 
 @query("stress_label4", f"""

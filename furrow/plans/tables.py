@@ -20,7 +20,7 @@ from furrow.sources import readers
 @query("season_grid", """
 SELECT CAST(date AS VARCHAR) AS date, fips, county_name, year, month, doy, week_of_season FROM grid""")
 def season_grid(spark, sf):
-    return d.season_grid(d.observations(spark, sf))
+    return d.season_grid(spark, sf)
 
 
 @query("county_dim", "SELECT fips, county_name FROM dim")
@@ -52,7 +52,7 @@ def select_by_suffix(spark, sf):
 SELECT DISTINCT year, week_of_season, CAST(make_date(year, 5, 1) + CAST(7 * (week_of_season - 1) AS INTEGER) AS VARCHAR)
   AS week_start FROM grid""")
 def week_start(spark, sf):
-    weeks = d.season_grid(d.observations(spark, sf)).select("year", "week_of_season").distinct()
+    weeks = d.season_grid(spark, sf).select("year", "week_of_season").distinct()
     return weeks.withColumn("week_start", calendar.week_start(F.col("year"), F.col("week_of_season")))
 
 
@@ -173,7 +173,7 @@ def rain_class(spark, sf):
 def daily_merge(spark, sf):
     parts = {n: d.indicator(spark, sf, n) for n in d.grid.PIXEL_INDICATORS}
     deficit = d.snapped(grid.water_deficit(parts["eto"], parts["pr"]))
-    return grid.daily_clean(d.season_grid(parts["ndvi"]), parts, deficit).select(*DAILY_OUT)
+    return grid.daily_clean(grid.season_grid(grid.county_dim(parts["ndvi"]), d.FIRST_YEAR, d.LAST_YEAR), parts, deficit).select(*DAILY_OUT)
 
 
 @query("water_deficit_join", f"""
@@ -274,7 +274,7 @@ def weekly_rollup(spark, sf):
 SELECT CAST(week_start AS VARCHAR) AS week_start, fips, lst_days_above_32, """
        + r6s("pr_sum", "eto_sum", "water_deficit_sum", "ndvi_min", "ndvi_max", "lst_max", "vpd_max") + " FROM weekly")
 def weekly_totals(spark, sf):
-    return rollup.weekly(d.daily(spark, sf)).select(
+    return d.weekly(spark, sf).select(
         "week_start", "fips", "pr_sum", "eto_sum", "water_deficit_sum", "ndvi_min", "ndvi_max", "lst_max", "vpd_max",
         "lst_days_above_32")
 

@@ -68,6 +68,7 @@ def atmospheric_index(vpd: Column, eto: Column, w: StressWeights = STRESS_WEIGHT
 
 def composite_index(water: Column, heat: Column, vegetation: Column, atmosphere: Column,
                     w: StressWeights = STRESS_WEIGHTS) -> Column:
+    """Weighted sum of the four parts, which are never missing."""
     total = water * w.water + heat * w.heat + vegetation * w.vegetation + atmosphere * w.atmosphere
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), total))
 

@@ -14,6 +14,7 @@ from furrow.config import CHUNKING, PROMPT, Bm25, Chunking, PromptLayout
 from furrow.functions.scalars import half_up
 from furrow.functions.text import fixed_chunks, sentence_chunks, words
 from furrow.operators.topk import best_k, blockwise_topk
+from furrow.session import materialise, spread
 
 
 def skip_empty_docs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -22,6 +23,7 @@ def skip_empty_docs(df: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk(df: DataFrame, setting: Chunking = CHUNKING, sentence: bool = True, text: str = "text") -> DataFrame:
     """One row per chunk with its index; the document's other columns are kept."""
+    df = spread(df)
     pieces = sentence_chunks(F.col(text), setting) if sentence else fixed_chunks(F.col(text), setting)
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, F.posexplode(pieces).alias("chunk_index", "text"))
@@ -83,20 +85,24 @@ def query_result(ranked: DataFrame, texts: DataFrame) -> DataFrame:
 def query_terms(queries: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
     """Distinct terms per query with the inverse document frequency in the corpus, and its mean length.
 
-    Only terms some query asks for are counted, once per document; counts are
-    reduced in the map tasks before they meet, so frequent terms do not pile up.
+    One pass over the corpus: only terms some query asks for are counted, once per
+    document, and the empty term stands for the document itself, carrying its
+    length. Counts are reduced in the map tasks before they meet, so frequent
+    terms do not pile up. The counts, a row per asked term, are written out.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    vocabulary = asked.select("term").distinct()
-    in_docs = corpus_tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df"))
-    df = vocabulary.join(in_docs, "term")
-    size = corpus_tokens.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).alias("s"))
-    s = size.scalar()
-    idf = F.log(F.lit(1.0) + (s["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = df.select("term", idf.alias("idf"), s["avgdl"].alias("avgdl"))
+    whole = F.lit("")
+    vocabulary = asked.select("term").unionByName(queries.select(whole.alias("term"))).distinct()
+    present = corpus_tokens.select(
+        F.size("tokens").alias("length"),
+        F.explode(F.array_append(F.array_distinct("tokens"), whole)).alias("term"))
+    counts = materialise(present.join(vocabulary, "term", "left_semi").groupBy("term").agg(
+        F.count("*").alias("df"), F.avg("length").alias("avgdl")), "term-counts")
+    size = counts.filter(F.col("term") == "").select(F.struct(F.col("df").alias("n"), "avgdl").alias("s")).scalar()
+    idf = F.log(F.lit(1.0) + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighted = counts.select("term", idf.alias("idf"), size["avgdl"].alias("mean_length"))
     return (asked.join(weighted, "term").groupBy("query_id")
-            .agg(F.collect_list(F.struct("term", "idf")).alias("t"), F.max("avgdl").alias("avgdl"))
+            .agg(F.collect_list(F.struct("term", "idf")).alias("t"), F.max("mean_length").alias("avgdl"))
             .select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf"), "avgdl"))
 
 

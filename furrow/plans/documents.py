@@ -9,7 +9,7 @@ from furrow.plans import domain as d
 from furrow.plans.base_sql import half_up, r6
 from furrow.plans.forecasting import LINEAR_UNC, POINT, STD, features_sql
 from furrow.plans.registry import query
-from furrow.session import new_path
+from furrow.session import materialise, new_path, spread
 from furrow.sources import writers
 
 # ---- chunks
@@ -119,7 +119,7 @@ def delete_collection(spark, sf):
 
 
 def vectors(spark, sf):
-    return d.table(spark, sf, "embeddings").select("vec_id", "label", "embedding")
+    return spread(d.table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
 
 
 def nearest_all(spark, sf, k=5):
@@ -205,7 +205,7 @@ SELECT query_id, item_id, {r6('sum(1e0 / (60 + rank))')} AS rrf_score FROM (
   UNION ALL SELECT query_id, item_id, rank FROM ranked WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark))
 GROUP BY query_id, item_id""")
 def rrf_fuse(spark, sf):
-    docs = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
+    docs = spread(documents(spark, sf)).select(F.col("doc_id").alias("item_id"), "text")
     queries, v = benchmark(spark, sf), vectors(spark, sf)
     lexical = retrieval.bm25(queries, docs, 20)
     near = retrieval.cosine_topk(
@@ -249,7 +249,7 @@ near AS (SELECT * FROM (SELECT r.request_id, t.*, row_number() OVER (PARTITION B
 SELECT r.request_id, r.fips, r.week, n.week_of_season, CAST(n.week_start AS VARCHAR) AS week_start, n.overall_stress_index
 FROM req r LEFT JOIN near n ON r.request_id = n.request_id""")
 def nearest_week(spark, sf):
-    return joins.nearest_week(d.requests(spark, sf).select("request_id", "fips", "week"), d.scored(spark, sf)).select(
+    return joins.nearest_week(d.requests(spark, sf).select("request_id", "fips", "week"), d.recent_scores(spark, sf)).select(
         "request_id", "fips", "week", "week_of_season", "week_start", "overall_stress_index")
 
 
@@ -270,7 +270,8 @@ ctx AS (SELECT r.request_id, r.message, r.fips, r.vec, r.live AND r.fips IS NOT
 
 
 def contexts(spark, sf):
-    requests, scores = d.requests(spark, sf), d.scored(spark, sf)
+    # both the week lookup and the forecast read the counties' last weeks, so they are written once
+    requests, scores = d.requests(spark, sf), materialise(d.recent_scores(spark, sf), "recent")
     nearest = joins.nearest_week(requests.select("request_id", "fips", "week"), scores)
     records = forecast.season_to_date(scores)
     features = forecast.running_features(records, last_week=27).withColumnRenamed("current_week", "__w")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.calendar import in_season
-from furrow.operators import grid, rollup, stress
+from furrow.operators import grid, joins, rollup, stress
 
 FIRST_YEAR, LAST_YEAR = 1995, 2001
 
@@ -85,6 +85,11 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stress.score(weekly(spark, sf_dir))
 
 
+def recent_scores(spark: SparkSession, sf_dir: str, limit: int = 30) -> DataFrame:
+    """Stress record of every county's last weeks; only those are scored."""
+    return stress.score(joins.tail_weeks(weekly(spark, sf_dir), limit))
+
+
 def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County-year harvests."""
     year = F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))

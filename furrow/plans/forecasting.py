@@ -48,7 +48,7 @@ FC = RUN + f",\nfc AS (SELECT *, {POINT} AS raw, {LINEAR_UNC} AS u FROM feat)"
 
 
 def running(spark, sf):
-    return forecast.running_features(forecast.season_to_date(d.scored(spark, sf)))
+    return forecast.running_features(forecast.season_to_date(d.recent_scores(spark, sf)))
 
 
 @query("season_to_date", STD + f"""
@@ -56,7 +56,7 @@ def running(spark, sf):
 SELECT s.fips, c.current_week, s.week, {r6('water_deficit_mean')} AS water_deficit_mean,
   lst_days AS "lst_days_above_32C", {r6s('ndvi_mean', 'vpd_mean', 'pr_sum')}, s.year FROM std s JOIN cur c ON s.fips = c.fips""")
 def season_to_date(spark, sf):
-    return forecast.season_to_date(d.scored(spark, sf))
+    return forecast.season_to_date(d.recent_scores(spark, sf))
 
 
 @query("forecast_features", STD + f""",
@@ -64,7 +64,7 @@ f AS ({features_sql('fips, current_week', '(SELECT s.*, 20 AS current_week FROM
 --
 SELECT fips, current_week, heat_days, {FEATURES_OUT}, weeks_completed FROM f""")
 def forecast_features(spark, sf):
-    return forecast.forecast_features(forecast.season_to_date(d.scored(spark, sf), week=20))
+    return forecast.forecast_features(forecast.season_to_date(d.recent_scores(spark, sf), week=20))
 
 
 @query("forecast_linear", FC + f"""

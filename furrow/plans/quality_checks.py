@@ -12,6 +12,7 @@ from furrow.plans import domain as d
 from furrow.plans.base_sql import ALL, r6
 from furrow.plans.ingestion import DAILY_OUT
 from furrow.plans.registry import query
+from furrow.session import materialise
 
 MEANS = [f"{n}_mean" for n in INDICATORS]
 
@@ -71,7 +72,7 @@ SELECT '{c}' AS "column", count(*) FILTER (WHERE {c} < lo OR {c} > hi) AS outlie
 FROM obsd CROSS JOIN (SELECT q1 - 1.5e0 * (q3 - q1) AS lo, q3 + 1.5e0 * (q3 - q1) AS hi FROM (
   SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM obsd))""" for c in MEANS))
 def dq_iqr(spark, sf):
-    return quality.iqr_outliers(d.observations(spark, sf), MEANS)
+    return quality.iqr_outliers(materialise(d.observations(spark, sf).select(*MEANS), "obs"), MEANS)
 
 
 @query("dq_completeness", "m AS (" + per_column_sql(
@@ -117,7 +118,7 @@ TEMPORAL = "t AS (" + " UNION ALL ".join(_temporal(c) for c in MEANS) + ")"
 SELECT "column", {r6('r')} AS recent_mean, {r6('m')} AS overall_mean, {r6(z_sql('r'))} AS z_score,
   abs({z_sql('r')}) > 2 AS has_drift FROM t""")
 def drift_temporal(spark, sf):
-    return drift.temporal_drift(d.observations(spark, sf), MEANS)
+    return drift.temporal_drift(materialise(d.observations(spark, sf), "obs"), MEANS)
 
 
 GROUP = "g AS (" + " UNION ALL ".join(
@@ -130,7 +131,7 @@ GROUP = "g AS (" + " UNION ALL ".join(
 SELECT fips, "column", {r6('mean')} AS mean, {r6(z_sql('mean'))} AS z_score, n FROM g
 WHERE abs({z_sql('mean')}) > 0.15e0""")
 def drift_group(spark, sf):
-    return drift.group_drift(d.observations(spark, sf), MEANS, threshold=0.15)
+    return drift.group_drift(materialise(d.observations(spark, sf), "obs"), MEANS, threshold=0.15)
 
 
 MISSING = "x AS (" + per_column_sql(
@@ -153,7 +154,7 @@ UNION ALL SELECT 'county', "column", fips, {r6('mean')}, {r6(z_sql('mean'))}, n,
   WHERE abs({z_sql('mean')}) > 0.15e0
 UNION ALL SELECT 'missing', "column", NULL, NULL, NULL, NULL, {r6('missing_pct')}, true FROM x WHERE missing_pct > 10""")
 def drift_report(spark, sf):
-    return drift.drift_report(d.daily(spark, sf), MEANS, group_threshold=0.15)
+    return drift.drift_report(materialise(d.daily(spark, sf), "daily"), MEANS, group_threshold=0.15)
 
 
 @query("freshness", """
@@ -173,7 +174,7 @@ SELECT fips, year, week_of_season, array_to_string(list_filter([""" + ", ".join(
     f"CASE WHEN {c} < {c}_lo OR {c} > {c}_hi THEN '{c}' END" for c in FLAGS)
        + """], lambda z: z IS NOT NULL), ',') AS extrapolated FROM weekly CROSS JOIN lim WHERE year > 1996""")
 def extrapolation_flag(spark, sf):
-    weekly = d.weekly(spark, sf)
+    weekly = materialise(d.weekly(spark, sf), "weekly")
     limits = quality.training_ranges(weekly.filter(F.col("year") <= 1996), FLAGS)
     flagged = quality.out_of_training_range(weekly.filter(F.col("year") > 1996), limits, FLAGS)
     return flagged.select("fips", "year", "week_of_season", F.array_join("extrapolated", ",").alias("extrapolated"))

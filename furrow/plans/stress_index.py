@@ -10,6 +10,7 @@ from furrow.operators import joins, rollup, stress
 from furrow.plans import domain as d
 from furrow.plans.base_sql import r6, r6s, status
 from furrow.plans.registry import query
+from furrow.session import materialise
 
 KEYS = ("fips", "year", "week_of_season")
 KEY_SQL = "fips, year, week_of_season"
@@ -125,7 +126,7 @@ def score_week(spark, sf):
 @query("latest_all", ADVISED + "," + RANKED + "\n--\n" + RECORD_SQL
        + " WHERE week_start >= (SELECT max(week_start) FROM scored) - 6")
 def latest_all(spark, sf):
-    return _flat(stress.latest_scores(d.weekly(spark, sf)))
+    return _flat(stress.latest_scores(materialise(d.weekly(spark, sf), "weekly")))
 
 
 @query("chart_series", f"""
@@ -170,7 +171,7 @@ q AS (SELECT w.fips, w.year, w.week_of_season, ndvi_mean / nullif(m, 0e0) AS q F
 SELECT {KEY_SQL}, CASE WHEN q IS NULL THEN NULL WHEN q > 1 THEN 0 WHEN q > 0.9e0 THEN 20 WHEN q > 0.8e0 THEN 50
   WHEN q > 0.7e0 THEN 75 ELSE 100 END AS stress FROM q""")
 def ndvi_ratio_step_test(spark, sf):
-    daily = d.daily(spark, sf)
+    daily = materialise(d.daily(spark, sf), "daily")
     joined = joins.with_normals(d.snapped(rollup.weekly(daily)), d.snapped(rollup.climatology(daily)))
     return joined.select(*KEYS, bands.ndvi_ratio_step(F.col("ndvi_mean"), F.col("ndvi_mean_mean")).alias("stress"))
 

@@ -12,6 +12,7 @@ from furrow.plans import domain as d
 from furrow.plans.base_sql import ALL, half_up, r6, r6s, weekly_sql
 from furrow.plans.ingestion import DAILY_OUT, DAILY_SQL
 from furrow.plans.registry import query
+from furrow.session import materialise
 from furrow.sources import readers
 
 # ---- grid and calendar
@@ -203,7 +204,7 @@ CLIM = ("clim AS (SELECT week_of_season, fips, county_name, "
 SELECT w.fips, w.year, w.week_of_season, {r6s('ndvi_mean', 'ndvi_mean_mean', 'ndvi_mean_std')}
 FROM weekly w LEFT JOIN clim c ON w.fips = c.fips AND w.week_of_season = c.week_of_season""")
 def climatology_join(spark, sf):
-    daily = d.daily(spark, sf)
+    daily = materialise(d.daily(spark, sf), "daily")
     return joins.with_normals(d.snapped(rollup.weekly(daily)), rollup.climatology(daily)).select(
         "fips", "year", "week_of_season", "ndvi_mean", "ndvi_mean_mean", "ndvi_mean_std")
 
@@ -365,7 +366,10 @@ SELECT CAST(week_start AS VARCHAR) AS week_start, count(*) AS counties_analyzed,
   string_agg(t, '|' ORDER BY lo) FILTER (WHERE lo <= 5) AS healthy_counties
 FROM line GROUP BY week_start""")
 def state_summary(spark, sf):
-    summary = rollup.state_summary(d.scored(spark, sf))
+    # three aggregates read the scores, so they are written once
+    scores = materialise(d.scored(spark, sf).select(
+        "week_start", "fips", "county_name", "overall_stress_index", "overall_status"), "scores")
+    summary = rollup.state_summary(scores)
 
     def line(c):
         return F.array_join(F.transform(c, lambda x: F.concat_ws(
@@ -482,7 +486,7 @@ z AS (SELECT x.fips, x.year, x.week_of_season, (overall_stress_index - m) / null
 
 
 def _anomalies(spark, sf):
-    scored = d.scored(spark, sf)
+    scored = materialise(d.scored(spark, sf).select("fips", "year", "week_of_season", "overall_stress_index"), "scores")
     normals = d.snapped(windows.week_normals(scored))
     return windows.with_anomaly(scored, normals, "overall_stress_index", "index_mean", "index_std")
 
@@ -508,7 +512,7 @@ t AS (SELECT *, row_number() OVER (PARTITION BY fips ORDER BY week_start DESC) A
 --
 SELECT fips, CAST(week_start AS VARCHAR) AS week_start, overall_stress_index, overall_status FROM t WHERE rn <= 20""")
 def timeseries_tail(spark, sf):
-    return joins.tail_weeks(d.scored(spark, sf), 20).select(
+    return d.recent_scores(spark, sf, 20).select(
         "fips", "week_start", "overall_stress_index", "overall_status").orderBy("fips", "week_start")
 
 

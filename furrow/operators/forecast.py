@@ -166,14 +166,16 @@ def forecast_light(df: DataFrame, week: str = "current_week", raw: str = "raw_fo
                      F.lit(8.32).alias("uncertainty"), confidence(F.col(week), light=True).alias("confidence"))
 
 
-def evaluate(df: DataFrame, actual: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
-    """R squared and mean absolute error, overall or per group, in one pass.
+def evaluate(df: DataFrame, actual: str, predicted: str, by: str | None = None) -> DataFrame:
+    """R squared and mean absolute error, overall and with ``by`` per group as well, in one pass.
 
-    The residual and total sums of squares come from moments around the mean, so
-    no second pass over the data is needed.
+    The overall row has no group value. The total sum of squares comes from the
+    population variance, so no second pass over the data is needed.
     """
     y, p = F.col(actual), F.col(predicted)
     total = F.var_pop(actual) * F.count(actual)
     r2 = F.lit(1.0) - F.try_divide(F.sum((y - p) * (y - p)), total)
-    return df.filter(y.isNotNull() & p.isNotNull()).groupBy(*by).agg(
+    present = df.filter(y.isNotNull() & p.isNotNull())
+    grouped = present.groupBy() if by is None else present.rollup(by)
+    return grouped.agg(
         F.count(F.lit(1)).alias("n"), r2.alias("r2"), F.avg(F.abs(y - p)).alias("mae"))

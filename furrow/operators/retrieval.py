@@ -14,7 +14,7 @@ from furrow.config import CHUNKING, PROMPT, Bm25, Chunking, PromptLayout
 from furrow.functions.scalars import half_up
 from furrow.functions.text import fixed_chunks, sentence_chunks, words
 from furrow.operators.topk import best_k, blockwise_topk
-from furrow.session import materialise, spread
+from furrow.session import materialise
 
 
 def skip_empty_docs(df: DataFrame, text: str = "text") -> DataFrame:
@@ -23,7 +23,6 @@ def skip_empty_docs(df: DataFrame, text: str = "text") -> DataFrame:
 
 def chunk(df: DataFrame, setting: Chunking = CHUNKING, sentence: bool = True, text: str = "text") -> DataFrame:
     """One row per chunk with its index; the document's other columns are kept."""
-    df = spread(df)
     pieces = sentence_chunks(F.col(text), setting) if sentence else fixed_chunks(F.col(text), setting)
     rest = [c for c in df.columns if c != text]
     return df.select(*rest, F.posexplode(pieces).alias("chunk_index", "text"))
@@ -82,13 +81,15 @@ def query_result(ranked: DataFrame, texts: DataFrame) -> DataFrame:
             .select("query_id", "item_id", "text", "score", "rank", "total_found"))
 
 
-def query_terms(queries: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
+def query_terms(queries: DataFrame, corpus_tokens: DataFrame, small: int = 200_000) -> DataFrame:
     """Distinct terms per query with the inverse document frequency in the corpus, and its mean length.
 
     One pass over the corpus: only terms some query asks for are counted, once per
     document, and the empty term stands for the document itself, carrying its
-    length. Counts are reduced in the map tasks before they meet, so frequent
-    terms do not pile up. The counts, a row per asked term, are written out.
+    length. Up to ``small`` terms travel to the tasks as the filter; beyond that all
+    terms are counted first and the counts filtered. Either way the map tasks
+    reduce before anything is shuffled, so frequent terms do not pile up. The
+    counts, a row per asked term, are written out.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     whole = F.lit("")
@@ -96,8 +97,15 @@ def query_terms(queries: DataFrame, corpus_tokens: DataFrame) -> DataFrame:
     present = corpus_tokens.select(
         F.size("tokens").alias("length"),
         F.explode(F.array_append(F.array_distinct("tokens"), whole)).alias("term"))
-    counts = materialise(present.join(vocabulary, "term", "left_semi").groupBy("term").agg(
-        F.count("*").alias("df"), F.avg("length").alias("avgdl")), "term-counts")
+
+    def counted(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("avgdl"))
+
+    if vocabulary.limit(small + 1).count() <= small:
+        counts = counted(present.join(F.broadcast(vocabulary), "term", "left_semi"))
+    else:
+        counts = counted(present).join(vocabulary, "term", "left_semi")
+    counts = materialise(counts, "term-counts")
     size = counts.filter(F.col("term") == "").select(F.struct(F.col("df").alias("n"), "avgdl").alias("s")).scalar()
     idf = F.log(F.lit(1.0) + (size["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = counts.select("term", idf.alias("idf"), size["avgdl"].alias("mean_length"))
@@ -151,8 +159,9 @@ def _bm25_kernel(setting: Bm25):
 def bm25(queries: DataFrame, corpus: DataFrame, k: int = 5, setting: Bm25 = Bm25(), **layout) -> DataFrame:
     """k best items by Okapi BM25; queries hold (query_id, text), the corpus (item_id, text)."""
     tokens = corpus.select("item_id", words(F.col("text")).alias("tokens"))
+    terms_at_once = layout.pop("small_terms", 200_000)
     layout = {"small": 256, "cell_queries": 512, **layout}
-    return blockwise_topk(query_terms(queries, tokens), tokens, _bm25_kernel(setting), k, **layout)
+    return blockwise_topk(query_terms(queries, tokens, terms_at_once), tokens, _bm25_kernel(setting), k, **layout)
 
 
 def rrf(*rankings: DataFrame, k: int = 60) -> DataFrame:

@@ -44,7 +44,7 @@ fixed AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY doc_id OR
 
 
 def documents(spark, sf):
-    return d.table(spark, sf, "documents").select("doc_id", "source", "lang", "text")
+    return spread(d.table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
 
 
 def fixed(spark, sf):
@@ -205,7 +205,7 @@ SELECT query_id, item_id, {r6('sum(1e0 / (60 + rank))')} AS rrf_score FROM (
   UNION ALL SELECT query_id, item_id, rank FROM ranked WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark))
 GROUP BY query_id, item_id""")
 def rrf_fuse(spark, sf):
-    docs = spread(documents(spark, sf)).select(F.col("doc_id").alias("item_id"), "text")
+    docs = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
     queries, v = benchmark(spark, sf), vectors(spark, sf)
     lexical = retrieval.bm25(queries, docs, 20)
     near = retrieval.cosine_topk(

@@ -33,12 +33,10 @@ def county_code(key: Column) -> Column:
     return (key + 19000).cast("string")
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem")
-    areas = table(spark, sf_dir, "supplier")
-    return lines.join(areas, lines.l_suppkey == areas.s_suppkey).select(
-        F.to_date("l_shipdate").alias("date"), county_code(F.col("s_suppkey")).alias("fips"),
-        F.col("s_name").alias("county_name"), F.col("s_nationkey").alias("nation"),
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pixels under their county code, without names: nothing is joined at pixel level."""
+    return table(spark, sf_dir, "lineitem").select(
+        F.to_date("l_shipdate").alias("date"), county_code(F.col("l_suppkey")).alias("fips"),
         "l_orderkey", "l_linenumber", "l_suppkey",
         (F.col("l_partkey") % 680 / 100.0 - 96.8).alias("lon"),
         (F.col("l_orderkey") % 330 / 100.0 + 40.2).alias("lat"),
@@ -48,24 +46,32 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.greatest(F.lit(0), F.col("l_orderkey") % 40 - 20) / 2.0).alias("pr"))
 
 
-def season_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pixels of the season months."""
-    return in_season(pixels(spark, sf_dir))
+def county_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """County code, name and nation."""
+    return table(spark, sf_dir, "supplier").select(
+        county_code(F.col("s_suppkey")).alias("fips"), F.col("s_name").alias("county_name"),
+        F.col("s_nationkey").alias("nation"))
+
+
+def season_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return in_season(readings(spark, sf_dir))
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All indicators per county and day in one pass over the pixels."""
-    return grid.with_deficit(grid.zonal_table(season_pixels(spark, sf_dir)))
+    return grid.with_deficit(grid.zonal_table(season_readings(spark, sf_dir)))
 
 
 def indicator(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Observation table of one indicator."""
-    return grid.zonal_stats(season_pixels(spark, sf_dir), name).withColumn("mask_year", F.year("date"))
+    """Observation table of one indicator; names join the aggregated rows."""
+    stats = grid.zonal_stats(season_readings(spark, sf_dir), name, keys=("date", "fips"))
+    return joins.with_county_name(stats, county_names(spark, sf_dir)).withColumn("mask_year", F.year("date"))
 
 
 def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counties with observations."""
-    return grid.county_dim(season_pixels(spark, sf_dir).filter(grid.crop_mask() == 1))
+    """Counties with observations, with the name of their last one."""
+    seen = season_readings(spark, sf_dir).filter(grid.crop_mask() == 1).groupBy("fips").agg(F.max("date").alias("date"))
+    return grid.county_dim(joins.with_county_name(seen, county_names(spark, sf_dir)))
 
 
 def season_grid(spark: SparkSession, sf_dir: str) -> DataFrame:

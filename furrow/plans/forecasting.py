@@ -185,6 +185,4 @@ SELECT current_week, count(*) AS n, {r6('1 - sum((y - p) * (y - p)) / nullif(var
 def model_eval(spark, sf):
     """Linear forecast against the harvest by season week, and overall in the row without a week."""
     predicted = joins.training_set(forecast.forecast_linear(season_features(spark, sf)), d.yields(spark, sf))
-    by_week = forecast.evaluate(predicted, model.LABEL, "raw_forecast", by=("current_week",))
-    overall = forecast.evaluate(predicted, model.LABEL, "raw_forecast")
-    return by_week.unionByName(overall, allowMissingColumns=True)
+    return forecast.evaluate(predicted, model.LABEL, "raw_forecast", by="current_week")

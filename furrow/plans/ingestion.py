@@ -116,7 +116,7 @@ def coalesce_keys(spark, sf):
 SELECT CAST(date AS VARCHAR) AS date, count(*) AS pixels, CAST(sum(l_linenumber) AS BIGINT) AS line_sum
 FROM px WHERE month(date) BETWEEN 5 AND 10 GROUP BY 1""")
 def season_filter(spark, sf):
-    return calendar.in_season(d.pixels(spark, sf)).groupBy("date").agg(
+    return calendar.in_season(d.readings(spark, sf)).groupBy("date").agg(
         F.count("*").alias("pixels"), F.sum("l_linenumber").alias("line_sum"))
 
 
@@ -124,7 +124,7 @@ def season_filter(spark, sf):
 SELECT l_orderkey, l_linenumber, CAST(date AS VARCHAR) AS date, fips FROM px
 WHERE date >= DATE '1996-05-01' AND date < DATE '1999-10-31'""")
 def date_range_filter(spark, sf):
-    return calendar.between_dates(d.pixels(spark, sf), "1996-05-01", "1999-10-31").select(
+    return calendar.between_dates(d.readings(spark, sf), "1996-05-01", "1999-10-31").select(
         "l_orderkey", "l_linenumber", "date", "fips")
 
 
@@ -132,14 +132,14 @@ def date_range_filter(spark, sf):
 SELECT l_orderkey, l_linenumber, {r6('lon')} AS lon, {r6('lat')} AS lat FROM px
 WHERE lon >= -95.005e0 AND lon <= -91.005e0 AND lat >= 40.505e0 AND lat <= 42.505e0""")
 def bbox_filter(spark, sf):
-    return grid.in_bbox(d.pixels(spark, sf), -95.005, 40.505, -91.005, 42.505).select(
+    return grid.in_bbox(d.readings(spark, sf), -95.005, 40.505, -91.005, 42.505).select(
         "l_orderkey", "l_linenumber", "lon", "lat")
 
 
 @query("mask_build", """
 SELECT l_orderkey, l_linenumber, CAST(crop_class = 1 AS BIGINT) AS mask FROM px""")
 def mask_build(spark, sf):
-    return d.pixels(spark, sf).select("l_orderkey", "l_linenumber", grid.crop_mask().alias("mask"))
+    return d.readings(spark, sf).select("l_orderkey", "l_linenumber", grid.crop_mask().alias("mask"))
 
 
 @query("mask_year_asof", f"""
@@ -148,7 +148,7 @@ masks AS (SELECT DISTINCT year(date) AS mask_year FROM px WHERE year(date) % 3 =
 SELECT CAST(o.date AS VARCHAR) AS date, o.fips, {r6('o.ndvi_mean')} AS mean, m.mask_year
 FROM obs o ASOF JOIN masks m ON year(o.date) >= m.mask_year""")
 def mask_year_asof(spark, sf):
-    pixels = d.pixels(spark, sf)
+    pixels = d.readings(spark, sf)
     masks = pixels.select(F.year("date").alias("mask_year")).filter(F.col("mask_year") % 3 == 1)
     obs = d.indicator(spark, sf, "ndvi").select("date", "fips", "mean")
     return joins.asof_mask(obs, masks, oldest=1990)
@@ -163,13 +163,14 @@ def zonal_stats(spark, sf):
 SELECT nation, year(date) AS year, {r6('avg(eto)')} AS mean, {r6('stddev_pop(eto)')} AS std, {r6('min(eto)')} AS min,
   {r6('max(eto)')} AS max FROM px WHERE crop_class = 1 AND month(date) BETWEEN 5 AND 10 GROUP BY nation, year(date)""")
 def spatial_stats(spark, sf):
-    yearly = d.season_pixels(spark, sf).withColumn("year", F.year("date"))
+    named = d.season_readings(spark, sf).join(d.county_names(spark, sf), "fips")
+    yearly = named.withColumn("year", F.year("date"))
     return grid.zonal_stats(yearly, "eto", keys=("nation", "year"))
 
 
 def _raw(spark, sf, name, encode):
     """Observations of the sensor's raw numbers."""
-    return grid.zonal_stats(d.season_pixels(spark, sf).withColumn(name, encode(F.col(name))), name)
+    return grid.zonal_stats(d.season_readings(spark, sf).withColumn(name, encode(F.col(name))), name, ("date", "fips"))
 
 
 RAW_SQL = """
@@ -183,7 +184,7 @@ SELECT CAST(date AS VARCHAR) AS date, fips, {mean} AS mean, {std} AS std, {lo} A
                                       lo=r6("lo * 0.0001e0"), hi=r6("hi * 0.0001e0")))
 def rescale_ndvi(spark, sf):
     raw = _raw(spark, sf, "ndvi", lambda c: c * 10000)
-    return rescale.rescale(raw, "ndvi").drop("county_name")
+    return rescale.rescale(raw, "ndvi")
 
 
 @query("rescale_lst", RAW_SQL.format(
@@ -191,14 +192,14 @@ def rescale_ndvi(spark, sf):
     lo=r6("lo * 0.02e0 - 273.15e0"), hi=r6("hi * 0.02e0 - 273.15e0")))
 def rescale_lst(spark, sf):
     raw = _raw(spark, sf, "lst", lambda c: (c + 273.15) / 0.02)
-    return rescale.rescale(raw, "lst").drop("county_name")
+    return rescale.rescale(raw, "lst")
 
 
 @query("rescale_vpd", RAW_SQL.format(enc="vpd * 1000", mean=r6("a / 1000e0"), std=r6("s / 1000e0"),
                                      lo=r6("lo / 1000e0"), hi=r6("hi / 1000e0")))
 def rescale_vpd(spark, sf):
     raw = _raw(spark, sf, "vpd", lambda c: c * 1000)
-    return rescale.rescale(raw, "vpd", vpd_divisor=1000.0).drop("county_name")
+    return rescale.rescale(raw, "vpd", vpd_divisor=1000.0)
 
 
 @query("high_water_mark", """
@@ -257,7 +258,7 @@ def dedupe_keep_last(spark, sf):
 SELECT CAST(y AS BIGINT) AS year FROM (SELECT unnest(generate_series(1990, 2005)) AS y)
 WHERE y NOT IN (SELECT year(date) FROM px)""")
 def missing_years(spark, sf):
-    return increments.missing_years(spark, d.pixels(spark, sf).select(F.year("date").alias("year")), 1990, 2005)
+    return increments.missing_years(spark, d.readings(spark, sf).select(F.year("date").alias("year")), 1990, 2005)
 
 
 DAILY_OUT = ("date", "fips", "county_name", "year", "month", "doy", "week_of_season", "ndvi_mean", "ndvi_std",

@@ -90,7 +90,7 @@ def dq_completeness(spark, sf):
 SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates, sum(n - 1) = 0 AS is_valid
 FROM (SELECT count(*) AS n FROM px GROUP BY date, fips)""")
 def dq_duplicates(spark, sf):
-    return quality.duplicates(d.pixels(spark, sf))
+    return quality.duplicates(d.readings(spark, sf))
 
 
 @query("dq_three_sigma", f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from furrow.config import HEAT_UNIT_STAGES, INDICATORS
+from furrow.config import HEAT_UNIT_STAGES, INDICATORS, PIXEL_INDICATORS
 from furrow.functions import bands, calendar, scalars
 from furrow.operators import fill, grid, joins, rollup, stress, windows
 from furrow.plans import domain as d
@@ -162,7 +162,7 @@ SELECT CAST(date AS VARCHAR) AS date, fips, CASE WHEN pr_sum <= 0 THEN 'dry' WHE
   SELECT date, fips, sum(pr) * 3 AS pr_sum FROM px WHERE crop_class = 1 AND month(date) BETWEEN 5 AND 10
   GROUP BY date, fips)""")
 def rain_class(spark, sf):
-    mm = d.season_pixels(spark, sf).filter(grid.crop_mask() == 1).groupBy("date", "fips").agg(
+    mm = d.season_readings(spark, sf).filter(grid.crop_mask() == 1).groupBy("date", "fips").agg(
         (F.sum("pr") * 3).alias("mm"))
     return mm.select("date", "fips", bands.rain_class(F.col("mm")).alias("rain"))
 
@@ -172,9 +172,12 @@ def rain_class(spark, sf):
 
 @query("daily_merge", DAILY_SQL.format(source="daily"))
 def daily_merge(spark, sf):
-    parts = {n: d.indicator(spark, sf, n) for n in d.grid.PIXEL_INDICATORS}
-    deficit = d.snapped(grid.water_deficit(parts["eto"], parts["pr"]))
-    return grid.daily_clean(grid.season_grid(grid.county_dim(parts["ndvi"]), d.FIRST_YEAR, d.LAST_YEAR), parts, deficit).select(*DAILY_OUT)
+    # the pixels are reduced once; the six tables are read off the written result
+    wide = materialise(d.observations(spark, sf), "observations")
+    parts = {n: wide.select("date", "fips", F.lit(None).cast("string").alias("county_name"),
+                            F.col(f"{n}_mean").alias("mean"), F.col(f"{n}_std").alias("std")) for n in PIXEL_INDICATORS}
+    deficit = grid.water_deficit(parts["eto"], parts["pr"])
+    return grid.daily_clean(d.season_grid(spark, sf), parts, deficit).select(*DAILY_OUT)
 
 
 @query("water_deficit_join", f"""
@@ -190,7 +193,7 @@ FROM lineitem LEFT JOIN dim ON fips = CAST(19000 + l_suppkey AS VARCHAR)""")
 def county_name_lookup(spark, sf):
     lines = d.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", d.county_code(F.col("l_suppkey")).alias("fips"))
-    return joins.with_county_name(lines, grid.county_dim(d.indicator(spark, sf, "ndvi"))).select(
+    return joins.with_county_name(lines, d.counties(spark, sf)).select(
         "l_orderkey", "l_linenumber", "fips", "county_name")
 
 
@@ -229,7 +232,7 @@ units AS (SELECT date, fips, year,
 
 def _heat_units(spark, sf):
     """Daily heat units in degrees F from the extremes of the day's pixels."""
-    temps = d.season_pixels(spark, sf).filter(grid.crop_mask() == 1).groupBy("date", "fips").agg(
+    temps = d.season_readings(spark, sf).filter(grid.crop_mask() == 1).groupBy("date", "fips").agg(
         (F.max("lst") * 9 / 5 + 32).alias("tmax"), (F.min("lst") * 9 / 5 + 32).alias("tmin"))
     return temps.select("date", "fips", F.year("date").alias("year"), d.snap(
         rollup.growing_degree_days(F.col("tmax"), F.col("tmin"), base=50.0, cap=86.0)).alias("gdd"))

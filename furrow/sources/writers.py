@@ -10,11 +10,13 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = "year",
                 increment: bool = False) -> None:
     """Replace a Parquet table, or with ``increment`` only the partitions present in ``df``.
 
-    Rows are range-ordered by key inside the files so that footer statistics prune well.
+    Rows are gathered per partition value in pieces of even size, which the adaptive
+    planner cuts and joins, and ordered by key inside the files so that footer
+    statistics prune well.
     """
     keys = [c for c in ("fips", "date", "week_start") if c in df.columns]
     if partition_by and keys:
-        df = df.repartitionByRange(partition_by, *keys).sortWithinPartitions(partition_by, *keys)
+        df = df.hint("rebalance", F.col(partition_by)).sortWithinPartitions(partition_by, *keys)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(partition_by)

@@ -33,6 +33,12 @@ def read_upserted(spark: SparkSession, target: str, keys: Sequence[str], row_ord
     return keep_last(spark.read.parquet(target), list(keys), ["batch", *row_order]).drop("batch")
 
 
+def compact_upserted(spark: SparkSession, target: str, into: str, keys: Sequence[str], row_order: Sequence[str]) -> None:
+    """Resolve the log of :func:`stream_upsert` into a new table of one batch, numbered before all later ones."""
+    rows = keep_last(spark.read.parquet(target), list(keys), ["batch", *row_order])
+    rows.drop("batch").write.mode("overwrite").parquet(f"{into}/batch=-1")
+
+
 def stream_dedup(stream: DataFrame, event_time: str, delay: str, keys: Sequence[str]) -> DataFrame:
     """Each key once; repeats arriving within the watermark delay are dropped."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))

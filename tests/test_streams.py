@@ -34,6 +34,9 @@ def test_upsert_log_is_idempotent_and_keeps_last(spark):
     got = streams.read_upserted(spark, target, keys, order)
     batch = keep_last(spark.read.schema(OBS).parquet(source), keys, order)
     assert got.count() == 2 and got.select(*batch.columns).exceptAll(batch).count() == 0
+    into = new_path(spark, "compact")
+    streams.compact_upserted(spark, target, into, keys, order)
+    assert streams.read_upserted(spark, into, keys, order).exceptAll(got).count() == 0
     # a second run without new files changes nothing
     stream = spark.readStream.schema(OBS).parquet(source)
     streams.stream_upsert(stream, target, checkpoint, keys, order).awaitTermination()

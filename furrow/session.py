@@ -21,7 +21,6 @@ def local_session(cpus: int = 8, name: str = "furrow") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
-        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
         .config("spark.sql.streaming.metricsEnabled", "false")
         .getOrCreate()

@@ -8,7 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from furrow.llm.graph import components
@@ -51,21 +51,21 @@ _OCTET_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bit
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """Rows (doc_id, fp long): the SimHash of every whole text.
+    """Rows (doc_id, tid, fp long): the SimHash of every whole text; ``tid`` hashes the text.
 
     A-Z are lower-cased; words are runs without the six ASCII white-space characters; shingles are ``words`` words
     joined by a space, repeats included; a shorter text is one shingle; a null text or one without a word has
     fingerprint 0. Hash: XXH64 of the UTF-8 bytes with seed 42. A bit is 1 if set in over half of the hashes.
     One row per input row; other columns of ``docs`` are not read.
     """
-    rows = spread(docs.select("doc_id", F.col("text").cast("binary").alias("text")))
+    rows = spread(docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [fingerprint(t.as_py() or b"", words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["doc_id", "fp"])
+            found = [fingerprint(t.as_py() or b"", words) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.int64())], ["doc_id", "tid", "fp"])
 
-    return rows.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, fp long")
 
 
 def _signed(value: int) -> int:
@@ -173,18 +173,35 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_colliding, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Rows (doc_id, fp, component_id): the group of every document, by linked fingerprints at most 3 bits apart.
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """Rows (doc_id, tid, fp, root, component_id): the group of every document, by fingerprints at most 3 bits apart.
 
-    ``component_id`` is the smallest doc_id reachable. Equal fingerprints (equal texts, all texts without a word)
-    are one node, so groups of copies are never paired. Rows without a doc_id get the group of their fingerprint,
-    null if it has no doc_id. Repeated rows stay. An empty table gives an empty result.
+    ``component_id`` is the smallest doc_id reachable, ``root`` the group's smallest fingerprint. Equal fingerprints
+    (equal texts, all texts without a word) are one node, so groups of copies are never paired. Rows without a doc_id
+    get the group of their fingerprint, with a null component_id if no row of it has a doc_id. Repeated rows stay. An
+    empty table gives an empty result.
     """
-    fps = materialise(fingerprints(docs), "fingerprints")
+    fps = materialise(fingerprints(docs, words), "fingerprints")
     least = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = components(link_fingerprints(least), "a", "b")
     named = least.join(roots, least["fp"] == roots["node"], "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     named = materialise(named, "nodes")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return fps.join(named.join(groups, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    groups = named.join(groups, "root").select("fp", "root", "component_id")
+    return fps.join(groups, "fp").select("doc_id", "tid", "fp", "root", "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates: the one with the smallest doc_id (nulls last).
+
+    All columns stay. Of repeated rows of that document one stays.
+    """
+    found = near_duplicates(docs, words)
+    first = found.groupBy("root").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("one"))
+    first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.tid").alias("_tid"))
+    given = docs.withColumn("_text", F.xxhash64("text"))
+    kept = given.join(first, given["doc_id"].eqNullSafe(first["_id"]) & (given["_text"] == first["_tid"]))
+    again = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
+    return kept.withColumn("_nth", F.row_number().over(again)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

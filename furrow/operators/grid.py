@@ -21,12 +21,17 @@ def county_dim(df: DataFrame, order: str = "date") -> DataFrame:
         F.max_by("county_name", F.struct("last_seen", "county_name")).alias("county_name"))
 
 
-def season_grid(counties: DataFrame, first_year: int, last_year: int) -> DataFrame:
+def with_years(counties: DataFrame, first_year: int | Column, last_year: int | Column) -> DataFrame:
+    """One row per county and year; the years may be scalar subqueries."""
+    bounds = counties.select("fips", "county_name", F.lit(first_year).alias("lo"), F.lit(last_year).alias("hi"))
+    return bounds.select("fips", "county_name", F.explode(F.sequence("lo", "hi")).alias("year"))
+
+
+def season_grid(counties: DataFrame, first_year: int | Column, last_year: int | Column) -> DataFrame:
     """Every in-season date for every county, generated in place per county row."""
-    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
-    days = F.explode(F.sequence(season_start(F.col("y")), season_end(F.col("y"))))
-    return with_calendar(
-        counties.select("fips", "county_name", years.alias("y")).select("fips", "county_name", days.alias("date"))
+    years = with_years(counties, first_year, last_year)
+    days = F.explode(F.sequence(season_start(F.col("year")), season_end(F.col("year"))))
+    return with_calendar(years.select("fips", "county_name", days.alias("date"))
     ).select("date", "fips", "county_name", "year", "month", "doy", "week_of_season")
 
 
@@ -47,6 +52,24 @@ def zonal_stats(pixels: DataFrame, indicator: str, keys: Sequence[str] = ("date"
         F.min(value).alias("min"), F.max(value).alias("max"))
 
 
+def area_stats(pixels: DataFrame, areas: DataFrame, indicator: str, keys: Sequence[str], code: int = 1) -> DataFrame:
+    """:func:`zonal_stats` of areas made of counties: pixels are reduced per county before the areas join.
+
+    ``areas`` maps fips to an area. Means and spreads of counties are put together by their moments.
+    """
+    own = ["fips", *[k for k in keys if k in pixels.columns and k != "fips"]]
+    value = F.col(indicator)
+    parts = pixels.filter(crop_mask(code=code) == 1).groupBy(*own).agg(
+        F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("s"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+    named = parts.join(areas, "fips")
+    total = named.groupBy(*keys).agg(F.try_divide(F.sum(F.col("m") * F.col("n")), F.sum("n")).alias("mean"))
+    spread = named.join(total, list(keys)).groupBy(*keys).agg(
+        F.first("mean").alias("mean"),
+        F.sqrt(F.try_divide(F.sum((F.col("s") + (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean"))) * F.col("n")), F.sum("n"))).alias("std"),
+        F.min("lo").alias("min"), F.max("hi").alias("max"))
+    return spread.select(*keys, "mean", "std", "min", "max")
+
+
 def zonal_table(pixels: DataFrame, indicators: Sequence[str] = PIXEL_INDICATORS,
                 keys: Sequence[str] = ("date", "fips"), code: int = 1) -> DataFrame:
     """Mean and population std of several indicators in one pass over the pixels.

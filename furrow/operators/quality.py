@@ -57,11 +57,10 @@ def check_ranges(df: DataFrame, ranges: Mapping[str, tuple[float, float]] = VALU
     return table.withColumn("pct", F.try_divide(F.col("out_of_range") * 100.0, F.col("present")))
 
 
-def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5,
-                 exact_rows: int = 1_000_000) -> DataFrame:
+def iqr_outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float = 1.5) -> DataFrame:
     """Values beyond factor x IQR of the quartiles, per column, with the bounds."""
     columns = list(columns) if columns is not None else numeric_columns(df)
-    quartiles = exact_quantiles(df, columns, (0.25, 0.75), exact_rows)
+    quartiles = exact_quantiles(df, columns, (0.25, 0.75))
     bounds: dict[str, tuple[Column, Column]] = {}
     for c, (q1, q3) in quartiles.items():
         spread = None if q1 is None else (q3 - q1) * factor

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Sequence
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import IDF, HashingTF, IDFModel, Normalizer
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.config import CHUNKING, PROMPT, Bm25, Chunking, PromptLayout
 from furrow.functions.scalars import half_up
 from furrow.functions.text import fixed_chunks, sentence_chunks, words
-from furrow.operators.topk import best_k, blockwise_topk
+from furrow.operators.topk import SMALL_BYTES, best_k, blockwise_topk
 from furrow.session import materialise
 
 
@@ -40,15 +43,48 @@ def with_chunk_id(chunks: DataFrame, *keys: str) -> DataFrame:
     return chunks.withColumn("id", F.sha2(F.concat_ws("#", *parts), 256))
 
 
-def embed(chunks: DataFrame, dim: int = 256, model: IDFModel | None = None, text: str = "text"
-          ) -> tuple[DataFrame, IDFModel]:
-    """Unit-length hashed term vectors weighted by inverse document frequency, and the fitted weights."""
-    tokens = chunks.withColumn("__tokens", words(F.col(text)))
-    counted = HashingTF(numFeatures=dim, inputCol="__tokens", outputCol="__tf").transform(tokens)
-    model = model or IDF(inputCol="__tf", outputCol="__tfidf").fit(counted)
-    unit = Normalizer(inputCol="__tfidf", outputCol="__unit").transform(model.transform(counted))
-    return (unit.withColumn("embedding", vector_to_array("__unit", "float32"))
-            .drop("__tokens", "__tf", "__tfidf", "__unit")), model
+def term_bucket(term: str, dim: int) -> int:
+    """Component of a term: the first eight hexadecimal digits of its MD5, modulo the length."""
+    return int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dim
+
+
+def _hashed_counts(tokens: Column, dim: int) -> Column:
+    @F.pandas_udf("array<float>")
+    def count(rows: pd.Series) -> pd.Series:
+        known: dict[str, int] = {}
+
+        def one(words_of_row) -> np.ndarray:
+            places = []
+            for term in words_of_row:
+                if term not in known:
+                    known[term] = term_bucket(term, dim)
+                places.append(known[term])
+            return np.bincount(np.array(places, np.int64), minlength=dim).astype(np.float32)
+
+        return rows.map(one)
+
+    return count(tokens)
+
+
+def embed(chunks: DataFrame, dim: int = 256, weights: Sequence[float] | None = None, text: str = "text"
+          ) -> tuple[DataFrame, list[float]]:
+    """Unit-length hashed term vectors weighted by inverse document frequency, and the weights.
+
+    Weight of a component: ln((m + 1) / (df + 1)) over the m rows, of which df have it; queries are embedded with the
+    weights of the corpus. The ``dim`` weights are all that comes to the driver. A text without a word is the zero vector.
+    """
+    counted = chunks.withColumn("embedding", _hashed_counts(words(F.col(text)), dim))
+    if weights is None:
+        total = F.count("*").alias("m")
+        df = counted.select(F.posexplode("embedding").alias("b", "n")).filter("n > 0").groupBy("b").agg(F.count("*").alias("df"))
+        m, seen = counted.agg(total).first()["m"], {r["b"]: r["df"] for r in df.collect()}
+        weights = [math.log((m + 1) / (seen.get(b, 0) + 1)) for b in range(dim)]
+    scale = F.array(*[F.lit(float(w)) for w in weights])
+    weighted = counted.withColumn("embedding", F.zip_with("embedding", scale, lambda n, w: n.cast("double") * w))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    unit = weighted.withColumn("__norm", norm)
+    return unit.withColumn("embedding", F.transform("embedding", lambda x: F.when(F.col("__norm") > 0, x / F.col("__norm")).otherwise(
+        0.0))).drop("__norm"), list(weights)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -60,15 +96,38 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return rows / np.where(norms > 0, norms, 1.0)
 
 
-def _cosine_kernel(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
-    scores = _matrix(queries["vector"]) @ _matrix(items["vector"]).T
-    return best_k(scores, queries["query_id"].to_numpy(), items["item_id"].to_numpy(), k)
+def _cosine_kernel(matching: bool):
+    def kernel(queries: pa.Table, items: pa.Table, k: int) -> pa.Table:
+        scores = _matrix(queries["vector"]) @ _matrix(items["vector"]).T
+        if matching:
+            scores[np.round(scores, 9) <= 0] = -np.inf
+        return best_k(scores, queries["query_id"].combine_chunks(), items["item_id"].combine_chunks(), k)
 
+    return kernel
 
-def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, **layout) -> DataFrame:
-    """k nearest items by cosine; queries hold (query_id, vector), the corpus (item_id, vector)."""
-    return blockwise_topk(queries.select("query_id", "vector"), corpus.select("item_id", "vector"),
-                          _cosine_kernel, k, **layout)
+
+def check_k(k: int) -> int:
+    """The number of hits a request may ask for."""
+    if not 1 <= k <= 20:
+        raise ValueError("k must lie between 1 and 20")
+    return k
+
+
+def in_collection(items: DataFrame, collection: str | None) -> DataFrame:
+    """Items of a named collection, or all; with the table partitioned by it, a partition filter."""
+    return items if collection is None else items.filter(F.col("collection") == collection)
+
+
+def cosine_topk(queries: DataFrame, corpus: DataFrame, k: int = 5, collection: str | None = None, matching: bool = False,
+                **layout) -> DataFrame:
+    """k nearest items by cosine; queries hold (query_id, vector), the corpus (item_id, vector).
+
+    ``collection`` limits the search to one collection of the corpus; with ``matching`` only items with a cosine above
+    zero are hits.
+    """
+    size = 8 * F.size("vector")
+    return blockwise_topk(queries.select("query_id", "vector"), in_collection(corpus, collection).select("item_id", "vector"),
+                          _cosine_kernel(matching), k, size, size, **layout)
 
 
 def query_result(ranked: DataFrame, texts: DataFrame) -> DataFrame:
@@ -81,12 +140,12 @@ def query_result(ranked: DataFrame, texts: DataFrame) -> DataFrame:
             .select("query_id", "item_id", "text", "score", "rank", "total_found"))
 
 
-def query_terms(queries: DataFrame, corpus_tokens: DataFrame, small: int = 200_000) -> DataFrame:
+def query_terms(queries: DataFrame, corpus_tokens: DataFrame, small_bytes: int = SMALL_BYTES) -> DataFrame:
     """Distinct terms per query with the inverse document frequency in the corpus, and its mean length.
 
     One pass over the corpus: only terms some query asks for are counted, once per
     document, and the empty term stands for the document itself, carrying its
-    length. Up to ``small`` terms travel to the tasks as the filter; beyond that all
+    length. Terms of up to ``small_bytes`` travel to the tasks as the filter; beyond that all
     terms are counted first and the counts filtered. Either way the map tasks
     reduce before anything is shuffled, so frequent terms do not pile up. The
     counts, a row per asked term, are written out.
@@ -101,7 +160,8 @@ def query_terms(queries: DataFrame, corpus_tokens: DataFrame, small: int = 200_0
     def counted(rows: DataFrame) -> DataFrame:
         return rows.groupBy("term").agg(F.count("*").alias("df"), F.avg("length").alias("avgdl"))
 
-    if vocabulary.limit(small + 1).count() <= small:
+    size = vocabulary.agg(F.coalesce(F.sum(F.octet_length("term") + 16), F.lit(0))).first()[0]
+    if size <= small_bytes:
         counts = counted(present.join(F.broadcast(vocabulary), "term", "left_semi"))
     else:
         counts = counted(present).join(vocabulary, "term", "left_semi")
@@ -126,7 +186,7 @@ def _bm25_kernel(setting: Bm25):
         per_query = queries["terms"].combine_chunks().value_lengths().to_numpy()
         # query groups of a bounded vocabulary keep the dense blocks small
         group = np.cumsum(per_query) // TERMS_AT_ONCE
-        parts = [scored(queries.filter(pa.array(group == g)), tokens, lengths, norm, items["item_id"].to_numpy(), k)
+        parts = [scored(queries.filter(pa.array(group == g)), tokens, lengths, norm, items["item_id"].combine_chunks(), k)
                  for g in np.unique(group)]
         return pa.concat_tables(parts)
 
@@ -151,17 +211,25 @@ def _bm25_kernel(setting: Bm25):
             saturated = tf * (setting.k1 + 1) / (tf + norm[first:last, None])
             out[:, first:last] = weights @ saturated.T
         out[out <= 0] = -np.inf
-        return best_k(out, queries["query_id"].to_numpy(), item_ids, k)
+        return best_k(out, queries["query_id"].combine_chunks(), item_ids, k)
 
     return kernel
 
 
-def bm25(queries: DataFrame, corpus: DataFrame, k: int = 5, setting: Bm25 = Bm25(), **layout) -> DataFrame:
-    """k best items by Okapi BM25; queries hold (query_id, text), the corpus (item_id, text)."""
-    tokens = corpus.select("item_id", words(F.col("text")).alias("tokens"))
-    terms_at_once = layout.pop("small_terms", 200_000)
-    layout = {"small": 256, "cell_queries": 512, **layout}
-    return blockwise_topk(query_terms(queries, tokens, terms_at_once), tokens, _bm25_kernel(setting), k, **layout)
+def bm25(queries: DataFrame, corpus: DataFrame, k: int = 5, setting: Bm25 = Bm25(), collection: str | None = None,
+         **layout) -> DataFrame:
+    """k best items by Okapi BM25; queries hold (query_id, text), the corpus (item_id, text).
+
+    ``collection`` limits corpus and statistics to one collection. The tokens are written once and read twice.
+    """
+    tokens = in_collection(corpus, collection).select("item_id", words(F.col("text")).alias("tokens"))
+    tokens = materialise(tokens, "tokens")
+    terms = query_terms(queries, tokens, layout.get("small_bytes", SMALL_BYTES))
+
+    def size(tokens_of: str) -> Column:
+        return F.aggregate(tokens_of, F.lit(0), lambda s, t: s + F.octet_length(t) + 12)
+
+    return blockwise_topk(terms, tokens, _bm25_kernel(setting), k, size("terms"), size("tokens"), **layout)
 
 
 def rrf(*rankings: DataFrame, k: int = 60) -> DataFrame:

@@ -11,6 +11,8 @@ from furrow.config import INDICATORS, SEASON
 from furrow.functions import bands
 from furrow.functions.calendar import week_start, with_calendar
 from furrow.functions.scalars import half_up, suffix_cols
+from furrow.operators.grid import with_years
+from furrow.operators.quantiles import grouped_quantiles
 
 WEEK_KEYS = ("year", "week_of_season", "fips", "county_name")
 
@@ -41,7 +43,8 @@ def weekly(daily: DataFrame, totals: bool = True) -> DataFrame:
     return _week_table(daily.dropna(subset=list(WEEK_KEYS)).groupBy(*WEEK_KEYS).agg(*_week_stats(daily, totals)))
 
 
-def weekly_from_observations(obs: DataFrame, counties: DataFrame, first_year: int, last_year: int) -> DataFrame:
+def weekly_from_observations(obs: DataFrame, counties: DataFrame, first_year: int | Column,
+                             last_year: int | Column) -> DataFrame:
     """The weekly table of an unfilled daily grid, without building the grid.
 
     Days without observations add nothing to a week, so the observations are
@@ -50,10 +53,8 @@ def weekly_from_observations(obs: DataFrame, counties: DataFrame, first_year: in
     """
     keys = ["fips", "year", "week_of_season"]
     rolled = with_calendar(obs).groupBy(*keys).agg(*_week_stats(obs, totals=True))
-    years = F.explode(F.sequence(F.lit(first_year), F.lit(last_year)))
     weeks = F.explode(F.sequence(F.lit(1), F.lit(SEASON.weeks)))
-    all_weeks = counties.dropna().select("fips", "county_name", years.alias("year")).select(
-        "*", weeks.alias("week_of_season"))
+    all_weeks = with_years(counties.dropna(), first_year, last_year).select("*", weeks.alias("week_of_season"))
     table = all_weeks.join(rolled, keys, "left")
     return _week_table(table.fillna(0, subset=["lst_days_above_32"]))
 
@@ -161,20 +162,22 @@ def index_distribution(scored: DataFrame, index: str = "overall_stress_index",
         F.min(index).alias("min"), F.max(index).alias("max"))
 
 
-def latency_stats(logs: DataFrame, latency: str = "latency_ms", resolution: int = 2) -> DataFrame:
+def latency_stats(logs: DataFrame, latency: str = "latency_ms") -> DataFrame:
     """Latency percentiles, mean sources and success share per request kind.
 
-    Latencies are rounded to the clock's resolution first, so the exact percentile
-    keeps one counter per distinct reading and not one per request.
+    The percentiles are exact and found by narrowing, so no task holds the readings of a kind. ``logs`` is read
+    several times: pass a written table.
     """
-    reading = F.round(latency, resolution)
-    pct = F.percentile(reading, F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    return logs.groupBy("kind").agg(
-        F.count("*").alias("requests"), pct.alias("p"),
-        F.avg("sources").alias("mean_sources"),
-        F.avg(F.when(F.col("status") == "success", 1.0).otherwise(0.0)).alias("success_share"),
-    ).select("kind", "requests", F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95"),
-             F.col("p")[2].alias("p99"), "mean_sources", "success_share")
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    quantiles = grouped_quantiles(logs, [latency], list(probs.values()), group="kind")
+    kind = logs.schema["kind"].dataType.simpleString()
+    table = logs.sparkSession.createDataFrame(
+        [(g, *q) for (g, _), q in quantiles.items()], f"__kind {kind}, " + ", ".join(f"{n} double" for n in probs))
+    stats = logs.groupBy("kind").agg(
+        F.count("*").alias("requests"), F.avg("sources").alias("mean_sources"),
+        F.avg(F.when(F.col("status") == "success", 1.0).otherwise(0.0)).alias("success_share"))
+    return stats.join(F.broadcast(table), F.col("kind").eqNullSafe(F.col("__kind")), "left").select(
+        "kind", "requests", *probs, "mean_sources", "success_share")
 
 
 def state_summary(week_scores: DataFrame, k: int = 5) -> DataFrame:

@@ -64,10 +64,12 @@ OBSD = "SELECT *, eto_mean - pr_mean AS water_deficit_mean, 0e0 AS water_deficit
 
 DIM = "SELECT fips, max_by(county_name, date) AS county_name FROM obs GROUP BY fips"
 
+SPAN = """SELECT make_date(min(year(date)), 5, 1) AS first_day, make_date(max(year(date)), 10, 31) AS last_day FROM obs"""
+
 GRID = f"""
 SELECT d AS date, fips, county_name, year(d) AS year, month(d) AS month, dayofyear(d) AS doy,
   {week_of('d')} AS week_of_season
-FROM dim CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
+FROM dim CROSS JOIN (SELECT CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS d FROM span)
 WHERE month(d) BETWEEN 5 AND 10"""
 
 DAILY = (
@@ -137,10 +139,10 @@ FROM allidx"""
 YEARS = """
 SELECT CAST(y AS BIGINT) AS year, CAST(19000 + s_suppkey AS VARCHAR) AS fips, s_name AS county,
   CAST(120 + (s_suppkey * 37 + y * 11) % 100 AS DOUBLE) AS yield_bu_per_acre
-FROM supplier CROSS JOIN (SELECT unnest(generate_series(1995, 2001)) AS y)"""
+FROM supplier CROSS JOIN (SELECT unnest(generate_series(year(first_day), year(last_day))) AS y FROM span)"""
 
 BASE = {
-    "px": PX, "obs": OBS, "obsd": OBSD, "dim": DIM, "grid": GRID, "daily": DAILY,
+    "px": PX, "obs": OBS, "obsd": OBSD, "dim": DIM, "span": SPAN, "grid": GRID, "daily": DAILY,
     "weekly": weekly_sql("daily"), "parts": PARTS, "idx": IDX, "allidx": OVERALL, "scored": SCORED,
     "yields": YEARS,
 }

@@ -36,19 +36,20 @@ cuts(doc_id, start, stop) AS (
 pieces AS (SELECT c.doc_id, c.start, trim(substr(d.text, c.start + 1, c.stop - c.start), {SPACES}) AS text
   FROM cuts c JOIN documents d ON c.doc_id = d.doc_id)"""
 
-FIXED = """
-starts AS (SELECT doc_id, source, lang, text, unnest(range(0, length(text), 800)) AS s FROM documents),
-cut AS (SELECT doc_id, source, lang, s, trim(substr(text, CAST(s AS BIGINT) + 1, 1000)) AS text FROM starts),
-fixed AS (SELECT doc_id, source, lang, row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS chunk_index, text
-  FROM cut WHERE text <> '')"""
+CHUNKS = SENTENCES + """,
+chunked AS (SELECT p.doc_id, source, lang, 'guides-' || lang AS collection,
+  row_number() OVER (PARTITION BY p.doc_id ORDER BY start) - 1 AS chunk_index, p.text
+  FROM pieces p JOIN documents d ON p.doc_id = d.doc_id WHERE p.text <> '')"""
 
 
 def documents(spark, sf):
     return spread(d.table(spark, sf, "documents").select("doc_id", "source", "lang", "text"))
 
 
-def fixed(spark, sf):
-    return retrieval.chunk(retrieval.skip_empty_docs(documents(spark, sf)), sentence=False)
+def chunks(spark, sf):
+    """Sentence-aware chunks of all documents, one collection per language."""
+    return retrieval.chunk(retrieval.skip_empty_docs(documents(spark, sf))).withColumn(
+        "collection", F.concat(F.lit("guides-"), "lang"))
 
 
 @query("chunk_text", SENTENCES + """
@@ -56,16 +57,16 @@ def fixed(spark, sf):
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, length(text) AS characters,
   md5(text) AS digest FROM pieces WHERE text <> ''""")
 def chunk_text(spark, sf):
-    chunks = retrieval.chunk(documents(spark, sf).select("doc_id", "text"))
-    return chunks.select("doc_id", "chunk_index", F.length("text").alias("characters"), F.md5("text").alias("digest"))
+    pieces = retrieval.chunk(documents(spark, sf).select("doc_id", "text"))
+    return pieces.select("doc_id", "chunk_index", F.length("text").alias("characters"), F.md5("text").alias("digest"))
 
 
-@query("chunk_metadata", FIXED + """
+@query("chunk_metadata", CHUNKS + """
 --
-SELECT doc_id, source, '.txt' AS file_type, chunk_index, '2025-11-25 10:30:00' AS loaded_at, md5(text) AS digest FROM fixed""")
+SELECT doc_id, source, '.txt' AS file_type, chunk_index, '2025-11-25 10:30:00' AS loaded_at, md5(text) AS digest FROM chunked""")
 def chunk_metadata(spark, sf):
-    chunks = fixed(spark, sf).withColumn("file_type", F.lit(".txt"))
-    stamped = retrieval.with_chunk_metadata(chunks, F.lit("2025-11-25 10:30:00").cast("timestamp"))
+    named = chunks(spark, sf).withColumn("file_type", F.lit(".txt"))
+    stamped = retrieval.with_chunk_metadata(named, F.lit("2025-11-25 10:30:00").cast("timestamp"))
     return stamped.select("doc_id", "source", "file_type", "chunk_index", "loaded_at", F.md5("text").alias("digest"))
 
 
@@ -78,41 +79,41 @@ def skip_empty_docs(spark, sf):
     return retrieval.skip_empty_docs(docs).select("doc_id", F.length("text").alias("characters"))
 
 
-@query("chunk_ids", FIXED + """
+@query("chunk_ids", CHUNKS + """
 --
-SELECT doc_id, chunk_index, sha256(concat_ws('#', source, doc_id, chunk_index)) AS id FROM fixed""")
+SELECT doc_id, chunk_index, sha256(concat_ws('#', source, doc_id, chunk_index)) AS id FROM chunked""")
 def chunk_ids(spark, sf):
-    return retrieval.with_chunk_id(fixed(spark, sf), "source", "doc_id").select("doc_id", "chunk_index", "id")
+    return retrieval.with_chunk_id(chunks(spark, sf), "source", "doc_id").select("doc_id", "chunk_index", "id")
 
 
 def _loaded(spark, sf):
-    """Chunk table with one collection per language, written by appends."""
+    """Path of a chunk table with one collection per language, whatever the languages are."""
     path = new_path(spark, "chunks")
-    chunks = fixed(spark, sf)
-    for lang in ("en", "de", "fr", "es"):
-        writers.load_chunks(chunks.filter(F.col("lang") == lang), path, f"guides-{lang}")
-    return spark.read.parquet(path)
+    writers.load_chunks(chunks(spark, sf), path, collection=None)
+    return path
 
 
-@query("load_chunks", FIXED + """
+@query("load_chunks", CHUNKS + """
 --
-SELECT 'guides-' || lang AS collection, doc_id, chunk_index, md5(text) AS digest FROM fixed""")
+SELECT collection, doc_id, chunk_index, md5(text) AS digest FROM chunked""")
 def load_chunks(spark, sf):
-    return _loaded(spark, sf).select("collection", "doc_id", "chunk_index", F.md5("text").alias("digest"))
+    return spark.read.parquet(_loaded(spark, sf)).select("collection", "doc_id", "chunk_index", F.md5("text").alias("digest"))
 
 
-@query("collection_counts", FIXED + """
+@query("collection_counts", CHUNKS + """
 --
-SELECT 'guides-' || lang AS collection, count(*) AS chunks FROM fixed GROUP BY lang""")
+SELECT collection, count(*) AS chunks FROM chunked GROUP BY collection""")
 def collection_counts(spark, sf):
-    return rollup.collection_counts(fixed(spark, sf).withColumn("collection", F.concat(F.lit("guides-"), "lang")))
+    return rollup.collection_counts(chunks(spark, sf))
 
 
-@query("delete_collection", FIXED + """
+@query("delete_collection", CHUNKS + """
 --
-SELECT 'guides-' || lang AS collection, doc_id, chunk_index FROM fixed WHERE lang <> 'fr'""")
+SELECT collection, doc_id, chunk_index FROM chunked WHERE collection <> 'guides-fr'""")
 def delete_collection(spark, sf):
-    return writers.delete_collection(_loaded(spark, sf), "guides-fr").select("collection", "doc_id", "chunk_index")
+    path = _loaded(spark, sf)
+    writers.delete_collection(spark, path, "guides-fr")
+    return spark.read.parquet(path).select("collection", "doc_id", "chunk_index")
 
 
 # ---- rankings
@@ -122,38 +123,77 @@ def vectors(spark, sf):
     return spread(d.table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
 
 
-def nearest_all(spark, sf, k=5):
-    """Every stored vector as a query against all of them."""
+def nearest(spark, sf, k=5):
+    """Stored vectors with an id divisible by 50 as queries against all of them."""
     v = vectors(spark, sf)
-    return retrieval.cosine_topk(v.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
+    asked = v.filter(F.col("vec_id") % 50 == 0)
+    return retrieval.cosine_topk(asked.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector")),
                                  v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), k)
 
 
 COSINE = """
 sims AS (SELECT q.vec_id AS query_id, c.vec_id AS item_id, q.label AS query_label, c.label AS item_label,
   round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(c.embedding AS DOUBLE[])), 9) AS score
-  FROM embeddings q CROSS JOIN embeddings c),
+  FROM embeddings q CROSS JOIN embeddings c WHERE q.vec_id % 50 = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM sims)"""
 
-
-@query("cosine_topk", COSINE + f"\n--\nSELECT query_id, item_id, {r6('score')} AS score, rank FROM ranked WHERE rank <= 5")
+# Hashed term vectors of the chunks, and of the texts that are asked, as (id, component, value).
+EMBEDDED = CHUNKS + """,
+items AS (SELECT doc_id || '#' || chunk_index AS id, doc_id, chunk_index, collection, text FROM chunked),
+tfb AS (SELECT id, b, count(*) AS tf FROM (SELECT id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS b
+  FROM (SELECT id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term
+  FROM items)) GROUP BY ALL),
+idf AS (SELECT b, ln(((SELECT count(*) FROM items) + 1) / (count(*) + 1e0)) AS idf FROM tfb GROUP BY b),
+wt AS (SELECT id, b, tf, tf * idf AS w FROM tfb JOIN idf USING (b)),
+vec AS (SELECT id, b, tf, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS v FROM wt)"""
+
+ASKED = EMBEDDED + """,
+asked AS (SELECT DISTINCT md5(text) AS query_id, text FROM conversations WHERE role = 'user' AND text IS NOT NULL),
+qtf AS (SELECT query_id, b, count(*) AS tf FROM (SELECT query_id, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) % 256 AS b
+  FROM (SELECT query_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS term
+  FROM asked)) GROUP BY ALL),
+qwt AS (SELECT query_id, b, tf * coalesce(idf, ln((SELECT count(*) FROM items) + 1)) AS w FROM qtf LEFT JOIN idf USING (b)),
+qvec AS (SELECT query_id, b, w / sqrt(sum(w * w) OVER (PARTITION BY query_id)) AS v FROM qwt),
+msims AS (SELECT query_id, id AS item_id, round(sum(q.v * c.v), 9) AS score FROM qvec q JOIN vec c USING (b)
+  WHERE id IN (SELECT id FROM items WHERE collection = 'guides-en') GROUP BY query_id, id),
+mrank AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank
+  FROM msims WHERE score > 0)"""
+
+
+def embedded(spark, sf):
+    """Chunk vectors and the weights of their terms."""
+    found, weights = retrieval.embed(materialise(chunks(spark, sf), "chunks"))
+    return found.withColumn("item_id", F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))), weights
+
+
+def answered(spark, sf, k=5):
+    """Best chunks of the English guides for every different message, and the chunks."""
+    items, weights = embedded(spark, sf)
+    asked = d.table(spark, sf, "conversations").filter("role = 'user' AND text IS NOT NULL").select(
+        F.md5("text").alias("query_id"), "text").distinct()
+    queries, _ = retrieval.embed(asked, weights=weights)
+    hits = retrieval.cosine_topk(queries.withColumnRenamed("embedding", "vector"), items.withColumnRenamed("embedding", "vector"),
+                                 retrieval.check_k(k), collection="guides-en", matching=True)
+    return hits, items
+
+
+@query("cosine_topk", ASKED + f"\n--\nSELECT query_id, item_id, {r6('score')} AS score, rank FROM mrank WHERE rank <= 5")
 def cosine_topk(spark, sf):
-    return nearest_all(spark, sf)
+    return answered(spark, sf)[0]
 
 
 @query("retrieval_rank", COSINE + "\n--\nSELECT query_id, item_id, rank FROM ranked WHERE rank <= 20")
 def retrieval_rank(spark, sf):
-    return nearest_all(spark, sf, 20).select("query_id", "item_id", "rank")
+    return nearest(spark, sf, 20).select("query_id", "item_id", "rank")
 
 
-@query("query_result", COSINE + f"""
+@query("query_result", ASKED + f"""
 --
 SELECT query_id, item_id, md5(text) AS text, {r6('score')} AS score, rank, total_found
-FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total_found FROM ranked WHERE rank <= 5)
-JOIN documents ON doc_id = item_id""")
+FROM (SELECT *, count(*) OVER (PARTITION BY query_id) AS total_found FROM mrank WHERE rank <= 5) JOIN items ON id = item_id""")
 def query_result(spark, sf):
-    texts = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
-    return retrieval.query_result(nearest_all(spark, sf), texts).withColumn("text", F.md5("text"))
+    hits, items = answered(spark, sf)
+    return retrieval.query_result(hits, items.select("item_id", "text")).withColumn("text", F.md5("text"))
 
 
 @query("retrieval_eval", COSINE + f"""
@@ -163,7 +203,7 @@ SELECT query_type, count(*) AS queries, {r6('avg(share)')} AS mean_relevance FRO
   WHERE rank <= 5 GROUP BY query_label, query_id) GROUP BY query_type""")
 def retrieval_eval(spark, sf):
     v = vectors(spark, sf)
-    hits = nearest_all(spark, sf)
+    hits = nearest(spark, sf)
     judged = hits.join(v.select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_type")), "query_id").join(
         v.select(F.col("vec_id").alias("item_id"), F.col("label").alias("item_type")), "item_id").select(
         "query_id", "query_type", (F.col("query_type") == F.col("item_type")).cast("int").alias("relevant"))
@@ -190,12 +230,12 @@ def benchmark(spark, sf):
     return d.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("bm25_rank", FIXED + ",\nitems AS (SELECT doc_id * 100000 + chunk_index AS item_id, text FROM fixed)," + bm25_sql("items") + f"""
+@query("bm25_rank", CHUNKS + ",\nitems AS (SELECT doc_id || '#' || chunk_index AS item_id, text FROM chunked)," + bm25_sql("items") + f"""
 --
 SELECT query_id, item_id, {r6('score')} AS score, rank FROM bmr WHERE rank <= 5""")
 def bm25_rank(spark, sf):
-    chunks = fixed(spark, sf).select((F.col("doc_id") * 100000 + F.col("chunk_index")).alias("item_id"), "text")
-    return retrieval.bm25(benchmark(spark, sf), chunks, 5)
+    key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
+    return retrieval.bm25(benchmark(spark, sf), chunks(spark, sf).select(key.alias("item_id"), "text"), 5)
 
 
 @query("rrf_fuse", "items AS (SELECT doc_id AS item_id, text FROM documents)," + bm25_sql("items") + "," + COSINE + f"""
@@ -209,34 +249,37 @@ def rrf_fuse(spark, sf):
     queries, v = benchmark(spark, sf), vectors(spark, sf)
     lexical = retrieval.bm25(queries, docs, 20)
     near = retrieval.cosine_topk(
-        v.join(queries, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector")),
+        v.filter("vec_id % 50 = 0").join(queries, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector")),
         v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 20)
     return retrieval.rrf(lexical, near)
 
 
-@query("embed_chunks", FIXED + """
+@query("embed_chunks", EMBEDDED + f"""
 --
-SELECT doc_id, chunk_index, 256 AS dim, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}]') THEN 1e0 ELSE 0e0 END AS norm
-FROM fixed""")
+SELECT i.doc_id, i.chunk_index, 256 AS dim, count(b) AS parts, {r6('coalesce(sum(v), 0e0)')} AS total,
+  {r6('coalesce(max(v), 0e0)')} AS largest, {r6('coalesce(sum(v * b), 0e0)')} AS moment
+FROM items i LEFT JOIN vec USING (id) GROUP BY i.doc_id, i.chunk_index""")
 def embed_chunks(spark, sf):
-    """Unit vectors of all chunks; the summary columns check length and support."""
-    embedded, _ = retrieval.embed(fixed(spark, sf))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x)
-    return embedded.select("doc_id", "chunk_index", F.size("embedding").alias("dim"),
-                           F.round(F.sqrt(squares), 4).alias("norm"))
+    """Unit vectors of all chunks, shown by how many components they have, their sum, maximum and first moment."""
+    found, _ = embedded(spark, sf)
+    v = F.col("embedding")
+    zero = F.lit(0.0)
+    return found.select(
+        "doc_id", "chunk_index", F.size(v).alias("dim"), F.size(F.filter(v, lambda x: x != 0)).alias("parts"),
+        F.aggregate(v, zero, lambda a, x: a + x).alias("total"), F.array_max(v).alias("largest"),
+        F.aggregate(F.transform(v, lambda x, i: x * i), zero, lambda a, x: a + x).alias("moment"))
 
 
 # ---- chat
 
 REQ = """
-req AS (SELECT conv_id * 1000 + turn AS request_id, text AS message,
+req AS (SELECT conv_id || '#' || turn AS request_id, text AS message,
   CASE WHEN conv_id % 11 <> 10 THEN CAST(19000 + conv_id % (SELECT count(*) FROM supplier) AS VARCHAR) END AS fips,
   CASE WHEN turn % 4 <> 3 THEN (conv_id * 7 + turn * 3) % 31 END AS week, conv_id % 7 <> 6 AS live,
   CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 100 AS DOUBLE) END AS c_overall,
   CASE WHEN conv_id % 3 = 0 AND turn % 2 = 0 THEN CAST(conv_id % 90 AS DOUBLE) END AS c_water,
   CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 5 * 40 AS DOUBLE) END AS c_yield,
-  CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 4 * 3 AS DOUBLE) END AS c_spread,
-  conv_id % (SELECT count(*) FROM embeddings) AS vec FROM conversations WHERE role = 'user')"""
+  CASE WHEN conv_id % 3 = 0 THEN CAST(conv_id % 4 * 3 AS DOUBLE) END AS c_spread FROM conversations WHERE role = 'user')"""
 
 NEAR = STD + "," + REQ + """,
 near AS (SELECT * FROM (SELECT r.request_id, t.*, row_number() OVER (PARTITION BY r.request_id ORDER BY
@@ -259,7 +302,7 @@ seen AS (SELECT r.request_id, coalesce(nullif(r.week, 0), c.current_week) AS cur
   AND s.week <= coalesce(nullif(r.week, 0), c.current_week)),
 feat AS ({features_sql('request_id, current_week', 'seen')}),
 fc AS (SELECT request_id, {POINT} AS raw, {LINEAR_UNC} AS u FROM feat),
-ctx AS (SELECT r.request_id, r.message, r.fips, r.vec, r.live AND r.fips IS NOT NULL AS on_, n.county_name, n.week_start,
+ctx AS (SELECT r.request_id, r.message, r.fips, r.live AND r.fips IS NOT NULL AS on_, n.county_name, n.week_start,
   coalesce(n.week_of_season, r.week) AS week_of_season,
   coalesce(c_overall, n.overall_stress_index) AS overall_stress, coalesce(c_water, n.water_value) AS water_stress,
   n.heat_value AS heat_stress, n.vegetation_value AS vegetation_health, n.atmosphere_value AS atmospheric_stress,
@@ -307,9 +350,9 @@ def _shown(name: str, digits: int) -> str:
     return f"coalesce(CAST({half_up(name, digits)} AS VARCHAR), 'N/A')"
 
 
-PROMPTS = CONTEXT + "," + COSINE + f""",
+PROMPTS = ASKED + "," + CONTEXT + f""",
 docs AS (SELECT query_id, string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS c,
-  count(*) AS sources FROM ranked JOIN documents ON doc_id = item_id WHERE rank <= 5 GROUP BY query_id),
+  count(*) AS sources FROM mrank JOIN items ON id = item_id WHERE rank <= 5 GROUP BY query_id),
 p AS (SELECT request_id, on_ AS has_live_data, coalesce(sources, 0) AS sources_used,
   concat_ws(chr(10), 'User Question: ' || message || chr(10),
   CASE WHEN on_ THEN concat(chr(10), 'LIVE STRESS DATA (Current Conditions):', chr(10), 'County: ', county_name, chr(10),
@@ -328,16 +371,16 @@ p AS (SELECT request_id, on_ AS has_live_data, coalesce(sources, 0) AS sources_u
       || CASE WHEN length(c) > 3000 THEN substr(c, 1, 3000) || chr(10) || '... (truncated)' ELSE c END || chr(10) END,
   chr(10) || 'Please answer the user''s question using the information above.' || chr(10)
     || 'Prioritize live data for current conditions and use document context for background information.' || chr(10)) AS prompt
-  FROM ctx LEFT JOIN docs ON query_id = vec)"""
+  FROM ctx LEFT JOIN docs ON query_id = md5(message))"""
 
 
 def prompts(spark, sf):
-    stored = vectors(spark, sf).agg(F.count("*")).scalar()
-    asked = d.requests(spark, sf).select(
-        "request_id", F.pmod(F.floor(F.col("request_id") / 1000), stored).alias("query_id"))
-    texts = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
-    hits = asked.join(nearest_all(spark, sf), "query_id").join(texts, "item_id").select("request_id", "rank", "text")
-    return retrieval.assemble_prompts(contexts(spark, sf), hits)
+    """Prompt of every request: its message finds the chunks, its county and week the live data."""
+    hits, items = answered(spark, sf)
+    texts = hits.join(items.select("item_id", "text"), "item_id").select("query_id", "rank", "text")
+    asked = d.requests(spark, sf).select("request_id", F.md5("message").alias("query_id"))
+    found = asked.join(texts, "query_id").select("request_id", "rank", "text")
+    return retrieval.assemble_prompts(contexts(spark, sf), found)
 
 
 @query("prompt_assembly", PROMPTS + """

@@ -10,9 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from furrow.functions.calendar import in_season
+from furrow.functions.calendar import season_end as calendar_end
 from furrow.operators import grid, joins, rollup, stress
-
-FIRST_YEAR, LAST_YEAR = 1995, 2001
+from furrow.session import stored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,23 +68,41 @@ def indicator(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return joins.with_county_name(stats, county_names(spark, sf_dir)).withColumn("mask_year", F.year("date"))
 
 
+def observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observation table as the pipeline stores it: the pixels are reduced once per session and input."""
+    return stored("observations", [table(spark, sf_dir, "lineitem")], lambda: observations(spark, sf_dir))
+
+
 def counties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counties with observations, with the name of their last one."""
-    seen = season_readings(spark, sf_dir).filter(grid.crop_mask() == 1).groupBy("fips").agg(F.max("date").alias("date"))
+    seen = observed(spark, sf_dir).groupBy("fips").agg(F.max("date").alias("date"))
     return grid.county_dim(joins.with_county_name(seen, county_names(spark, sf_dir)))
 
 
+def season_years(spark: SparkSession, sf_dir: str) -> tuple[Column, Column]:
+    """First and last year with observations, as scalar subqueries over the reduced table."""
+    obs = observed(spark, sf_dir)
+    return tuple(obs.agg(F.year(f("date"))).scalar() for f in (F.min, F.max))
+
+
+def season_end(spark: SparkSession, sf_dir: str) -> Column:
+    """Last day of the newest season."""
+    return calendar_end(season_years(spark, sf_dir)[1])
+
+
 def season_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.season_grid(counties(spark, sf_dir), FIRST_YEAR, LAST_YEAR)
+    return grid.season_grid(counties(spark, sf_dir), *season_years(spark, sf_dir))
 
 
 def daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.daily_from_wide(season_grid(spark, sf_dir), observations(spark, sf_dir))
+    return grid.daily_from_wide(season_grid(spark, sf_dir), observed(spark, sf_dir))
 
 
 def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return snapped(rollup.weekly_from_observations(
-        observations(spark, sf_dir), counties(spark, sf_dir), FIRST_YEAR, LAST_YEAR))
+    """The weekly table as the pipeline stores it; serving queries read it."""
+    sources = [table(spark, sf_dir, n) for n in ("lineitem", "supplier")]
+    return stored("weekly", sources, lambda: snapped(rollup.weekly_from_observations(
+        observed(spark, sf_dir), counties(spark, sf_dir), *season_years(spark, sf_dir))))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,8 +116,10 @@ def recent_scores(spark: SparkSession, sf_dir: str, limit: int = 30) -> DataFram
 
 def yields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """County-year harvests."""
-    year = F.explode(F.sequence(F.lit(FIRST_YEAR), F.lit(LAST_YEAR)))
-    return table(spark, sf_dir, "supplier").select(
+    first, last = season_years(spark, sf_dir)
+    suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", first.alias("first"), last.alias("last"))
+    year = F.explode(F.sequence("first", "last"))
+    return suppliers.select(
         year.alias("year"), county_code(F.col("s_suppkey")).alias("fips"), F.col("s_name").alias("county"),
         "s_suppkey").select(
         "year", "fips", "county",
@@ -113,7 +133,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv, turn = F.col("conv_id"), F.col("turn")
     sent = conv % 3 == 0
     return turns.select(
-        (conv * 1000 + turn).alias("request_id"), F.col("text").alias("message"),
+        F.concat_ws("#", conv.cast("string"), turn.cast("string")).alias("request_id"), F.col("text").alias("message"),
         F.when(conv % 11 != 10, county_code(conv % known)).alias("fips"),
         F.when(turn % 4 != 3, ((conv * 7 + turn * 3) % 31).cast("int")).alias("week"),
         (conv % 7 != 6).alias("include_live_data"),

@@ -65,15 +65,19 @@ def src_yield_json(spark, sf):
     return readers.parse_yield_records(d.yields(spark, sf).select(record.alias("record")))
 
 
+RECORD_END = "\x1e"
+
+
 @query("src_text_dir", """
-SELECT lang, '.txt' AS file_type, CAST(sum(length(text) + 1) AS BIGINT) AS characters FROM documents GROUP BY lang""")
+SELECT lang, '.txt' AS file_type, length(text) AS characters, md5(text) AS digest FROM documents""")
 def src_text_dir(spark, sf):
-    # One folder per language; the text sink ends every document with a line break.
+    # One folder per language; a record ends with its own separator, so no file is one row.
     path = new_path(spark, "texts")
-    d.table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").text(path)
-    files = readers.read_documents(spark, path)
+    d.table(spark, sf, "documents").select("lang", "text").write.partitionBy("lang").option(
+        "lineSep", RECORD_END).text(path)
+    rows = readers.read_documents(spark, path, RECORD_END)
     lang = F.regexp_extract("path", r"lang=([^/]+)/", 1)
-    return files.groupBy(lang.alias("lang"), "file_type").agg(F.sum(F.length("text")).alias("characters"))
+    return rows.select(lang.alias("lang"), "file_type", F.length("text").alias("characters"), F.md5("text").alias("digest"))
 
 
 @query("src_weekly_by_contract", """
@@ -163,9 +167,8 @@ def zonal_stats(spark, sf):
 SELECT nation, year(date) AS year, {r6('avg(eto)')} AS mean, {r6('stddev_pop(eto)')} AS std, {r6('min(eto)')} AS min,
   {r6('max(eto)')} AS max FROM px WHERE crop_class = 1 AND month(date) BETWEEN 5 AND 10 GROUP BY nation, year(date)""")
 def spatial_stats(spark, sf):
-    named = d.season_readings(spark, sf).join(d.county_names(spark, sf), "fips")
-    yearly = named.withColumn("year", F.year("date"))
-    return grid.zonal_stats(yearly, "eto", keys=("nation", "year"))
+    pixels = d.season_readings(spark, sf).withColumn("year", F.year("date"))
+    return grid.area_stats(pixels, d.county_names(spark, sf).select("fips", "nation"), "eto", ("nation", "year"))
 
 
 def _raw(spark, sf, name, encode):
@@ -204,54 +207,56 @@ def rescale_vpd(spark, sf):
 
 @query("high_water_mark", """
 SELECT CAST(max(date) AS VARCHAR) AS last_date, CAST(max(date) + 1 AS VARCHAR) AS start_date,
-  max(date) + 1 > DATE '2001-10-31' AS up_to_date FROM obs""")
+  max(date) + 1 > (SELECT last_day FROM span) AS up_to_date FROM obs""")
 def high_water_mark(spark, sf):
-    return increments.next_start(d.indicator(spark, sf, "pr"), "2016-05-01", F.lit("2001-10-31").cast("date"))
+    return increments.next_start(d.indicator(spark, sf, "pr"), "2016-05-01", d.season_end(spark, sf))
 
 
-# Old rows: all years but the last; new rows: the last two years, values shifted, so keys collide.
+# Stored rows: all years but the last; new rows: the last two years, values shifted, so keys collide.
 UPSERT = f"""
-old AS (SELECT date, fips, county_name, pr_mean AS mean, 0 AS b FROM obs WHERE year(date) <= 2000),
-new AS (SELECT date, fips, county_name, pr_mean + 1 AS mean, 1 AS b FROM obs WHERE year(date) >= 2000),
+newest AS (SELECT year(last_day) AS y FROM span),
+old AS (SELECT date, fips, county_name, pr_mean AS mean, 0 AS b FROM obs, newest WHERE year(date) < y),
+new AS (SELECT date, fips, county_name, pr_mean + 1 AS mean, 1 AS b FROM obs, newest WHERE year(date) >= y - 1),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY date, fips ORDER BY b DESC) AS rn
   FROM (SELECT * FROM old UNION ALL SELECT * FROM new))
 --
 SELECT CAST(date AS VARCHAR) AS date, fips, county_name, {r6('mean')} AS mean FROM ranked WHERE rn = 1"""
 
 
-def _upserted(spark, sf):
-    obs = d.indicator(spark, sf, "pr").select("date", "fips", "county_name", "mean")
-    old = obs.filter(F.year("date") <= 2000)
-    new = obs.filter(F.year("date") >= 2000).withColumn("mean", F.col("mean") + 1)
-    return increments.upsert(old, new, ["date", "fips"], ["mean"])
-
-
 @query("incremental_upsert", UPSERT)
 def incremental_upsert(spark, sf):
-    return _upserted(spark, sf).orderBy("date", "fips")
+    """A stored table takes an increment; only the years it brings are read and written again."""
+    obs = d.indicator(spark, sf, "pr").select("date", "fips", "county_name", "mean", F.year("date").alias("year"))
+    newest, path = d.season_years(spark, sf)[1], new_path(spark, "increments")
+    writers.write_table(obs.filter(F.col("year") < newest), path)
+    fresh = obs.filter(F.col("year") >= newest - 1).withColumn("mean", F.col("mean") + 1)
+    increments.upsert_table(spark, path, fresh, ["date", "fips"], ["mean"])
+    return spark.read.schema(obs.schema).parquet(path).drop("year").orderBy("date", "fips")
 
 
 @query("upsert_yields", """
-SELECT year, fips, county, CASE WHEN year >= 1999 THEN yield_bu_per_acre + 2 ELSE yield_bu_per_acre END
-  AS yield_bu_per_acre FROM yields""")
+SELECT year, fips, county, CASE WHEN year >= (SELECT year(last_day) - 2 FROM span) THEN yield_bu_per_acre + 2
+  ELSE yield_bu_per_acre END AS yield_bu_per_acre FROM yields""")
 def upsert_yields(spark, sf):
-    stored = d.yields(spark, sf)
-    fresh = stored.filter(F.col("year") >= 1999).withColumn("yield_bu_per_acre", F.col("yield_bu_per_acre") + 2)
-    return increments.upsert(stored.filter(F.col("year") <= 2000), fresh, ["year", "fips"], ["county"]).orderBy(
-        "year", "county")
+    harvests, newest, path = d.yields(spark, sf), d.season_years(spark, sf)[1], new_path(spark, "yields")
+    writers.write_table(harvests.filter(F.col("year") < newest), path)
+    fresh = harvests.filter(F.col("year") >= newest - 2).withColumn("yield_bu_per_acre", F.col("yield_bu_per_acre") + 2)
+    increments.upsert_table(spark, path, fresh, ["year", "fips"], ["county"])
+    return spark.read.schema(harvests.schema).parquet(path).select(*harvests.columns).orderBy("year", "county")
 
 
 @query("dedupe_keep_last", """
-SELECT s_name AS county_name, CAST(max(l_orderkey * 10 + l_linenumber) AS BIGINT) AS last_row,
-  max_by(l_quantity, l_orderkey * 100000000 + l_linenumber * 10000000 + l_partkey) AS lst
-FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY s_name""")
+SELECT s_name AS county_name, l_orderkey AS last_order, l_linenumber AS last_line, l_quantity AS lst
+FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS rn
+  FROM lineitem) JOIN supplier ON l_suppkey = s_suppkey WHERE rn = 1""")
 def dedupe_keep_last(spark, sf):
+    """The last line of every county; names join the reduced rows."""
     lines, counties = d.table(spark, sf, "lineitem"), d.table(spark, sf, "supplier")
-    rows = lines.join(counties, lines.l_suppkey == counties.s_suppkey).select(
-        F.col("s_name").alias("county_name"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("last_row"),
-        F.col("l_quantity").alias("lst"),
-        (F.col("l_orderkey") * 100000000 + F.col("l_linenumber") * 10000000 + F.col("l_partkey")).alias("seq"))
-    return increments.keep_last(rows, ["county_name"], ["seq"]).drop("seq")
+    rows = lines.select("l_suppkey", F.col("l_orderkey").alias("last_order"), F.col("l_linenumber").alias("last_line"),
+                        "l_partkey", F.col("l_quantity").alias("lst"))
+    last = increments.keep_last(rows, ["l_suppkey"], ["last_order", "last_line", "l_partkey"])
+    return last.join(counties, last["l_suppkey"] == counties["s_suppkey"]).select(
+        F.col("s_name").alias("county_name"), "last_order", "last_line", "lst")
 
 
 @query("missing_years", """
@@ -277,8 +282,8 @@ def sink_parquet(spark, sf):
 
 
 @query("ingest_summary", f"""
-SELECT count(*) AS rows, count(*) FILTER (WHERE year(date) = 2001) AS new_rows,
+SELECT count(*) AS rows, count(*) FILTER (WHERE year(date) = (SELECT year(last_day) FROM span)) AS new_rows,
   CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date,
   count(DISTINCT fips) AS counties, {r6('avg(pr_mean)')} AS mean_value FROM obs""")
 def ingest_summary(spark, sf):
-    return increments.ingest_summary(d.indicator(spark, sf, "pr"), is_new=F.year("date") == 2001)
+    return increments.ingest_summary(d.indicator(spark, sf, "pr"), is_new=F.year("date") == d.season_years(spark, sf)[1])

@@ -12,8 +12,12 @@ from furrow.streaming import streams
 
 
 def read_stream(spark, sf_dir: str, name: str):
+    """A driver table as a stream of files; the table may be a file or a directory.
+
+    The path is written as a pattern, since a stream takes a plain path for a directory.
+    """
     schema = d.table(spark, sf_dir, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def events(spark, sf):
@@ -29,11 +33,11 @@ ev AS (SELECT ts + INTERVAL 121 DAY AS ts, CAST(19000 + user_id AS VARCHAR) AS f
   FROM events)"""
 
 
-def finished(stream, spark, name: str):
-    """Result of an append-mode stream after it has read everything."""
+def run(start, spark, name: str) -> str:
+    """Path of a stream's log after it has read everything."""
     target = new_path(spark, name)
-    streams.append_to(stream, target, new_path(spark, f"{name}-checkpoint")).awaitTermination()
-    return spark.read.schema(stream.schema).parquet(target)
+    start(target, new_path(spark, f"{name}-checkpoint")).awaitTermination()
+    return target
 
 
 @query("stream_upsert", EV + """
@@ -42,9 +46,8 @@ SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, fips, max(event_id) AS event_i
 FROM ev GROUP BY ALL""")
 def stream_upsert(spark, sf):
     rows = events(spark, sf).select(F.to_date("ts").alias("date"), "fips", "event_id", "mean")
-    target = new_path(spark, "upsert")
-    streams.stream_upsert(rows, target, new_path(spark, "upsert-checkpoint"), ["date", "fips"], ["event_id"]).awaitTermination()
-    return streams.read_upserted(spark, target, ["date", "fips"], ["event_id"])
+    target = run(lambda t, c: streams.stream_upsert(rows, t, c, ["date", "fips"], ["event_id"]), spark, "upsert")
+    return streams.read_upserted(spark, target, ["date", "fips"], ["event_id"], by_arrival=False)
 
 
 @query("stream_dedup", EV + """
@@ -52,43 +55,44 @@ def stream_upsert(spark, sf):
 SELECT DISTINCT CAST(CAST(ts AS DATE) AS VARCHAR) AS date, fips FROM ev""")
 def stream_dedup(spark, sf):
     rows = events(spark, sf).withColumn("date", F.to_date("ts"))
-    return finished(streams.stream_dedup(rows, "ts", "2 days", ["date", "fips"]).select("date", "fips"), spark, "dedup")
+    return streams.read_distinct(spark, run(
+        lambda t, c: streams.stream_dedup(rows, t, c, ["date", "fips"]), spark, "dedup"))
 
 
 def readings(spark, sf):
-    """Masked season pixels as a stream of county rows; counties are a static table."""
+    """Masked season pixels as a stream of county rows; names join the reduced weeks."""
     lines = read_stream(spark, sf, "lineitem")
-    counties = d.table(spark, sf, "supplier")
     day = F.month("l_shipdate").between(5, 10) & (F.col("l_returnflag") != "A")
     eto, pr = F.col("l_extendedprice") / 7000.0, F.greatest(F.lit(0), F.col("l_orderkey") % 40 - 20) / 2.0
-    return lines.filter(day).join(counties, lines.l_suppkey == counties.s_suppkey).select(
-        F.col("l_shipdate").cast("timestamp").alias("ts"), d.county_code(F.col("s_suppkey")).alias("fips"),
-        F.col("s_name").alias("county_name"), (F.col("l_discount") * 10).alias("ndvi_mean"),
-        F.col("l_quantity").alias("lst_mean"), (F.col("l_tax") * 50).alias("vpd_mean"), eto.alias("eto_mean"),
-        pr.alias("pr_mean"), (eto - pr).alias("water_deficit_mean"))
+    return lines.filter(day).select(
+        F.col("l_shipdate").cast("timestamp").alias("ts"), d.county_code(F.col("l_suppkey")).alias("fips"),
+        (F.col("l_discount") * 10).alias("ndvi_mean"), F.col("l_quantity").alias("lst_mean"),
+        (F.col("l_tax") * 50).alias("vpd_mean"), eto.alias("eto_mean"), pr.alias("pr_mean"),
+        (eto - pr).alias("water_deficit_mean"))
 
 
-CLOSED = f"""
+WEEKS = f"""
 wk AS (SELECT year(date) AS year, {week_of('date')} AS week_of_season,
   make_date(year(date), 5, 1) + CAST(7 * ({week_of('date')} - 1) AS INTEGER) AS week_start, fips, county_name,
   ndvi, lst, vpd, eto, pr FROM px WHERE crop_class = 1 AND month(date) BETWEEN 5 AND 10),
 sw AS (SELECT week_start, year, week_of_season, fips, county_name, avg(ndvi) AS ndvi_mean, avg(lst) AS lst_mean,
   avg(vpd) AS vpd_mean, avg(eto) AS eto_mean, avg(pr) AS pr_mean, avg(eto - pr) AS water_deficit_mean,
-  sum(pr) AS pr_sum, sum(eto) AS eto_sum FROM wk WHERE week_start <= (SELECT max(week_start) FROM wk) - 6
-  GROUP BY ALL)"""
+  sum(pr) AS pr_sum, sum(eto) AS eto_sum, week_start = (SELECT max(week_start) FROM wk) AS open FROM wk GROUP BY ALL)"""
+
+
+def _weekly_log(spark, sf) -> str:
+    return run(lambda t, c: streams.stream_weekly(readings(spark, sf), t, c), spark, "weekly-stream")
 
 
-@query("stream_weekly", CLOSED + f"""
+@query("stream_weekly", WEEKS + f"""
 --
-SELECT CAST(week_start AS VARCHAR) AS week_start, year, week_of_season, fips, {r6s(
+SELECT CAST(week_start AS VARCHAR) AS week_start, year, week_of_season, fips, open, {r6s(
     'ndvi_mean', 'lst_mean', 'vpd_mean', 'eto_mean', 'water_deficit_mean', 'pr_sum', 'eto_sum')} FROM sw""")
 def stream_weekly(spark, sf):
-    return finished(streams.stream_weekly(readings(spark, sf)), spark, "weekly-stream").select(
-        "week_start", "year", "week_of_season", "fips", "ndvi_mean", "lst_mean", "vpd_mean", "eto_mean",
-        "water_deficit_mean", "pr_sum", "eto_sum")
+    return streams.read_weekly(spark, _weekly_log(spark, sf)).drop("pr_mean")
 
 
-@query("stream_score", CLOSED + f""",
+@query("stream_score", WEEKS + f""",
 sp AS (SELECT *, {clamp('(water_deficit_mean / 6e0 * 100)')} AS a, {clamp('((1 - pr_sum / 7e0 / 4e0) * 100)')} AS b,
   {clamp('(eto_sum / 7e0 / 8e0 * 100)')} AS c, least(100e0, {LST_RAW}) AS e, {clamp('(vpd_mean / 3e0 * 100)')} AS f FROM sw),
 sx AS (SELECT *, {weighted([('0.4e0', 'a'), ('0.35e0', 'b'), ('0.25e0', 'c')])} AS water,
@@ -97,11 +101,10 @@ sx AS (SELECT *, {weighted([('0.4e0', 'a'), ('0.35e0', 'b'), ('0.25e0', 'c')])}
 SELECT CAST(week_start AS VARCHAR) AS week_start, fips, {half_up('water')} AS water, {status('round(water, 8)')} AS water_status,
   {half_up('heat')} AS heat, {status('round(heat, 8)')} AS heat_status FROM sx""")
 def stream_score(spark, sf):
-    scored = streams.stream_score(readings(spark, sf)).select(
+    return streams.read_scores(spark, _weekly_log(spark, sf), d.county_names(spark, sf)).select(
         "week_start", "fips", F.col("water_stress_index.value").alias("water"),
         F.col("water_stress_index.status").alias("water_status"), F.col("heat_stress_index.value").alias("heat"),
         F.col("heat_stress_index.status").alias("heat_status"))
-    return finished(scored, spark, "score-stream")
 
 
 @query("stream_freshness", EV + """,
@@ -110,8 +113,5 @@ seen AS (SELECT fips, max(CAST(ts AS DATE)) AS last_seen FROM ev GROUP BY fips)
 SELECT fips, CAST(last_seen AS VARCHAR) AS last_seen, (SELECT max(last_seen) FROM seen) - last_seen AS age_days,
   (SELECT max(last_seen) FROM seen) - last_seen > 2 AS stale FROM seen""")
 def stream_freshness(spark, sf):
-    rows = events(spark, sf)
-    target = new_path(spark, "freshness")
-    streams.stream_freshness(rows, target, new_path(spark, "freshness-checkpoint"), limit_days=2).awaitTermination()
-    table = spark.read.parquet(target)
-    return table.filter(F.col("batch") == table.agg(F.max("batch")).scalar()).drop("batch")
+    target = run(lambda t, c: streams.stream_freshness(events(spark, sf), t, c), spark, "freshness")
+    return streams.read_freshness(spark, target, limit_days=2)

@@ -158,23 +158,23 @@ def drift_report(spark, sf):
 
 
 @query("freshness", """
-SELECT fips, CAST(max(date) AS VARCHAR) AS newest, DATE '2001-10-31' - max(date) AS age_days,
-  DATE '2001-10-31' - max(date) > 7 AS stale FROM obs GROUP BY fips""")
+SELECT fips, CAST(max(date) AS VARCHAR) AS newest, (SELECT last_day FROM span) - max(date) AS age_days,
+  (SELECT last_day FROM span) - max(date) > 7 AS stale FROM obs GROUP BY fips""")
 def freshness(spark, sf):
-    return quality.freshness(d.indicator(spark, sf, "lst"), F.lit("2001-10-31").cast("date"), by=("fips",))
+    return quality.freshness(d.indicator(spark, sf, "lst"), d.season_end(spark, sf), by=("fips",))
 
 
 FLAGS = ("pr_sum", "lst_max", "ndvi_mean", "eto_mean")
 
 
 @query("extrapolation_flag", "lim AS (SELECT " + ", ".join(
-    f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in FLAGS) + """ FROM weekly WHERE year <= 1996)
+    f"min({c}) AS {c}_lo, max({c}) AS {c}_hi" for c in FLAGS) + """ FROM weekly WHERE year <= (SELECT year(first_day) + 1 FROM span))
 --
 SELECT fips, year, week_of_season, array_to_string(list_filter([""" + ", ".join(
     f"CASE WHEN {c} < {c}_lo OR {c} > {c}_hi THEN '{c}' END" for c in FLAGS)
-       + """], lambda z: z IS NOT NULL), ',') AS extrapolated FROM weekly CROSS JOIN lim WHERE year > 1996""")
+       + """], lambda z: z IS NOT NULL), ',') AS extrapolated FROM weekly CROSS JOIN lim WHERE year > (SELECT year(first_day) + 1 FROM span)""")
 def extrapolation_flag(spark, sf):
-    weekly = materialise(d.weekly(spark, sf), "weekly")
-    limits = quality.training_ranges(weekly.filter(F.col("year") <= 1996), FLAGS)
-    flagged = quality.out_of_training_range(weekly.filter(F.col("year") > 1996), limits, FLAGS)
+    weekly, trained = d.weekly(spark, sf), F.col("year") <= d.season_years(spark, sf)[0] + 1
+    limits = quality.training_ranges(weekly.filter(trained), FLAGS)
+    flagged = quality.out_of_training_range(weekly.filter(~trained), limits, FLAGS)
     return flagged.select("fips", "year", "week_of_season", F.array_join("extrapolated", ",").alias("extrapolated"))

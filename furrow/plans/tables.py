@@ -399,8 +399,8 @@ def index_distribution(spark, sf):
 
 
 @query("latency_percentiles", f"""
-SELECT event_type AS kind, count(*) AS requests, {r6('quantile_cont(round(value, 2), 0.5)')} AS p50,
-  {r6('quantile_cont(round(value, 2), 0.95)')} AS p95, {r6('quantile_cont(round(value, 2), 0.99)')} AS p99,
+SELECT event_type AS kind, count(*) AS requests, {r6('quantile_cont(value, 0.5)')} AS p50,
+  {r6('quantile_cont(value, 0.95)')} AS p95, {r6('quantile_cont(value, 0.99)')} AS p99,
   {r6('avg(user_id % 6)')} AS mean_sources,
   {r6("avg(CASE WHEN event_type <> 'error' AND event_id % 20 <> 0 THEN 1e0 ELSE 0e0 END)")} AS success_share
 FROM events GROUP BY event_type""")

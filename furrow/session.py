@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +50,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_stored: dict[tuple, str] = {}
+
+
+def stored(name: str, sources: Sequence[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the pipeline: written once per session and list of input files, then read by every query.
+
+    A file that is replaced under its own name within a session is not noticed.
+    """
+    spark = sources[0].sparkSession
+    files = tuple(sorted(f for s in sources for f in s.inputFiles()))
+    key = (spark.sparkContext.applicationId, shared_folder(spark), name, files)
+    if key not in _stored:
+        path = new_path(spark, name)
+        build().write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan to all cores where the input has fewer splits than cores.
 

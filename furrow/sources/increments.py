@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from furrow.session import materialise
+from furrow.sources.writers import write_table
+
 
 def next_start(df: DataFrame, default: str, today: Column | None = None, date: str = "date") -> DataFrame:
     """One row: last stored date, the next start and whether there is anything to load."""
@@ -36,6 +39,19 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], row_order: list[str]
     return keep_last(both, keys, ["__batch", *row_order]).drop("__batch")
 
 
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], row_order: list[str],
+                 partition: str = "year") -> None:
+    """Upsert into a table partitioned by ``partition``; other partitions than those of ``new`` are not touched.
+
+    The values of the partition column in ``new`` come to the driver: an increment brings few. The changed
+    partitions are written aside before they replace the old ones.
+    """
+    touched = [r[0] for r in new.select(partition).distinct().collect()]
+    if touched:
+        old = spark.read.schema(new.schema).parquet(path).filter(F.col(partition).isin(touched))
+        write_table(materialise(upsert(old, new, keys, row_order), "increment"), path, partition, increment=True)
+
+
 def missing_years(spark: SparkSession, df: DataFrame, low: int, high: int, year: str = "year") -> DataFrame:
     target = spark.range(low, high + 1).select(F.col("id").cast("int").alias(year))
     return target.join(df.select(F.col(year).cast("int").alias(year)).distinct(), year, "left_anti")

@@ -37,11 +37,15 @@ def parse_yield_records(df: DataFrame, json: str = "record") -> DataFrame:
     return parsed.withColumn("fips", F.concat("state_fips", code))
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Text and Markdown files, one row per file, with name and type."""
+def read_documents(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
+    """Text and Markdown documents with the name and type of their file.
+
+    One row per file; with ``separator`` a file holds many documents, each ended by it, and is read in splits.
+    """
     name = F.col("_metadata.file_name")
+    how = {"wholetext": True} if separator is None else {"lineSep": separator}
     return (
-        spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}")
+        spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.{txt,md}", **how)
         .select(name.alias("source"), F.regexp_extract(name, r"(\.[^.]+)$", 1).alias("file_type"),
                 F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,12 +29,22 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
-def delete_collection(df: DataFrame, collection: str) -> DataFrame:
-    """Every chunk but those of one collection; with the table partitioned by it, a partition filter."""
-    return df.filter(~F.col("collection").eqNullSafe(F.lit(collection)))
+def load_chunks(df: DataFrame, path: str, collection: str | None = "corn-stress-knowledge") -> None:
+    """Append chunks to the chunk table, partitioned by collection.
 
-
-def load_chunks(df: DataFrame, path: str, collection: str = "corn-stress-knowledge") -> None:
-    """Append chunks to a collection of the chunk table."""
-    (df.withColumn("collection", F.lit(collection))
-     .write.mode("append").partitionBy("collection").parquet(path))
+    With ``collection=None`` each row brings its own, so any number of collections is one write.
+    """
+    named = df if collection is None else df.withColumn("collection", F.lit(collection))
+    named.hint("rebalance", F.col("collection")).write.mode("append").partitionBy("collection").parquet(path)
+
+
+def delete_collection(spark: SparkSession, path: str, collection: str) -> int:
+    """Remove a collection from the chunk table; only its own folders are touched. Returns how many there were."""
+    rows = spark.read.parquet(path).filter(F.col("collection") == collection)
+    folders = rows.select(F.regexp_replace("_metadata.file_path", "/[^/]*$", "").alias("folder")).distinct()
+    found = [r["folder"] for r in folders.collect()]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    for folder in found:
+        place = hadoop.Path(spark.sparkContext._jvm.java.net.URI(folder))
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+    return len(found)

@@ -1,10 +1,15 @@
-"""The incremental jobs as Structured Streaming queries."""
+"""The incremental jobs as Structured Streaming queries.
+
+A batch writes what it reduces to under its own id and replaces only that on a retry; the log is resolved on read.
+So the result depends on the rows that arrived, not on how they were split into batches or in which order they came:
+late rows count, and the week that is still open is there, marked as such.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,25 +17,30 @@ from furrow.functions.calendar import week_of_season, week_start
 from furrow.operators.stress import score
 from furrow.sources.increments import keep_last
 
+MEASURES = ("ndvi", "lst", "vpd", "eto", "pr", "water_deficit")
+WEEK = ("year", "week_of_season", "fips")
 
-def stream_upsert(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
-                  row_order: Sequence[str]) -> StreamingQuery:
-    """Continuous keep-last upsert as a log of batches.
 
-    Every batch writes its own last rows under its batch id and replaces only
-    those on a retry, so a batch costs what it brings and a repeat changes nothing.
-    :func:`read_upserted` resolves keys across batches.
-    """
+def _log(stream: DataFrame, target: str, checkpoint: str, reduce: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
+    """Run over what is available; every batch adds what it reduces to."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        keep_last(batch, list(keys), list(row_order)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        reduce(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
 
 
-def read_upserted(spark: SparkSession, target: str, keys: Sequence[str], row_order: Sequence[str]) -> DataFrame:
-    """Current rows of a table kept by :func:`stream_upsert`."""
-    return keep_last(spark.read.parquet(target), list(keys), ["batch", *row_order]).drop("batch")
+def stream_upsert(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str],
+                  row_order: Sequence[str]) -> StreamingQuery:
+    """Continuous keep-last upsert; :func:`read_upserted` resolves keys across batches."""
+    return _log(stream, target, checkpoint, lambda batch: keep_last(batch, list(keys), list(row_order)))
+
+
+def read_upserted(spark: SparkSession, target: str, keys: Sequence[str], row_order: Sequence[str],
+                  by_arrival: bool = True) -> DataFrame:
+    """Current rows of a table kept by :func:`stream_upsert`: the last one by arrival, or by ``row_order`` alone."""
+    order = ["batch", *row_order] if by_arrival else list(row_order)
+    return keep_last(spark.read.parquet(target), list(keys), order).drop("batch")
 
 
 def compact_upserted(spark: SparkSession, target: str, into: str, keys: Sequence[str], row_order: Sequence[str]) -> None:
@@ -39,56 +49,53 @@ def compact_upserted(spark: SparkSession, target: str, into: str, keys: Sequence
     rows.drop("batch").write.mode("overwrite").parquet(f"{into}/batch=-1")
 
 
-def stream_dedup(stream: DataFrame, event_time: str, delay: str, keys: Sequence[str]) -> DataFrame:
-    """Each key once; repeats arriving within the watermark delay are dropped."""
-    return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_dedup(stream: DataFrame, target: str, checkpoint: str, keys: Sequence[str]) -> StreamingQuery:
+    """Keys seen; :func:`read_distinct` gives each once, however far apart its repeats arrive."""
+    return _log(stream.select(*keys), target, checkpoint, lambda batch: batch.distinct())
+
+
+def read_distinct(spark: SparkSession, target: str) -> DataFrame:
+    return spark.read.parquet(target).drop("batch").distinct()
 
 
-def with_season_week(stream: DataFrame, event_time: str = "ts") -> DataFrame:
-    """Season week of an event and the week's first day as event time of the roll-up."""
+def with_season_week(rows: DataFrame, event_time: str = "ts") -> DataFrame:
+    """Year and season week of an event."""
     day = F.to_date(event_time)
-    return stream.withColumns({
-        "year": F.year(day), "week_of_season": week_of_season(day),
-        "week_time": week_start(F.year(day), week_of_season(day)).cast("timestamp"),
-    })
+    return rows.withColumns({"year": F.year(day), "week_of_season": week_of_season(day)})
 
 
-def stream_weekly(stream: DataFrame, lateness_days: int = 0) -> DataFrame:
-    """Weekly roll-up of daily rows; a week closes once the next one has begun plus the lateness.
+def stream_weekly(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Weekly roll-up of daily rows as sums and counts that add up across batches; see :func:`read_weekly`."""
+    def reduce(batch: DataFrame) -> DataFrame:
+        stats = [f(f"{n}_mean").alias(f"{n}_{k}") for n in MEASURES for k, f in (("sum", F.sum), ("count", F.count))]
+        return with_season_week(batch).groupBy(*WEEK).agg(*stats)
 
-    The watermark runs on the season-anchored first day of the week, so windows
-    follow the season and not the default origin. Later rows of a closed week are
-    dropped and its state is released.
-    """
-    weeks = with_season_week(stream).withWatermark("week_time", f"{6 + lateness_days} days")
-    stats = [F.avg(f"{n}_mean").alias(f"{n}_mean") for n in ("ndvi", "lst", "vpd", "eto", "pr", "water_deficit")]
-    return weeks.groupBy("week_time", "year", "week_of_season", "fips", "county_name").agg(
-        *stats, F.sum("pr_mean").alias("pr_sum"), F.sum("eto_mean").alias("eto_sum"),
-    ).withColumn("week_start", F.to_date("week_time"))
+    return _log(stream, target, checkpoint, reduce)
 
 
-def stream_score(stream: DataFrame, lateness_days: int = 0) -> DataFrame:
-    """Stress record of each closed week: the batch projection over the streaming roll-up."""
-    return score(stream_weekly(stream, lateness_days))
+def read_weekly(spark: SparkSession, target: str) -> DataFrame:
+    """County weeks with means and totals; ``open`` marks weeks after which no row has arrived yet."""
+    log = spark.read.parquet(target)
+    totals = log.groupBy(*WEEK).agg(*[F.sum(f"{n}_{k}").alias(f"{n}_{k}") for n in MEASURES for k in ("sum", "count")])
+    means: list[Column] = [F.try_divide(f"{n}_sum", f"{n}_count").alias(f"{n}_mean") for n in MEASURES]
+    first_day = week_start(F.col("year"), F.col("week_of_season"))
+    newest = log.agg(F.max(first_day)).scalar()
+    return totals.select(first_day.alias("week_start"), *WEEK, *means, "pr_sum", "eto_sum", (first_day >= newest).alias("open"))
 
 
-def append_to(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
-    """Append-mode Parquet sink, run over what is available."""
-    return (stream.writeStream.format("parquet").outputMode("append").option("path", target)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+def read_scores(spark: SparkSession, target: str, names: DataFrame) -> DataFrame:
+    """Stress record of each week of :func:`read_weekly`; ``names`` holds fips and county_name."""
+    return score(read_weekly(spark, target).join(names.select("fips", "county_name"), "fips", "left"))
 
 
-def stream_freshness(stream: DataFrame, target: str, checkpoint: str, limit_days: int = 7) -> StreamingQuery:
-    """Counties without a row for more than ``limit_days`` before the newest one, rewritten per batch.
+def stream_freshness(stream: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+    """Newest date per county and batch; see :func:`read_freshness`."""
+    return _log(stream, target, checkpoint, lambda batch: batch.groupBy("fips").agg(F.max(F.to_date("ts")).alias("last_seen")))
 
-    State is one date per county.
-    """
-    def write(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.agg(F.max("last_seen")).scalar()
-        age = F.datediff(newest, F.col("last_seen"))
-        (batch.select("fips", "last_seen", age.alias("age_days"), (age > limit_days).alias("stale"))
-         .write.mode("overwrite").parquet(f"{target}/batch={batch_id}"))
-
-    latest = stream.groupBy("fips").agg(F.max(F.to_date("ts")).alias("last_seen"))
-    return (latest.writeStream.outputMode("complete").foreachBatch(write)
-            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+def read_freshness(spark: SparkSession, target: str, limit_days: int = 7) -> DataFrame:
+    """Age of every county's newest row against the newest of all, and whether it passes ``limit_days``."""
+    log = spark.read.parquet(target)
+    latest = log.groupBy("fips").agg(F.max("last_seen").alias("last_seen"))
+    age = F.datediff(log.agg(F.max("last_seen")).scalar(), F.col("last_seen"))
+    return latest.select("fips", "last_seen", age.alias("age_days"), (age > limit_days).alias("stale"))

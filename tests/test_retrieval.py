@@ -11,9 +11,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from furrow.config import Chunking
-from furrow.functions.text import _windows
+from furrow.functions.text import window_bounds
 from furrow.operators import retrieval
-from furrow.operators.quantiles import exact_quantiles
+from furrow.operators.quantiles import exact_quantiles, grouped_quantiles
+from furrow.operators.topk import best_k
+
+
+def _windows(text, size, overlap):
+    return [p for p in (text[a:b].strip() for a, b in window_bounds(text, size, overlap)) if p]
 
 
 def test_tail_window_repeats_the_end():
@@ -21,7 +26,7 @@ def test_tail_window_repeats_the_end():
     assert [len(c) for c in _windows(text, 1000, 200)] == [1000, 200]
     assert _windows("short", 1000, 200) == ["short"]
     assert _windows("   \n ", 1000, 200) == []
-    assert _windows(None, 1000, 200) == []
+    assert _windows("", 1000, 200) == []
 
 
 def test_cut_prefers_priority_not_position():
@@ -43,6 +48,17 @@ def test_arguments_that_do_not_advance():
     Chunking(size=400, overlap=200)
 
 
+def test_sentence_chunks_of_odd_texts(spark):
+    texts = [None, "", " \n\t ", "a" * 800 + "\n\t" * 200, "One. " * 500, "é漢🙂 " * 600]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in retrieval.chunk(df).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r["doc_id"], []).append(r["text"])
+    assert got == {i: _windows(t, 1000, 200) for i, t in enumerate(texts) if t and t.strip()}
+    fixed = retrieval.chunk(df.filter("doc_id = 3"), sentence=False).collect()
+    assert [r["text"] for r in fixed] == ["a" * 800]
+
+
 def test_fixed_chunks_cover_the_text(spark):
     text = "".join(chr(97 + i % 26) for i in range(2500))
     df = spark.createDataFrame([(1, text), (2, ""), (3, "é" * 900)], "doc_id long, text string")
@@ -51,25 +67,40 @@ def test_fixed_chunks_cover_the_text(spark):
     assert (2, 0) not in got and len(got[3, 1]) == 100
 
 
-@pytest.mark.parametrize("exact_rows", [1_000_000, 10])
-def test_exact_quantiles(spark, exact_rows):
+@pytest.mark.parametrize("read_off", [5_000, 10, 1])
+def test_exact_quantiles(spark, read_off):
     rng = np.random.default_rng(1)
     # a third of the rows share one value
     x = np.concatenate([np.full(700, 3.25), rng.exponential(5.0, 1400)])
     rows = [(float(v), None if i % 5 == 0 else float(i)) for i, v in enumerate(x)]
     df = spark.createDataFrame(rows, "x double, y double").repartition(5)
     probs = (0.0, 0.25, 0.5, 0.75, 1.0)
-    got = exact_quantiles(df, ["x", "y"], probs, exact_rows)
+    got = exact_quantiles(df, ["x", "y"], probs, read_off)
     assert got["x"] == pytest.approx(np.quantile(x, probs).tolist())
     assert got["y"] == pytest.approx(np.quantile([r[1] for r in rows if r[1] is not None], probs).tolist())
 
 
+@pytest.mark.parametrize("read_off", [5_000, 3])
+def test_quantiles_end_on_odd_values(spark, read_off):
+    inf, nan = math.inf, math.nan
+    values = [-inf, -inf, -1e308, 0.0, 5e-324, 1e-300, 1.0, 2.0, 1e308, inf] + [nan, None, nan]
+    rows = [("a", v) for v in values] + [("b", float(k)) for k in range(900)] + [(None, 7.0), ("c", None)]
+    df = spark.createDataFrame(rows, "kind string, x double").repartition(3)
+    got = grouped_quantiles(df, ["x"], (0.0, 0.25, 0.5, 1.0), group="kind", read_off=read_off)
+    finite = [v for v in values if v is not None and not math.isnan(v)]
+    assert got["a", "x"][0] == -inf and got["a", "x"][3] == inf
+    assert got["a", "x"][2] == pytest.approx((sorted(finite)[4] + sorted(finite)[5]) / 2)
+    assert got["b", "x"] == pytest.approx(np.quantile(np.arange(900), (0.0, 0.25, 0.5, 1.0)).tolist())
+    assert got[None, "x"] == [7.0] * 4 and ("c", "x") not in got
+
+
 def test_quantiles_of_an_empty_column(spark):
     df = spark.createDataFrame([(None,)], "x double")
     assert exact_quantiles(df, ["x"], (0.25, 0.75)) == {"x": [None, None]}
 
 
-LAYOUTS = [{}, {"small": 2, "cell_queries": 3, "cell_items": 7}]
+# queries that travel, and cells of a few rows or a few bytes
+LAYOUTS = [{}, {"small_bytes": 1, "cell_queries": 3, "cell_items": 7}, {"small_bytes": 1, "cell_bytes": 500}]
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
@@ -108,7 +139,7 @@ def bm25_by_hand(queries, docs, k, k1=1.2, b=0.75):
     return out
 
 
-@pytest.mark.parametrize("layout", [LAYOUTS[0], {**LAYOUTS[1], "small_terms": 1}])
+@pytest.mark.parametrize("layout", LAYOUTS)
 def test_bm25_against_brute_force(spark, layout):
     rng = np.random.default_rng(3)
     vocabulary = ["corn", "heat", "rain", "soil", "yield", "stress", "ndvi", "water"]
@@ -126,10 +157,24 @@ def test_bm25_against_brute_force(spark, layout):
         assert [s for _, s in got[k]] == pytest.approx([s for _, s in v])
 
 
-def test_k_is_bounded(spark):
-    df = spark.createDataFrame([(1, [1.0])], "query_id long, vector array<double>")
+def test_only_requests_bound_k(spark):
     with pytest.raises(ValueError):
-        retrieval.cosine_topk(df, df.withColumnRenamed("query_id", "item_id"), 21)
+        retrieval.check_k(21)
+    q = spark.createDataFrame([("q", [1.0, 0.5])], "query_id string, vector array<double>")
+    c = spark.createDataFrame([(f"i{k:02d}", [1.0, float(k)], "a" if k % 2 else "b") for k in range(40)] + [("z", [-1.0, 0.0], "a")],
+                              "item_id string, vector array<double>, collection string")
+    assert retrieval.cosine_topk(q, c, 30).count() == 30
+    found = retrieval.cosine_topk(q, c, 40, collection="a").orderBy("rank").collect()
+    assert len(found) == 21 and found[-1]["item_id"] == "z" and {r["item_id"] for r in found[:-1]} == {f"i{k:02d}" for k in range(1, 40, 2)}
+    assert retrieval.cosine_topk(q, c, 40, collection="a", matching=True).count() == 20
+
+
+def test_ties_go_by_id_of_any_type():
+    import pyarrow as pa
+
+    scores = np.array([[1.0, 2.0, 1.0, 1.0]])
+    got = best_k(scores, pa.array(["q"]), pa.array(["d", "c", "b", "a"]), 3)
+    assert got["item_id"].to_pylist() == ["c", "a", "b"]
 
 
 def test_fusion(spark):
@@ -143,6 +188,7 @@ def test_embeddings_are_unit_and_weighted(spark):
     df = spark.createDataFrame([(1, "corn heat heat"), (2, "corn rain"), (3, "!!!")], "doc_id long, text string")
     rows = {r["doc_id"]: np.array(r["embedding"]) for r in retrieval.embed(df, dim=64)[0].collect()}
     assert np.linalg.norm(rows[1]) == pytest.approx(1.0, abs=1e-6) and np.linalg.norm(rows[3]) == 0.0
+    assert len({retrieval.term_bucket(w, 64) for w in ("corn", "heat", "rain")}) == 3
     idf = {"corn": math.log(4 / 3), "heat": math.log(4 / 2), "rain": math.log(4 / 2)}
     weights = np.array([idf["corn"], 2 * idf["heat"]])
     assert sorted(rows[1][rows[1] > 0]) == pytest.approx(sorted(weights / np.linalg.norm(weights)), abs=1e-6)

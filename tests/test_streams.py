@@ -6,10 +6,13 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from furrow.plans import all_queries
+from furrow.plans.registry import QUERIES
 from furrow.session import new_path
 from furrow.sources.increments import keep_last
 from furrow.streaming import streams
 
+all_queries()
 OBS = ("ts timestamp, fips string, county_name string, ndvi_mean double, lst_mean double, vpd_mean double, "
        "eto_mean double, pr_mean double, water_deficit_mean double, seq long")
 
@@ -43,44 +46,71 @@ def test_upsert_log_is_idempotent_and_keeps_last(spark):
     assert streams.read_upserted(spark, target, keys, order).count() == 2
 
 
-def weekly(spark, source, target, checkpoint):
-    stream = streams.stream_weekly(spark.readStream.schema(OBS).parquet(source))
-    streams.append_to(stream, target, checkpoint).awaitTermination()
-    return {r["week_of_season"]: r["lst_mean"] for r in spark.read.schema(stream.schema).parquet(target).collect()}
+def arrive(spark, start, parts, one_by_one=True):
+    """Log of a stream whose files arrive one after the other, or lie there at once."""
+    source, target, checkpoint = (new_path(spark, n) for n in ("src", "tgt", "chk"))
+    for part in parts:
+        land(part, source)
+        if one_by_one:
+            start(spark.readStream.schema(OBS).parquet(source), target, checkpoint).awaitTermination()
+    start(spark.readStream.schema(OBS).parquet(source), target, checkpoint).awaitTermination()
+    return target
 
 
-def test_weeks_close_and_late_rows_are_dropped(spark):
-    source, target, checkpoint = (new_path(spark, n) for n in ("src", "tgt", "chk"))
-    land(rows(spark, [0, 3]), source)
-    assert weekly(spark, source, target, checkpoint) == {}
-    land(rows(spark, [6, 8], value=36.0), source)  # still in time for week 1, and opens week 2
-    assert weekly(spark, source, target, checkpoint) == {1: 32.0}
-    land(rows(spark, [2, 15], value=99.0), source)  # too late for week 1
-    assert weekly(spark, source, target, checkpoint) == {1: 32.0, 2: 36.0}
+def parts_of(spark):
+    """Days out of order, a repeat, and rows of a week that was passed long ago."""
+    return [rows(spark, [0, 15, 3]), rows(spark, [8, 8], 10, 36.0), rows(spark, [2, 0], 20, 99.0), rows(spark, [], 30)]
 
 
-def test_scores_of_closed_weeks(spark):
-    source, target, checkpoint = (new_path(spark, n) for n in ("src", "tgt", "chk"))
-    land(rows(spark, [0, 3, 9]), source)
-    stream = streams.stream_score(spark.readStream.schema(OBS).parquet(source))
-    streams.append_to(stream, target, checkpoint).awaitTermination()
-    r = spark.read.schema(stream.schema).parquet(target).collect()
-    assert len(r) == 1 and r[0]["week_of_season"] == 1 and r[0]["vegetation_health_index"]["value"] == 30.0
+def results(df):
+    return sorted(map(repr, df.collect()))
 
 
-def test_dedup_across_arrivals(spark):
-    source, target, checkpoint = (new_path(spark, n) for n in ("src", "tgt", "chk"))
-    for _ in range(2):
-        land(rows(spark, [0, 1, 1]), source)
-        stream = streams.stream_dedup(spark.readStream.schema(OBS).parquet(source), "ts", "3 days", ["ts", "fips"])
-        streams.append_to(stream, target, checkpoint).awaitTermination()
-    assert spark.read.parquet(target).count() == 2
+def test_results_do_not_depend_on_the_split(spark):
+    keys = ["ts", "fips"]
+    runs = {
+        "upsert": (lambda s, t, c: streams.stream_upsert(s, t, c, keys, ["seq"]),
+                   lambda t: streams.read_upserted(spark, t, keys, ["seq"], by_arrival=False)),
+        "dedup": (lambda s, t, c: streams.stream_dedup(s, t, c, keys), lambda t: streams.read_distinct(spark, t)),
+        "weekly": (streams.stream_weekly, lambda t: streams.read_weekly(spark, t)),
+        "freshness": (streams.stream_freshness, lambda t: streams.read_freshness(spark, t)),
+    }
+    for name, (start, read) in runs.items():
+        parts = parts_of(spark)
+        split = results(read(arrive(spark, start, parts)))
+        backward = results(read(arrive(spark, start, parts[::-1])))
+        together = results(read(arrive(spark, start, parts, one_by_one=False)))
+        assert split == backward == together and split, name
+
+
+def test_late_rows_count_and_the_open_week_is_marked(spark):
+    got = {r["week_of_season"]: r for r in streams.read_weekly(spark, arrive(
+        spark, streams.stream_weekly, parts_of(spark))).collect()}
+    assert {w: r["lst_mean"] for w, r in got.items()} == {1: (30 + 30 + 99 + 99) / 4, 2: 36.0, 3: 30.0}
+    assert {w: r["open"] for w, r in got.items()} == {1: False, 2: False, 3: True}
+
+
+def test_scores_of_weeks(spark):
+    target = arrive(spark, streams.stream_weekly, [rows(spark, [0, 3]), rows(spark, [9])])
+    names = spark.createDataFrame([("1", "A")], "fips string, county_name string")
+    r = {x["week_of_season"]: x for x in streams.read_scores(spark, target, names).collect()}
+    assert set(r) == {1, 2} and r[1]["vegetation_health_index"]["value"] == 30.0 and r[1]["county_name"] == "A"
 
 
 def test_freshness(spark):
-    source, target, checkpoint = (new_path(spark, n) for n in ("src", "tgt", "chk"))
-    land(rows(spark, [0]), source)
-    land(rows(spark, [9]).withColumn("fips", F.lit("2")), source)
-    streams.stream_freshness(spark.readStream.schema(OBS).parquet(source), target, checkpoint).awaitTermination()
-    got = {r["fips"]: r["stale"] for r in spark.read.parquet(target).collect()}
+    target = arrive(spark, streams.stream_freshness, [rows(spark, [0]), rows(spark, [9]).withColumn("fips", F.lit("2"))])
+    got = {r["fips"]: r["stale"] for r in streams.read_freshness(spark, target).collect()}
     assert got == {"1": True, "2": False}
+
+
+def test_tables_that_are_directories(spark, tmp_path):
+    """The registered streams over a table of one file and over the same rows in three files."""
+    whole, parts = tmp_path / "whole", tmp_path / "parts"
+    for name in ("events", "lineitem", "supplier"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        df.coalesce(1).write.parquet(str(whole / f"{name}.parquet"))
+        df.repartition(3).write.parquet(str(parts / f"{name}.parquet"))
+    for name in ("stream_upsert", "stream_dedup", "stream_weekly", "stream_score", "stream_freshness"):
+        one, three = (results(QUERIES[name](spark, str(f))) for f in (whole, parts))
+        assert one == three and one, name
+        assert one == results(QUERIES[name](spark, "/root/testdata/sf0.001")), name

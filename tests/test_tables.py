@@ -10,10 +10,15 @@ from pyspark.sql import functions as F
 
 from furrow.functions.calendar import with_calendar
 from furrow.operators import fill, forecast, grid, joins, model, quality, rollup, stress, windows
+from furrow.plans import all_queries
+from furrow.plans.registry import QUERIES
 from furrow.session import new_path
 from furrow.sources import increments, readers, rescale, writers
 
 
+all_queries()
+
+
 def day(text):
     return dt.date.fromisoformat(text)
 
@@ -293,3 +298,20 @@ def test_quality_checks(spark):
 def test_calendar_columns(spark):
     r = with_calendar(spark.createDataFrame([(day("2024-07-15"),)], "date date")).first()
     assert (r["year"], r["month"], r["doy"], r["week_of_season"]) == (2024, 7, 197, 11)
+
+
+def test_later_seasons_are_there(spark, tmp_path):
+    """Pixels moved two years on are found by the grid, the weekly table, the scores and the latest answers."""
+    source = "/root/testdata/sf0.001"
+    supplier = spark.read.parquet(f"{source}/supplier.parquet")
+    supplier.write.parquet(str(tmp_path / "supplier.parquet"))
+    lines = spark.read.parquet(f"{source}/lineitem.parquet")
+    shifted = lines.limit(2000).withColumn("l_shipdate", F.expr("l_shipdate + INTERVAL 2 YEARS"))
+    lines.unionByName(shifted).write.parquet(str(tmp_path / "lineitem.parquet"))
+    newest = shifted.agg(F.max(F.year("l_shipdate"))).first()[0]
+    first = lines.agg(F.min(F.year("l_shipdate"))).first()[0]
+    sf = str(tmp_path)
+    years = [r[0] for r in QUERIES["season_grid"](spark, sf).select("year").distinct().orderBy("year").collect()]
+    assert years == list(range(first, newest + 1)) and newest >= 2002
+    for name, column in (("weekly_totals", "week_start"), ("score_week", "week_start"), ("latest_all", "week_start")):
+        assert QUERIES[name](spark, sf).agg(F.max(F.col(column))).first()[0][:4] == str(newest), name

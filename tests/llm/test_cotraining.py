@@ -21,7 +21,7 @@ def corpus(spark):
         good = k % 3 != 0
         body = rng.choices(words, k=rng.randint(40, 150))
         if not good:
-            body = [rng.choice([w.upper() + "!!", w + "###", "| " + w]) for w in body] if k % 2 else [body[0]] * 80
+            body = [rng.choice([w.upper() + "!!", w + "###", "| " + w]) for w in body] if k // 3 % 8 < 4 else [body[0]] * 80
         texts.append(". ".join(" ".join(body[i:i + 9]) for i in range(0, len(body), 9)))
         if k % 4 == 0:
             labels.append((k, int(good), 0))

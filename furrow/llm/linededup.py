@@ -279,21 +279,20 @@ class LineIndex:
         A null text counts as one empty line and becomes empty. Rows, their order within a text and all other columns
         stay. Each row's drops are bounded by its own lines.
         """
-        own = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-        given = docs.withColumn("text", F.coalesce("text", F.lit(""))).alias("d")
-        drops = self.dropped().select(F.col("doc_id").alias("key"), F.col("tid").alias("text_key"), "drops").alias("x")
+        others = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
+        given = docs.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+        drops = self.dropped().select(F.col("doc_id").alias("key"), F.col("tid").alias("text_key"), "drops")
         joined = given.join(
-            drops, (F.col("d.doc_id") == F.col("x.key")) & (F.xxhash64("d.text") == F.col("x.text_key")), "left")
-        lines = F.split("d.text", "\n")
-        rows = joined.select(*own, F.col("d.text").alias("text"), F.size(lines).cast("long").alias("n_lines"), "drops")
+            drops, (F.col("row.doc_id") == F.col("key")) & (F.xxhash64("text") == F.col("text_key")), "left")
         lines = F.split("text", "\n")
+        rows = joined.select("row", "text", F.size(lines).cast("long").alias("n_lines"), "drops",
+                             F.when(F.col("drops").isNotNull(), lines).alias("lines"))
         stay = F.array_except(F.sequence(F.lit(1).cast("long"), F.col("n_lines")),
                               F.transform("drops", lambda p: p.cast("long") + 1))
         kept = F.array_join(F.transform(stay, lambda p: F.get(F.col("lines"), (p - 1).cast("int"))), "\n")
-        rows = rows.withColumn("lines", F.when(F.col("drops").isNotNull(), lines))
-        return rows.withColumn("text", F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)).withColumn(
-            "n_dropped", F.coalesce(F.size("drops"), F.lit(0)).cast("long")).drop("drops", "lines").select(
-            *[F.col(f"`{c}`") for c in docs.columns if c not in ("n_lines", "n_dropped")], "n_lines", "n_dropped")
+        text = F.when(F.col("drops").isNull(), F.col("text")).otherwise(kept)
+        columns = [text.alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns if c == "text" or c in others]
+        return rows.select(*columns, "n_lines", F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:

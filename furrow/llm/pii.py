@@ -37,30 +37,55 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), step) % 10 == 0
 
 
-def _matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value, left) for all matches; ``left`` is the text between the match and the one before."""
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(found, lambda m: F.length(m))
-    gaps = F.transform(between, lambda m: F.length(m))
+BLOCK = 256
 
-    def total(lengths: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda s, x: s + x)
 
-    def span(m: Column, i: Column) -> Column:
-        start = total(gaps, i + 1) + total(sizes, i)
-        return F.struct(start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"),
-                        F.get(between, i).alias("left"))
+def _lengths(name: str) -> Column:
+    """Code points of every match and of what lies before it, added up."""
+    return F.zip_with(F.slice(f"{name}_gaps", F.lit(1), F.size(f"{name}_found")), F.col(f"{name}_found"),
+                      lambda gap, match: F.length(gap) + F.length(match))
 
-    return F.transform(found, span)
 
+def _total(steps: Column, first: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(steps, first, n), F.lit(0), lambda s, x: s + x)
 
-SPANS = "array<struct<start:int,end:int,value:string,left:string>>"
 
+def _blocks(name: str) -> Column:
+    """Sums of the steps in blocks, so that a position costs a block and the number of blocks."""
+    steps = F.col(f"{name}_steps")
+    firsts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(steps)), F.lit(BLOCK))
+    return F.transform(firsts, lambda first: _total(steps, first, F.lit(BLOCK)))
 
-def _kind(text: Column, near: Column, pattern: str, valid) -> Column:
-    found = F.filter(_matches(text, pattern), lambda s: valid(s["value"]))
-    return F.when(near, found).otherwise(F.array().cast(SPANS))
+
+def _spans(name: str, valid) -> Column:
+    """Array of (start, end, value, left) of the matches that pass; ``left`` is the text between a match and the one before."""
+    steps, blocks, gaps = (F.col(f"{name}_{part}") for part in ("steps", "blocks", "gaps"))
+
+    def span(m: Column) -> Column:
+        block = ((m["at"] - m["at"] % BLOCK) / BLOCK).cast("int")
+        before = _total(blocks, F.lit(1), block) + _total(steps, block * BLOCK + 1, m["at"] % BLOCK)
+        left = F.get(gaps, m["at"])
+        start = before + F.length(left)
+        return F.struct(start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"),
+                        left.alias("left"))
+
+    marked = F.transform(f"{name}_found", lambda m, i: F.struct(m.alias("value"), i.alias("at")))
+    return F.transform(F.filter(marked, lambda m: valid(m["value"])), span)
+
+
+def _passes_luhn(value: Column) -> Column:
+    digits = _digits(value)
+    return F.when(_between(F.length(digits), 14, 19), _luhn(digits)).otherwise(False)
+
+
+#: Name, pattern, what a text must hold to be searched, test of a match.
+SEARCHES = (
+    ("email", EMAIL, ("@",), lambda v: F.lit(True)),
+    ("ip", IP, (".",), lambda v: v.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
+    ("card", CARD, (), _passes_luhn),
+    ("phone", PHONE, ("+",), lambda v: _between(F.length(_digits(v)), 10, 15)),
+    ("tokens", TOKEN, (), lambda v: (F.length(_digits(v)) >= 4) & (F.length(v) - F.length(_digits(v)) >= 2)),
+)
 
 
 def _between(n: Column, low: int, high: int) -> Column:
@@ -72,27 +97,34 @@ def scan(docs: DataFrame) -> DataFrame:
 
     ``base``: array of (start, kind, end, value, left), sorted; ``kind`` indexes :data:`KINDS`. ``candidates``: tokens
     of 12 letters and digits or more, with at least four digits and two letters, outside the base spans. A null text
-    is empty; an empty text has no spans. Matches that fail their test are dropped and not tried again.
+    is empty; an empty text has no spans. Matches that fail their test are dropped and not tried again. The steps are
+    columns of their own, so that a text is searched once however many matches it has.
     """
     text = F.col("text")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.contains(text, F.lit("@")).alias("at"), text.rlike("[0-9]").alias("digit"))
-    at, digit = F.col("at"), F.col("digit")
-    found = rows.select(
-        "doc_id", F.xxhash64("text").alias("tid"),
-        _kind(text, at, EMAIL, lambda v: F.lit(True)).alias("email"),
-        _kind(text, digit & F.contains(text, F.lit(".")), IP, lambda v: v.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")).alias("ip"),
-        _kind(text, digit, CARD, lambda v: F.when(_between(F.length(_digits(v)), 14, 19), _luhn(_digits(v))).otherwise(False)).alias("card"),
-        _kind(text, digit & F.contains(text, F.lit("+")), PHONE, lambda v: _between(F.length(_digits(v)), 10, 15)).alias("phone"),
-        _kind(text, digit, TOKEN, lambda v: (F.length(_digits(v)) >= 4) & (F.length(v) - F.length(_digits(v)) >= 2)).alias("tokens"))
+    rows = rows.select("doc_id", "text", text.rlike("[0-9]").alias("digit"))
+    none, found = F.array().cast("array<string>"), []
+    for name, pattern, needs, _ in SEARCHES:
+        near = F.lit(True) if name == "email" else F.col("digit")
+        for sign in needs:
+            near = near & F.contains(text, F.lit(sign))
+        found.append(F.when(near, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_found"))
+    rows = rows.select("doc_id", "text", *found)
+    names = [name for name, *_ in SEARCHES]
+    gaps = [F.when(F.size(f"{name}_found") > 0, F.split(text, pattern, -1)).otherwise(none).alias(f"{name}_gaps")
+            for name, pattern, *_ in SEARCHES]
+    rows = rows.select("doc_id", F.xxhash64("text").alias("tid"), *[f"{n}_found" for n in names], *gaps)
+    rows = rows.withColumns({f"{n}_steps": _lengths(n) for n in names}).withColumns({f"{n}_blocks": _blocks(n) for n in names})
+    spans = rows.select("doc_id", "tid", *[_spans(name, valid).alias(name) for name, _, _, valid in SEARCHES])
+
     def of(kind: int):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"),
                                   s["value"].alias("value"), s["left"].alias("left"))
 
     parts = [F.transform(F.col(name), of(kind)) for kind, name in enumerate(KINDS[:4])]
-    found = found.select("doc_id", "tid", F.array_sort(F.concat(*parts)).alias("base"), "tokens")
+    spans = spans.select("doc_id", "tid", F.array_sort(F.concat(*parts)).alias("base"), "tokens")
     free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return found.select("doc_id", "tid", "base", free.alias("candidates"))
+    return spans.select("doc_id", "tid", "base", free.alias("candidates"))
 
 
 def _patterns(value: Column, left: Column) -> Column:
@@ -116,7 +148,8 @@ def discover(found: DataFrame, rounds: int = 4, threshold: float = 0.6, prior: f
     assigned to a name of ``seed_names``; they score 1. In a round a pattern's confidence is the sum of its instances'
     scores over their number plus ``prior``, and a candidate scores the noisy-or of its patterns: one minus the
     product of (1 - confidence). Patterns and scores are aggregates with map-side combine and an equi join that
-    adaptive execution can split at a hot pattern; each round is written to the shared folder.
+    adaptive execution can split at a hot pattern. Only the graph is written; the rounds are one plan that grows by
+    two joins a round.
     """
     named = rf"(?i)(?:{'|'.join(seed_names)})\s*[=:]\s*[\"']?$"
     base = found.select(F.explode("base").alias("s")).select(
@@ -130,7 +163,6 @@ def discover(found: DataFrame, rounds: int = 4, threshold: float = 0.6, prior: f
     edges = materialise(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(rounds):
-        scores = materialise(scores, "scores")
         rated = edges.select("value", "pattern").join(scores, "value")
         confidence = rated.groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("confidence"))
         joined = edges.join(confidence, "pattern")
@@ -146,7 +178,7 @@ def spans(docs: DataFrame, **options) -> DataFrame:
     Both are sorted arrays of (start, kind, end). Rows that agree in doc_id and text get the same spans.
     """
     found = materialise(scan(docs), "pii")
-    accepted = materialise(discover(found, **options), "accepted")
+    accepted = discover(found, **options)
     more = found.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), F.explode("candidates").alias("c")).distinct()
     more = more.join(accepted, F.col("c.value") == F.col("value"), "left_semi").groupBy("_id", "_tid").agg(
         F.collect_list(F.struct(F.col("c.start").alias("start"), F.lit(4).alias("kind"), F.col("c.end").alias("end"))).alias("more"))
@@ -178,9 +210,9 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     found = spans(docs, **options).filter(F.size("spans") > 0).select(
         F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), F.col("spans").alias("_spans")).distinct()
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    given = docs.alias("d")
-    joined = given.join(found, F.col("d.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("d.text") == F.col("_tid")), "left")
-    text = F.col("d.text")
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    text = F.col("row.text")
+    joined = given.join(found, F.col("row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_tid")), "left")
 
     def cut(state: Column, s: Column) -> Column:
         fresh = s["start"] >= state["at"]
@@ -192,5 +224,8 @@ def redact(docs: DataFrame, **options) -> DataFrame:
     clean = F.aggregate("_spans", start, cut, lambda s: F.concat(
         s["out"], F.substring(text, s["at"] + 1, F.length(text))))
     clean = F.when(F.col("_spans").isNull(), text).otherwise(clean)
-    out = joined.select(*[clean.alias("text") if c == "text" else F.col(f"d.`{c}`") for c in docs.columns])
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+    out = joined.select("row", clean.alias("text"))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")) for c in docs.columns])

@@ -201,7 +201,8 @@ def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
     first = found.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tid")).alias("one"))
     first = first.select(F.col("one.doc_id").alias("_id"), F.col("one.tid").alias("_tid"))
-    given = docs.withColumn("_text", F.xxhash64("text"))
-    kept = given.join(first, given["doc_id"].eqNullSafe(first["_id"]) & (given["_text"] == first["_tid"]))
-    again = Window.partitionBy("doc_id", "_text").orderBy(F.lit(0))
-    return kept.withColumn("_nth", F.row_number().over(again)).filter("_nth = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    given = given.select("row", F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("tid"))
+    kept = given.join(first, given["doc_id"].eqNullSafe(first["_id"]) & (given["tid"] == first["_tid"]))
+    nth = F.row_number().over(Window.partitionBy("doc_id", "tid").orderBy(F.lit(0)))
+    return kept.withColumn("nth", nth).filter("nth = 1").select(*[F.col(f"row.`{c}`") for c in docs.columns])

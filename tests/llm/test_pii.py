@@ -47,8 +47,14 @@ def test_base_rules_on_samples_and_noise(spark):
     texts = SAMPLES + ["".join(rng.choices("a1.@+- 5é(4)\n0", k=rng.randint(5, 80))) for _ in range(1500)]
     got = pii.scan(frame(spark, texts)).collect()
     spans = {r["doc_id"]: [(s["start"], s["kind"], s["end"]) for s in r["base"]] for r in got}
-    assert spans == {k: plain(t) for k, t in enumerate(texts)}
-    assert sum(map(len, spans.values())) > 100
+    wrong = [t for k, t in enumerate(texts) if spans[k] != plain(t)]
+    assert not wrong and sum(map(len, spans.values())) > 40
+
+
+def test_positions_in_a_text_of_many_matches(spark):
+    text = " ".join(f"é{k} u{k}@mail.example.com 10.0.{k % 300}.1 {k * 7919}" for k in range(3000))
+    row = pii.scan(frame(spark, [text])).first()
+    assert [(s["start"], s["kind"], s["end"]) for s in row["base"]] == plain(text)
 
 
 def corpus():

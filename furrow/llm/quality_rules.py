@@ -10,6 +10,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from furrow.session import materialise
+
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
@@ -92,12 +94,15 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame) -> DataFrame:
-    """:func:`measure` with ``failed``: bit i is set if the i-th rule of :data:`RULES` fails."""
+    """:func:`measure` with ``failed``: bit i is set if the i-th rule of :data:`RULES` fails.
+
+    The ledger is a written table: the texts are measured once, and policies and ablations read a few numbers a row.
+    """
     bits = [F.when(fails, F.lit(1 << i)).otherwise(F.lit(0)) for i, fails in enumerate(_rules().values())]
     total = bits[0]
     for bit in bits[1:]:
         total = total.bitwiseOR(bit)
-    return measure(docs).withColumn("failed", total.cast("long"))
+    return materialise(measure(docs).withColumn("failed", total.cast("long")), "ledger")
 
 
 def passes(policy: Policy) -> Column:

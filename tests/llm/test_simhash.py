@@ -30,7 +30,7 @@ def near(fps):
 
 
 @pytest.mark.parametrize("links", [
-    [], [(1, 1)], [(k, k + 1) for k in range(150)], [(0, k) for k in range(1, 80)],
+    [], [(1, 1)], [(k, k + 1) for k in range(40)], [(0, k) for k in range(1, 80)],
     [(random.Random(k).randrange(200), random.Random(k + 999).randrange(200)) for k in range(150)]])
 def test_components(spark, links):
     df = spark.createDataFrame(links + [(None, 3)], "x long, y long")

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from furrow.llm import graph, simhash
 
@@ -39,6 +40,12 @@ def test_components(spark, links):
     assert got == union_find([(a, b) for a, b in links if a != b], nodes)
 
 
+def test_state_of_very_many_links(spark):
+    ids = spark.range(40_000_000).select(F.col("id").alias("u"), (-F.col("id")).alias("v"))
+    count, mark = graph._state(ids)
+    assert count == 40_000_000 and graph._state(ids.filter("u < 39999999")) != (count, mark)
+
+
 def test_fingerprint():
     for _, text in ODD + [(0, "Ab C"), (0, "É é ÀB ab " * 400)]:
         assert simhash.fingerprint((text or "").encode()) == plain(text)

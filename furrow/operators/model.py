@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
@@ -23,27 +26,29 @@ def _assembled(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
 
 
 def train(training: DataFrame, grid: TreeGrid = TreeGrid(), folds: int = 2,
-          features: Sequence[str] = FEATURES) -> tuple[GBTRegressionModel, DataFrame]:
+          features: Sequence[str] = FEATURES, parallel: int = 8) -> tuple[GBTRegressionModel, DataFrame]:
     """Best model of the grid and the fold scores.
 
     Folds are in time order: fold i trains on the years before the i-th last one
     and is scored on that year. The training table is written once, since every
-    fit reads it many times.
+    fit reads it many times. ``parallel`` fits of the grid run side by side: a fit is many short jobs.
     """
     table = materialise(_assembled(training, features).select("fips", "year", "features", LABEL), "training")
     years = [r["year"] for r in table.select("year").distinct().orderBy(F.desc("year")).limit(folds + 1).collect()]
     held_out = years[:-1]
     if not held_out:
         raise ValueError("time-ordered folds need at least two years")
-    scores = None
-    for depth, rate, rounds in product(grid.depths, grid.rates, grid.rounds):
-        for year in held_out:
-            model = _learner(grid, depth, rate, rounds).fit(table.filter(F.col("year") < year))
-            fold = evaluate(model.transform(table.filter(F.col("year") == year)), LABEL, "prediction").select(
-                F.lit(depth).alias("max_depth"), F.lit(rate).alias("learning_rate"),
-                F.lit(rounds).alias("n_estimators"), F.lit(year).alias("fold_year"), "n", "r2", "mae")
-            scores = fold if scores is None else scores.unionByName(fold)
-    scores = materialise(scores, "fold-scores")
+
+    def fold(depth: int, rate: float, rounds: int, year: int) -> DataFrame:
+        model = _learner(grid, depth, rate, rounds).fit(table.filter(F.col("year") < year))
+        return evaluate(model.transform(table.filter(F.col("year") == year)), LABEL, "prediction").select(
+            F.lit(depth).alias("max_depth"), F.lit(rate).alias("learning_rate"),
+            F.lit(rounds).alias("n_estimators"), F.lit(year).alias("fold_year"), "n", "r2", "mae")
+
+    with ThreadPool(parallel) as pool:
+        found = pool.starmap(inheritable_thread_target(table.sparkSession)(fold),
+                              product(grid.depths, grid.rates, grid.rounds, held_out))
+    scores = materialise(reduce(DataFrame.unionByName, found), "fold-scores")
     best = (scores.groupBy("max_depth", "learning_rate", "n_estimators").agg(F.avg("mae").alias("mae"))
             .orderBy("mae", "max_depth", "learning_rate", "n_estimators").first())
     model = _learner(grid, best["max_depth"], best["learning_rate"], best["n_estimators"]).fit(table)

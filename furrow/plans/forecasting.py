@@ -145,12 +145,17 @@ def _training(spark, sf):
     return joins.training_set(ends, d.yields(spark, sf))
 
 
-SMALL_GRID = TreeGrid(depths=(2, 3), rates=(0.1,), rounds=(5,))
+_fitted: dict[tuple, tuple] = {}
 
 
 def _trained(spark, sf):
-    past = _training(spark, sf).filter(F.col("year") < d.LAST_YEAR)
-    return model.train(past, SMALL_GRID, folds=2)
+    """Model and fold scores over the whole grid, fitted once per session and list of input files."""
+    files = sorted(f for n in ("lineitem", "supplier") for f in d.table(spark, sf, n).inputFiles())
+    key = (spark.sparkContext.applicationId, *files)
+    if key not in _fitted:
+        past = _training(spark, sf).filter(F.col("year") < d.season_years(spark, sf)[1])
+        _fitted[key] = model.train(past, TreeGrid(), folds=2)
+    return _fitted[key]
 
 
 @query("model_train")
@@ -165,7 +170,7 @@ def feature_importance(spark, sf):
 
 @query("model_score")
 def model_score(spark, sf):
-    features = season_features(spark, sf).filter(F.col("year") == d.LAST_YEAR)
+    features = season_features(spark, sf).filter(F.col("year") == d.season_years(spark, sf)[1])
     scored = model.score_model(features, _trained(spark, sf)[0])
     return forecast.with_interval(scored, "tree").select(
         "fips", "year", "current_week", "yield_forecast_bu_acre", "confidence_interval_lower",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from furrow.config import TreeGrid
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
@@ -40,6 +43,17 @@ def test_query(spark, duck, name):
     assert ordered(got, df.columns) == ordered(expected, columns)
 
 
+def test_tree_queries_fit_the_whole_grid(spark):
+    grid, build = TreeGrid(), entry.queries()
+    fits = [(r["max_depth"], r["learning_rate"], r["n_estimators"], r["fold_year"])
+            for r in build["model_train"](spark, SF_DIR).collect()]
+    years = {fit[3] for fit in fits}
+    assert len(years) == 2 and sorted(fits) == sorted(product(grid.depths, grid.rates, grid.rounds, years))
+    assert build["feature_importance"](spark, SF_DIR).count() == 5
+    scored = build["model_score"](spark, SF_DIR).collect()
+    assert {r["year"] for r in scored} == {max(years) + 1} and "boosted trees" in {r["model_type"] for r in scored}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() == 10 * 7 * 27
 

@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from statistics import NormalDist
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +20,7 @@ class Caps:
 
     With ``blocks`` blocks of ``codewords`` random unit vectors there are codewords ** blocks directions, of which
     only the codewords are stored. A vector belongs to all directions with an inner product of ``height`` or more,
-    and to its ``least`` best ones in any case.
+    and to its ``least`` best ones in any case. ``repeats`` such codes, independent of each other, are used at once.
     """
 
     codewords: int
@@ -29,40 +28,87 @@ class Caps:
     blocks: int = 4
     least: int = 24
     seed: int = 42
+    repeats: int = 1
 
-    def codes(self, dim: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rotation and codewords (blocks, codewords, block length) for vectors of ``dim`` components."""
-        rng = np.random.default_rng([self.seed, dim, self.codewords])
+    def codes(self, dim: int, nth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+        """Rotation and codewords (blocks, codewords, block length) of the nth code for vectors of ``dim`` components."""
+        rng = np.random.default_rng([self.seed + nth, dim, self.codewords])
         size = -(-dim // self.blocks)
         turn = np.linalg.qr(rng.standard_normal((size * self.blocks, size * self.blocks)))[0][:dim]
         words = rng.standard_normal((self.blocks, self.codewords, size))
         return turn, words / np.linalg.norm(words, axis=2, keepdims=True) / np.sqrt(self.blocks)
 
 
-def caps_for(vectors: int, dim: int, directions: int = 64, bucket: float = 4.0, least: int = 24) -> Caps:
-    """Caps that hold about ``bucket`` of ``vectors`` unrelated vectors each, ``directions`` a vector.
+def caps_for(vectors: int, dim: int, directions: int = 64, bucket: float = 4.0, least: int = 24, cosine: float = 0.9,
+             recall: float = 0.99, trials: int = 256) -> Caps:
+    """Caps that hold about ``bucket`` of ``vectors`` unrelated vectors each, ``directions`` a vector and code.
 
     The share of the sphere in a cap falls with the number of vectors, so unrelated candidates grow in proportion to
-    the vectors, not with their square.
+    the vectors, not with their square. Narrower caps separate more of the near pairs, so both of the following are
+    taken from ``trials`` random pairs with exactly the ``cosine``: the height at which a vector has ``directions`` of
+    the code's own sums, and the number of independent codes that brings the share of pairs in a common cap to
+    ``recall`` (the share of one code is taken a standard error lower).
     """
     share = min(0.05, bucket / max(1, vectors))
     words = max(6, int(np.ceil((directions / share) ** 0.25)))
-    height = NormalDist().inv_cdf(1 - directions / float(words) ** 4) / np.sqrt(dim)
-    return Caps(words, float(height), least=least)
+    caps = Caps(words, 0.0, least=least)
+    rng = np.random.default_rng([caps.seed, dim, words, trials])
+    x = rng.standard_normal((trials, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    caps = replace(caps, height=_height(x[:64], caps, directions))
+    if dim < 2 or cosine >= 1:
+        return caps
+    aside = rng.standard_normal((trials, dim))
+    aside -= np.einsum("ij,ij->i", aside, x)[:, None] * x
+    y = cosine * x + np.sqrt(1 - cosine ** 2) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    met = np.mean([len(np.intersect1d(a, b)) > 0 for a, b in zip(decode(x, caps), decode(y, caps))])
+    met = max(0.05, met - np.sqrt(max(met * (1 - met), 1 / trials) / trials))
+    return replace(caps, repeats=int(np.ceil(np.log(1 - recall) / np.log(1 - met))))
+
+
+def _halves(unit: np.ndarray, caps: Caps, nth: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the sums of all pairs of codewords of the first two blocks, and of the last two."""
+    turn, words = caps.codes(unit.shape[1], nth)
+    turned = (unit @ turn).reshape(len(unit), caps.blocks, words.shape[2])
+    scores = np.einsum("nbs,bks->bnk", turned, words)
+    return ((scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), -1),
+            (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(unit), -1))
+
+
+def _height(unit: np.ndarray, caps: Caps, directions: int) -> float:
+    """The least height, to 20 bits, at which these rows have ``directions`` or fewer directions on average."""
+    left, right = _halves(unit, caps)
+    right = np.sort(-right, axis=1)
+    low, high = -1.0, 1.0
+    for _ in range(20):
+        height = (low + high) / 2
+        wanted = sum(int(np.searchsorted(r, ls[ls >= height + r[0]] - height, side="right").sum())
+                     for ls, r in zip(left, right))
+        low, high = (height, high) if wanted > directions * len(unit) else (low, height)
+    return float(high)
 
 
 def decode(unit: np.ndarray, caps: Caps) -> Iterator[np.ndarray]:
-    """For each row the numbers of all directions above the height (or the best ``least``, if fewer are).
+    """For each row the numbers of all directions above the height (or the best ``least`` of a code, if fewer are).
+
+    The directions of the nth code follow those of the codes before it. As many rows are taken at once as leave the
+    sums of a code at about two million.
+    """
+    step = max(1, 2_000_000 // caps.codewords ** 2)
+    for at in range(0, len(unit), step):
+        codes = [_decode(unit[at:at + step], caps, nth) for nth in range(caps.repeats)]
+        for found in zip(*codes):
+            yield np.concatenate([numbers + nth * caps.codewords ** caps.blocks for nth, numbers in enumerate(found)])
+
+
+def _decode(unit: np.ndarray, caps: Caps, nth: int) -> Iterator[np.ndarray]:
+    """The directions of one code.
 
     The blocks are joined to two halves; both halves' sums are sorted, and for each sum of the first half the second
     half is searched for the least partner that reaches the height, so only directions of the result are listed.
     """
-    turn, words = caps.codes(unit.shape[1])
-    k, size = caps.codewords, words.shape[2]
-    turned = (unit @ turn).reshape(len(unit), caps.blocks, size)
-    scores = np.einsum("nbs,bks->bnk", turned, words)
-    left = (scores[0][:, :, None] + scores[1][:, None, :]).reshape(len(unit), -1)
-    right = (scores[2][:, :, None] + scores[3][:, None, :]).reshape(len(unit), -1)
+    k = caps.codewords
+    left, right = _halves(unit, caps, nth)
     left_order, right_order = np.argsort(-left, axis=1, kind="stable"), np.argsort(-right, axis=1, kind="stable")
     for row in range(len(unit)):
         lo, ro = left_order[row], right_order[row]
@@ -148,7 +194,7 @@ def link_vectors(distinct: DataFrame, cosine: float = 0.9, cell: int = 2_000, di
     their own, so no pair is left out and no task holds more than two parts.
     """
     sizes = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    caps = {dim: caps_for(n, dim, directions) for dim, n in sizes.items()}
+    caps = {dim: caps_for(n, dim, directions, cosine=cosine) for dim, n in sizes.items()}
     found = materialise(memberships(distinct, caps), "caps")
     buckets = found.groupBy("dim", "cap").agg(F.count("*").alias("size")).filter("size > 1")
     rows = found.join(buckets, ["dim", "cap"])

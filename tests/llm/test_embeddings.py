@@ -90,3 +90,15 @@ def test_candidates_grow_with_the_vectors(count):
     caps = E.caps_for(count, 64)
     total = caps.codewords ** 4
     assert 64 / total * count <= 4.5
+
+
+@pytest.mark.parametrize("count", [10_000, 1_000_000, 30_000_000])
+def test_pairs_at_the_threshold_meet(count):
+    rng = np.random.default_rng(7)
+    x, aside = rng.standard_normal((2, 300, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    aside -= (aside * x).sum(axis=1, keepdims=True) * x
+    y = 0.9 * x + math.sqrt(1 - 0.81) * aside / np.linalg.norm(aside, axis=1, keepdims=True)
+    caps = E.caps_for(count, 64)
+    met = [len(np.intersect1d(a, b)) > 0 for a, b in zip(E.decode(x, caps), E.decode(y, caps))]
+    assert np.mean(met) >= 0.97

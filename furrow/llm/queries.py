@@ -64,8 +64,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_min_bin_slack")
 def op5_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents, tokenised and packed into sequences of 1024."""
-    packed = packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY, ids=False)
-    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    packed = packing.pack_documents(table(spark, sf_dir, "documents"), VOCABULARY)
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 @query("op4_toxicity")

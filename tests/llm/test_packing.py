@@ -33,6 +33,15 @@ def test_ids_are_those_of_the_library(library):
     assert [encode(t) for t in texts] == [library(t) for t in texts]
 
 
+def test_pieces_hold_added_tokens_as_the_default_call(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>x  \n<|endoftext|>  y", " <|endoftext|", "plain"]
+    plain = Tokenizer.from_file(PATH)
+    want = {k: plain.encode(t, add_special_tokens=False).ids + [0] for k, t in enumerate(texts)}
+    assert want[0] == [64, 220, 50256, 275, 0]
+    got = {r["doc_id"]: np.frombuffer(r["ids"], "<u4").tolist() for r in packing.pieces(frame(spark, texts), PATH).collect()}
+    assert got == want
+
+
 def test_fill_has_the_least_slack():
     rng = random.Random(4)
     for _ in range(150):

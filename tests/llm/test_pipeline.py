@@ -72,5 +72,9 @@ def test_packing(stages):
     assert found == tokens
 
 
+def test_the_last_stage_holds_the_ids(stages):
+    assert all(len(r["ids"]) == 4 * r["length"] for r in stages[5].collect())
+
+
 def test_run_gives_the_last_stage(spark, stages):
     assert sorted(map(tuple, corpus_pipeline.run(spark, SF_DIR).collect())) == sorted(map(tuple, stages[5].collect()))

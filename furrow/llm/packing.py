@@ -135,20 +135,21 @@ def places(counts: dict[int, int], window: int) -> dict[int, np.ndarray]:
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(cut: DataFrame, window: int = 1024, width: int = 4) -> DataFrame:
-    """``cut`` (with doc_id, start, length of at most ``window``) with columns sequence_id and offset.
-
-    Only the histogram of lengths, ``window`` numbers at most, is planned on the driver. Pieces are numbered within
-    their length by a range sort of the table, so one common length spreads over many tasks. The same rows give the
-    same sequences. ``cut`` is read twice: pass a written table. Where its ids have a ``width`` of 2 bytes they leave
-    with 4.
+def pack(cut: DataFrame, window: int = 1024, width: int = 4, order: tuple[str, ...] = ("doc_id", "start")) -> DataFrame:
+    """``cut`` (with piece, length of at most ``window`` and ``order``) with columns sequence_id and offset for ``piece``.
+
+    ``piece`` numbers the rows uniquely. Only the histogram of lengths, ``window`` numbers at most, is planned on the
+    driver. Pieces are numbered within their length by a range sort of their keys alone, so one common length spreads
+    over many tasks, the payload is never a sort key, and it meets its place by ``piece``. The same rows give the same
+    sequences where ``order`` tells them apart. ``cut`` is read three times: pass a written table. Where its ids have a
+    ``width`` of 2 bytes they leave with 4.
     """
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     spots = places(counts, window)
     first, seen = {}, 0
     for length in sorted(counts):
         first[length], seen = seen, seen + counts[length]
-    rows = numbered(cut, ["length", "doc_id", "start", *[c for c in cut.columns if c not in ("length", "doc_id", "start")]])
+    keys = numbered(cut.select("length", *order, "piece"), ["length", *order]).select("piece", "length", "row")
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,15 +161,23 @@ def pack(cut: DataFrame, window: int = 1024, width: int = 4) -> DataFrame:
                 start, n, base, begin = table[np.searchsorted(table[:, 0], rank, side="right") - 1].T
                 sequence[own] = base + (rank - start) // n
                 offset[own] = begin + (rank - start) % n * length
-            kept = batch.drop_columns(["row"])
-            if width == 2:
-                wide = [np.frombuffer(x.as_py(), "<u2").astype("<u4").tobytes() for x in kept.column("ids")]
-                kept = kept.set_column(kept.schema.get_field_index("ids"), "ids", pa.array(wide, pa.binary()))
             yield pa.RecordBatch.from_arrays(
-                [*kept.columns, pa.array(sequence), pa.array(offset)], [*kept.schema.names, "sequence_id", "offset"])
+                [batch.column("piece"), pa.array(sequence), pa.array(offset)], ["piece", "sequence_id", "offset"])
+
+    placed = cut.join(keys.mapInArrow(assign, "piece long, sequence_id long, offset long"), "piece")
+    return _widened(placed) if width == 2 else placed
+
+
+def _widened(rows: DataFrame) -> DataFrame:
+    """``rows`` whose ids of two bytes are given four."""
+    at = rows.columns.index("ids")
+
+    def widen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [np.frombuffer(x.as_py(), "<u2").astype("<u4").tobytes() for x in batch.column(at)]
+            yield batch.set_column(at, "ids", pa.array(wide, pa.binary()))
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema.fields)
-    return rows.mapInArrow(assign, f"{fields}, sequence_id long, offset long")
+    return rows.mapInArrow(widen, rows.schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:
@@ -184,6 +193,8 @@ def pack_documents(docs: DataFrame, path: str, window: int = 1024, end_id: int =
     Ids travel in two bytes where the vocabulary allows, which halves the written pieces and the shuffle.
     """
     width = 2 if max(encoder(path).max_token_value, end_id) < 1 << 16 else 4
-    packed = pack(materialise(pieces(docs, path, window, end_id, width), "pieces"), window, width)
+    cut = pieces(docs, path, window, end_id, width).select(
+        F.monotonically_increasing_id().alias("piece"), "*", F.xxhash64("ids").alias("tie"))
+    packed = pack(materialise(cut, "pieces"), window, width, ("doc_id", "start", "doc_tokens", "tie"))
     digest = F.crc32("ids").alias("ids_crc32")
     return packed.select("doc_id", "start", "length", digest, "doc_tokens", *(["ids"] if ids else []), "sequence_id", "offset")

@@ -234,7 +234,7 @@ def segment_texts(vocab: Vocabulary, texts: list[str], keys: np.ndarray) -> list
 
 def row_keys(doc_ids: list, seed: int) -> np.ndarray:
     """A 64-bit key for each doc_id and the seed; a null doc_id has the key of the seed."""
-    ids = np.array([0 if d is None else int(d) + 1 for d in doc_ids], np.int64).view(np.uint64)
+    ids = np.array([0 if d is None else (int(d) + 1) % (1 << 64) for d in doc_ids], np.uint64)
     return _mix(_mix(ids) ^ np.uint64(seed))
 
 

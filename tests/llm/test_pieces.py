@@ -66,3 +66,9 @@ def test_rows(odd, none, skewed):
     back = sorted(((repr(r["doc_id"]), r["text"]) for r in pieces.decode(encoded, PATH).collect()))
     assert back == sorted((repr(d), t or "") for d, t in ODD)
     assert pieces.encode(none, PATH).count() == 0 and pieces.decode(pieces.encode(none, PATH), PATH).count() == 0
+
+
+def test_keys_of_the_least_and_greatest_number():
+    ends = [-(1 << 63), -1, None, 0, (1 << 63) - 1]
+    keys = pieces.row_keys(ends, 42)
+    assert len(keys) == 5 and keys[1] == keys[2] and len(set(keys.tolist())) == 4

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import cotraining, embeddings, linededup, packing, pieces, pii, quality_rules, sharding, simhash
+from furrow.llm import collocations, cotraining, embeddings, linededup, packing, pieces, pii, quality_rules, sharding, simhash
 from furrow.llm import toxicity as tox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -176,3 +176,47 @@ def op6_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pieces.encode(table(spark, sf_dir, "documents"), PIECES)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_pieces"),
                         F.crc32("ids").alias("ids_crc32"), "lossless")
+
+
+PHRASES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws
+  FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+f1 AS (SELECT lang, w, count(*) AS f FROM (SELECT lang, unnest(ws) AS w FROM p) GROUP BY ALL),
+f2 AS (
+  SELECT lang, g[1] AS w1, g[2] AS w2, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws)), lambda i: [ws[i], ws[i + 1]])) AS g FROM p) GROUP BY ALL),
+f3 AS (
+  SELECT lang, g[1] AS w1, g[2] AS w2, g[3] AS w3, count(*) AS f
+  FROM (SELECT lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS g FROM p)
+  GROUP BY ALL HAVING count(*) >= 10),
+longer AS (
+  SELECT lang, w1, w2, max(f) AS f FROM (
+    SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+cut AS (
+  SELECT lang, w1 || ' ' || w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k
+  FROM f2 JOIN f1 x USING (lang) JOIN f1 y USING (lang) LEFT JOIN longer USING (lang, w1, w2)
+  WHERE x.w = w1 AND y.w = w2 AND f2.f >= 10 AND (longer.f IS NULL OR 100 * longer.f < 50 * f2.f)
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, x.f, y.f, 1
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = w3
+  UNION ALL
+  SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, x.f, y.f, 2
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w = w3),
+scored AS (
+  SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM cut),
+weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM weakest),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
+@query("op13_collocations", PHRASES_SQL)
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first phrases of every language in all documents."""
+    return collocations.collocations(table(spark, sf_dir, "documents"))

@@ -19,7 +19,8 @@ _LETTERS = bytes(range(65, 91)), bytes(range(97, 123))
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_LETTERS[0] + b"\t" + _SPLITS, _LETTERS[1] + b" " + MARK * len(_SPLITS))
 _MARKS = re.compile(re.escape(MARK) + b"+")
-FLUSH = 3_000_000  # entries that a task holds before it sends its filters
+FLUSH = 2_000_000  # entries that a task holds before it sends its filters
+PARTS = 32
 SHARD = 1 << 22  # occurrences that a shard of the key space should hold
 
 
@@ -145,7 +146,10 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
         F.when(F.col("first") <= F.col("second"), f1).otherwise(F.col("f_head")).alias("l"),
         F.when(F.col("first") <= F.col("second"), F.col("f_tail")).otherwise(f3).alias("r"),
         F.least("first", "second").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = pairs.unionByName(triples).withColumn("rank", F.row_number().over(order).cast("long")).filter(F.col("rank") <= top)
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))  # a language is cut in parts first, so its last task sees PARTS * top rows
+    best = pairs.unionByName(triples).withColumn("part", part).withColumn(
+        "rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).filter(F.col("rank") <= top)
+    ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
     sizes = words.groupBy("grp").agg(F.sum("f").alias("n")).withColumnRenamed("grp", "lang")
     return ranked.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

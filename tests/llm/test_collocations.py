@@ -116,9 +116,10 @@ def test_small_chunks_flushes_and_many_shards(spark, monkeypatch):
 
 
 def test_odd_rows(spark, odd, none, skewed):
+    odd = odd.unionByName(odd.filter("doc_id = 5").withColumn("text", F.lit("one two three " * 20)))
     rows = [(r["lang"], r["text"]) for r in odd.collect()]
     found = got(collocations.collocations(odd))
-    assert found == brute(rows) and found and {r[0] for r in found} == {"und"}
+    assert found == brute(rows) and {r[0] for r in found} == {"und"}
     assert collocations.collocations(none).count() == 0
     assert collocations.collocations(frame(spark, ["", None, "a b"])).count() == 0
     assert got(collocations.collocations(skewed)) == brute([(r["lang"], r["text"]) for r in skewed.collect()])

@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import collocations, cotraining, embeddings, linededup, packing, pieces, pii, quality_rules, sharding, simhash
+from furrow.llm import collocations, cotraining, embeddings, linededup, packing, periodic, pieces, pii, quality_rules, sharding, simhash
 from furrow.llm import toxicity as tox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -220,3 +220,15 @@ SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHE
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first phrases of every language in all documents."""
     return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of all documents, one in ten of which repeats a part of itself."""
+    found = periodic.periodic_runs(table(spark, sf_dir, "documents"), arrange=periodic.planted)
+    best = periodic.most_repeated(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(periodic.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))

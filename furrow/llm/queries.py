@@ -8,7 +8,7 @@ import public_tokenizers as tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from furrow.llm import collocations, cotraining, embeddings, linededup, packing, periodic, pieces, pii, quality_rules, sharding, simhash
+from furrow.llm import collocations, cotraining, embeddings, linededup, maxent, packing, periodic, pieces, pii, quality_rules, sharding, simhash
 from furrow.llm import toxicity as tox
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -232,3 +232,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("1000 * best.length div best.period").alias("exponent_milli"),
         F.sha2(periodic.run_lines(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
         F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+@query("op12_hashed_maxent")
+def op12_hashed_maxent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all documents by the maximum-entropy model, next to that of single tokens."""
+    return maxent.score(table(spark, sf_dir, "documents"))

@@ -37,7 +37,7 @@ class _Chunk:
 
 def chunks(docs: DataFrame, tokens: Callable[[bytes], list[bytes]], group: Column, counted: Column,
            size: int = CHUNK_WORDS) -> DataFrame:
-    """Rows (chunk, grp, words, n, marks, width, ids, doc_ids, ends): whole texts of one group, ``size`` words or one text.
+    """Rows (chunk, grp, words, n, marks, width, ids, doc_ids, ends, counted): whole texts of one group, ``size`` words or one text.
 
     ``tokens`` splits the UTF-8 bytes of a text into words and :data:`MARK`. ``ids`` holds local ids (``width`` bytes
     each): 0 is the mark, k + 1 stands for ``words[k]``; ``n`` counts words (``marks`` the mark) in the texts where
@@ -63,7 +63,7 @@ def chunks(docs: DataFrame, tokens: Callable[[bytes], list[bytes]], group: Colum
             row = [pa.array([(task << 33) + made], pa.int64()), pa.array([name], pa.string()), _list(words),
                    _list(pa.array(n[1:])), pa.array([int(n[0])], pa.int64()), pa.array([width], pa.int32()),
                    pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), _list(pa.array(own.owners, owner_type)),
-                   _list(pa.array(np.cumsum(lengths)))]
+                   _list(pa.array(np.cumsum(lengths))), _list(pa.array(own.counted, pa.bool_()))]
             made += 1
             return pa.RecordBatch.from_arrays(row, NAMES)
 
@@ -82,10 +82,10 @@ def chunks(docs: DataFrame, tokens: Callable[[bytes], list[bytes]], group: Colum
             yield close(name)
 
     return rows.mapInArrow(scan, f"chunk long, grp string, words array<string>, n array<long>, marks long, width int, "
-                                 f"ids binary, doc_ids array<{kind}>, ends array<long>")
+                                 f"ids binary, doc_ids array<{kind}>, ends array<long>, counted array<boolean>")
 
 
-NAMES = ["chunk", "grp", "words", "n", "marks", "width", "ids", "doc_ids", "ends"]
+NAMES = ["chunk", "grp", "words", "n", "marks", "width", "ids", "doc_ids", "ends", "counted"]
 
 
 def _list(values: pa.Array) -> pa.Array:

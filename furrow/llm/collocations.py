@@ -63,7 +63,8 @@ def filters(known: DataFrame, bits: int, shards: int) -> DataFrame:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                ids = lookup(batch, row, "id", 0, np.uint64)[local_ids(batch, row)]
+                local = local_ids(batch, row)
+                ids = lookup(batch, row, "id", local, 0, np.uint64)[local]
                 if len(ids) < 2:
                     continue
                 first, second, third = grams(ids)

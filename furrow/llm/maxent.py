@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.wordchunks import MARK, chunks, counts, local_ids, lookup, with_values
+from furrow.llm.wordchunks import MARK, chunks, local_ids, lookup, packed, unpacked
 from furrow.session import materialise
 
 END, TAIL = 0, 1  # outputs of the model before the frequent words
 FEATURES = 3  # the word before, the two words before, the word before that (skip)
+CHUNK = 1 << 19  # words of a chunk
 BLOCK = 1 << 15  # tokens of one numpy step
 ROWS = 256  # rows of a weight table that travel together
 
@@ -122,11 +123,12 @@ class Moments:
     def add(self, model: Model, keys: np.ndarray, outputs: np.ndarray) -> None:
         for factor, _, rows, column, p in factors(model, keys, outputs):
             shape = self.seen[factor].shape
-            block, columns = np.zeros(shape[0] * shape[1], np.float32), np.arange(shape[1], dtype=np.int32)
+            block, columns = np.zeros(shape[0] * shape[1], np.float32), np.arange(shape[1])
+            p = p.reshape(-1).view(np.float32)  # a dtype that was pickled is another object, which add.at takes 20 times slower
             for row in rows:
-                first = row.astype(np.int32) * np.int32(shape[1])
+                first = row.astype(np.int64) * shape[1]
                 self.seen[factor] += np.bincount(first + column, minlength=len(block)).reshape(shape)
-                np.add.at(block, (first[:, None] + columns).reshape(-1), p.reshape(-1))
+                np.add.at(block, (first[:, None] + columns).reshape(-1), p)
             self.expected[factor] += block.reshape(shape)
 
 
@@ -181,17 +183,27 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
     where it is held out, ``base`` its unigram score, ``known`` the tokens that training has seen, ``tail`` the score of
     its rare words among all rare words.
     """
-    chunked = materialise(chunks(docs, lm_words, F.lit(""), ~held_out(F.col("doc_id"))), "lm-chunks")
-    words = materialise(counts(chunked).select("grp", "word", "f"), "lm-words")
-    sums = words.agg(F.sum("f").alias("n"), F.count("*").alias("v")).first()
-    texts = chunked.agg(F.sum("marks")).first()[0] or 0
-    tokens = (sums["n"] or 0) + texts
-    often = words.filter(F.col("f") * training.share >= tokens).collect() if tokens else []
-    often.sort(key=lambda r: (-r["f"], r["word"]))
-    vocabulary = Vocabulary(tokens, sums["v"] + (texts > 0), texts, {r["word"]: r["f"] for r in often})
+    chunked = materialise(chunks(docs, lm_words, F.lit(""), ~held_out(F.col("doc_id")), CHUNK), "lm-chunks")
+    sums = chunked.agg(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)).alias("n"), F.sum("marks").alias("m")).first()
+    texts, tokens = sums["m"] or 0, (sums["n"] or 0) + (sums["m"] or 0)
+    # a word is one row per chunk, so none is hot; one shuffle counts it and tells all its chunks
+    same = Window.partitionBy("word")
+    words = chunked.select("chunk", F.posexplode(F.arrays_zip("words", "n")).alias("at", "w"))
+    words = words.select("chunk", (F.col("at") + 1).alias("at"), F.col("w.words").alias("word"), F.col("w.n").alias("n"))
+    words = words.withColumns({"f": F.sum("n").over(same), "one": F.min(F.when(F.col("n") > 0, F.col("chunk"))).over(same)})
+    often = F.col("f") * training.share >= tokens
+    words = materialise(words.select(
+        "chunk", "at", "f", F.when(often & (F.col("f") > 0), F.col("word")).alias("word"),
+        F.coalesce(F.col("one") == F.col("chunk"), F.lit(False)).alias("one")), "lm-words")
+    types = words.agg(F.count_if("one")).first()[0]
+    frequent = words.filter("one AND word IS NOT NULL").select("word", "f").collect()
+    frequent.sort(key=lambda r: (-r["f"], r["word"]))
+    vocabulary = Vocabulary(tokens, types + (texts > 0), texts, {r["word"]: r["f"] for r in frequent})
     numbers = docs.sparkSession.createDataFrame(
-        [(w, k + TAIL + 1) for k, w in enumerate(vocabulary.frequent)], "word string, id long")
-    values = words.join(F.broadcast(numbers), "word", "left").select("grp", "word", "f", F.coalesce("id", F.lit(TAIL)).alias("id"))
+        [(w, k + TAIL + 1) for k, w in enumerate(vocabulary.frequent)], "word string, id int")
+    known = words.join(F.broadcast(numbers), "word", "left").groupBy("chunk").agg(
+        F.collect_list(F.struct("at", "f")).alias("known"),
+        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).alias("frequent"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = np.log10(tokens + 0.5 * (vocabulary.types + 1))
     rare = np.log10(vocabulary.totals[TAIL] + 0.5 * (vocabulary.rare_types + 1))
@@ -200,7 +212,7 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
         for batch in batches:
             for row in range(batch.num_rows):
                 local, ends = local_ids(batch, row), batch.column("ends")[row].values.to_numpy()
-                f, ids = lookup(batch, row, "f", 0, np.int64), lookup(batch, row, "id", TAIL, np.int64)
+                f, ids = lookup(batch, row, "f", local, 0, np.int64), lookup(batch, row, "id", local, TAIL, np.int64, "frequent")
                 f[0], ids[0] = texts, END
                 f, ids = f[local], ids[local]
                 begin = np.concatenate(([0], ends[:-1])).astype(np.int64)
@@ -212,19 +224,19 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
                 one, sums = batch.slice(row, 1), [np.array(turn, np.int64), *sums]
                 listed = [pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), pa.array(s)) for s in sums]
                 yield pa.RecordBatch.from_arrays(
-                    [one.column("chunk"), pa.array([ids.astype("<u2").tobytes()], pa.binary()), one.column("ends"),
+                    [one.column("chunk"), pa.array([packed(ids, 2)], pa.binary()), one.column("ends"),
                      one.column("doc_ids"), *listed],
                     ["chunk", "ids", "ends", "doc_ids", "turn", "base", "known", "tail"])
 
-    rows = with_values(chunked, values, "f", "id").mapInArrow(
+    rows = chunked.drop("words", "n").join(known, "chunk", "left").mapInArrow(
         number, f"chunk long, ids binary, ends array<long>, doc_ids array<{kind}>, turn array<long>, "
                 "base array<double>, known array<long>, tail array<double>")
     return materialise(rows, "lm-texts"), vocabulary
 
 
 def _unpack(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
-    ids = np.frombuffer(batch.column("ids")[row].as_py(), "<u2").astype(np.int64)
-    return ids, batch.column("ends")[row].values.to_numpy()
+    ends = batch.column("ends")[row].values.to_numpy()
+    return unpacked(batch.column("ids")[row].as_py(), 2, int(ends[-1])).astype(np.int64), ends
 
 
 def gradient(texts: DataFrame, model: Model, pad: int, part: int, slices: int) -> tuple[list[np.ndarray], list[np.ndarray]]:

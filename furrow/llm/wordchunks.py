@@ -40,7 +40,7 @@ def chunks(docs: DataFrame, tokens: Callable[[bytes], list[bytes]], group: Colum
     """Rows (chunk, grp, words, n, marks, width, ids, doc_ids, ends, counted): whole texts of one group, ``size`` words or one text.
 
     ``tokens`` splits the UTF-8 bytes of a text into words and :data:`MARK`. ``ids`` holds local ids (``width`` bytes
-    each): 0 is the mark, k + 1 stands for ``words[k]``; ``n`` counts words (``marks`` the mark) in the texts where
+    each, see :func:`packed`): 0 is the mark, k + 1 stands for ``words[k]``; ``n`` counts words (``marks`` the mark) in the texts where
     ``counted`` is true. Text k ends before ``ends[k]`` and belongs to ``doc_ids[k]``. A null text is empty, a null
     group is empty. ``chunk`` is unique in the result once that is written: write it before it is read twice.
     """
@@ -62,7 +62,7 @@ def chunks(docs: DataFrame, tokens: Callable[[bytes], list[bytes]], group: Colum
             words = pa.array(list(own.vocabulary)[1:], pa.binary()).cast(pa.string())
             row = [pa.array([(task << 33) + made], pa.int64()), pa.array([name], pa.string()), _list(words),
                    _list(pa.array(n[1:])), pa.array([int(n[0])], pa.int64()), pa.array([width], pa.int32()),
-                   pa.array([ids.astype(f"<u{width}").tobytes()], pa.binary()), _list(pa.array(own.owners, owner_type)),
+                   pa.array([packed(ids, width)], pa.binary()), _list(pa.array(own.owners, owner_type)),
                    _list(pa.array(np.cumsum(lengths))), _list(pa.array(own.counted, pa.bool_()))]
             made += 1
             return pa.RecordBatch.from_arrays(row, NAMES)
@@ -109,18 +109,28 @@ def with_values(chunked: DataFrame, values: DataFrame, *columns: str) -> DataFra
     return chunked.drop("words", "n").join(known, "chunk", "left")
 
 
+def packed(ids: np.ndarray, width: int) -> bytes:
+    """Little-endian numbers of ``width`` bytes, compressed."""
+    return pa.compress(ids.astype(f"<u{width}").tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, width: int, size: int) -> np.ndarray:
+    """The ``size`` numbers of :func:`packed`."""
+    return np.frombuffer(pa.decompress(data, decompressed_size=size * width, codec="zstd", asbytes=True), f"<u{width}")
+
+
 def local_ids(row: pa.RecordBatch, at: int) -> np.ndarray:
     """Local ids of the chunk in row ``at`` of a batch."""
-    return np.frombuffer(row.column("ids")[at].as_py(), f"<u{row.column('width')[at].as_py()}")
+    ends = row.column("ends")[at].values
+    return unpacked(row.column("ids")[at].as_py(), row.column("width")[at].as_py(), ends[len(ends) - 1].as_py())
 
 
-def lookup(row: pa.RecordBatch, at: int, field: str, fill, kind) -> np.ndarray:
-    """Value of ``field`` by local id for the chunk in row ``at``; ``fill`` where the word is not known."""
-    found = row.column("known")[at]
-    out = np.full(int(local_ids(row, at).max(initial=0)) + 1, fill, kind)
+def lookup(row: pa.RecordBatch, at: int, field: str, ids: np.ndarray, fill, kind, column: str = "known") -> np.ndarray:
+    """Value of ``field`` in the structs of ``column`` by local id; ``fill`` where a word has none."""
+    found = row.column(column)[at]
+    out = np.full(int(ids.max(initial=0)) + 1, fill, kind)
     if found.is_valid:
         inner = found.values
         places = inner.field("at").to_numpy()
-        keep = places < len(out)
-        out[places[keep]] = inner.field(field).to_numpy()[keep]
+        out[places] = inner.field(field).to_numpy()
     return out

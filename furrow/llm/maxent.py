@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.llm.wordchunks import MARK, chunks, local_ids, lookup, packed, unpacked
+from furrow.llm.wordchunks import MARK, chunks, local_ids, packed, unpacked
 from furrow.session import materialise
 
 END, TAIL = 0, 1  # outputs of the model before the frequent words
@@ -200,11 +200,12 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
     frequent.sort(key=lambda r: (-r["f"], r["word"]))
     vocabulary = Vocabulary(tokens, types + (texts > 0), texts, {r["word"]: r["f"] for r in frequent})
     numbers = docs.sparkSession.createDataFrame(
-        [(w, k + TAIL + 1) for k, w in enumerate(vocabulary.frequent)], "word string, id int")
-    known = words.join(F.broadcast(numbers), "word", "left").groupBy("chunk").agg(
-        F.collect_list(F.struct("at", "f")).alias("known"),
-        F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))).alias("frequent"))
+        [(w, k + TAIL + 1) for k, w in enumerate(vocabulary.frequent)], "word string, id long")
+    # one number a word, so that a chunk's list stays small: a rare word with its count, a frequent one (negative) with its id
+    code = F.coalesce(-F.shiftleft("id", 28) - F.col("at"), F.shiftleft("f", 28) + F.col("at"))
+    known = words.join(F.broadcast(numbers), "word", "left").groupBy("chunk").agg(F.collect_list(code).alias("known"))
     kind = docs.schema["doc_id"].dataType.simpleString()
+    outputs = vocabulary.totals.astype(np.int64)
     whole = np.log10(tokens + 0.5 * (vocabulary.types + 1))
     rare = np.log10(vocabulary.totals[TAIL] + 0.5 * (vocabulary.rare_types + 1))
 
@@ -212,7 +213,12 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
         for batch in batches:
             for row in range(batch.num_rows):
                 local, ends = local_ids(batch, row), batch.column("ends")[row].values.to_numpy()
-                f, ids = lookup(batch, row, "f", local, 0, np.int64), lookup(batch, row, "id", local, TAIL, np.int64, "frequent")
+                codes = batch.column("known")[row].values
+                codes = np.zeros(0, np.int64) if codes is None else codes.to_numpy()
+                at, value = np.abs(codes) & (1 << 28) - 1, np.abs(codes) >> 28
+                f, ids = np.zeros(len(codes) + 1, np.int64), np.full(len(codes) + 1, TAIL)
+                f[at] = np.where(codes < 0, outputs[np.where(codes < 0, value, 0)], value)
+                ids[at[codes < 0]] = value[codes < 0]
                 f[0], ids[0] = texts, END
                 f, ids = f[local], ids[local]
                 begin = np.concatenate(([0], ends[:-1])).astype(np.int64)

@@ -125,9 +125,9 @@ def local_ids(row: pa.RecordBatch, at: int) -> np.ndarray:
     return unpacked(row.column("ids")[at].as_py(), row.column("width")[at].as_py(), ends[len(ends) - 1].as_py())
 
 
-def lookup(row: pa.RecordBatch, at: int, field: str, ids: np.ndarray, fill, kind, column: str = "known") -> np.ndarray:
-    """Value of ``field`` in the structs of ``column`` by local id; ``fill`` where a word has none."""
-    found = row.column(column)[at]
+def lookup(row: pa.RecordBatch, at: int, field: str, ids: np.ndarray, fill, kind) -> np.ndarray:
+    """Value of ``field`` by local id for the chunk in row ``at``; ``fill`` where a word is not known."""
+    found = row.column("known")[at]
     out = np.full(int(ids.max(initial=0)) + 1, fill, kind)
     if found.is_valid:
         inner = found.values

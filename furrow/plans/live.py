@@ -8,7 +8,7 @@ from furrow.plans import domain as d
 from furrow.plans.base_sql import LST_RAW, clamp, half_up, r6, r6s, status, weighted, week_of
 from furrow.plans.registry import query
 from furrow.session import new_path
-from furrow.streaming import streams
+from furrow.streaming import alerts, streams
 
 
 def read_stream(spark, sf_dir: str, name: str):
@@ -101,12 +101,26 @@ sx AS (SELECT *, {weighted([('0.4e0', 'a'), ('0.35e0', 'b'), ('0.25e0', 'c')])}
 SELECT CAST(week_start AS VARCHAR) AS week_start, fips, {half_up('water')} AS water, {status('round(water, 8)')} AS water_status,
   {half_up('heat')} AS heat, {status('round(heat, 8)')} AS heat_status FROM sx""")
 def stream_score(spark, sf):
-    return streams.read_scores(spark, _weekly_log(spark, sf), d.county_names(spark, sf)).select(
+    """The closed weeks as the stream scored them, and the open ones as they stand."""
+    names = d.county_names(spark, sf)
+    scored = spark.read.parquet(run(lambda t, c: streams.stream_score(readings(spark, sf), t, c, names), spark, "score-stream"))
+    weeks = streams.read_scores(spark, _weekly_log(spark, sf), names)
+    rest = weeks.join(scored, ["fips", "week_start"], "left_anti")
+    return scored.unionByName(rest).select(
         "week_start", "fips", F.col("water_stress_index.value").alias("water"),
         F.col("water_stress_index.status").alias("water_status"), F.col("heat_stress_index.value").alias("heat"),
         F.col("heat_stress_index.status").alias("heat_status"))
 
 
+@query("stream_closed_weeks", WEEKS + f"""
+--
+SELECT CAST(week_start AS VARCHAR) AS week_start, year, week_of_season, fips, open, {r6s(
+    'ndvi_mean', 'lst_mean', 'vpd_mean', 'eto_mean', 'water_deficit_mean', 'pr_sum', 'eto_sum')} FROM sw WHERE NOT open""")
+def stream_closed_weeks(spark, sf):
+    """Weeks that left the state of the stream; all but the newest one."""
+    return streams.read_closed(spark, _weekly_log(spark, sf)).drop("pr_mean")
+
+
 @query("stream_freshness", EV + """,
 seen AS (SELECT fips, max(CAST(ts AS DATE)) AS last_seen FROM ev GROUP BY fips)
 --
@@ -115,3 +129,20 @@ SELECT fips, CAST(last_seen AS VARCHAR) AS last_seen, (SELECT max(last_seen) FRO
 def stream_freshness(spark, sf):
     target = run(lambda t, c: streams.stream_freshness(events(spark, sf), t, c), spark, "freshness")
     return streams.read_freshness(spark, target, limit_days=2)
+
+
+@query("stream_freshness_alerts", EV + """,
+days AS (SELECT DISTINCT fips, CAST(ts AS DATE) AS day FROM ev),
+wm AS (SELECT max(day) - 1 AS now FROM days),
+gaps AS (SELECT fips, day, lag(day) OVER w AS prev, lead(day) OVER w AS next FROM days WHERE day <= (SELECT now FROM wm)
+  WINDOW w AS (PARTITION BY fips ORDER BY day)),
+told AS (
+  SELECT fips, 'silent' AS event, prev AS last_seen, prev + 3 AS day FROM gaps WHERE day - prev > 2
+  UNION ALL SELECT fips, 'back', prev, day FROM gaps WHERE day - prev > 2
+  UNION ALL SELECT fips, 'silent', day, day + 3 FROM gaps WHERE next IS NULL AND (SELECT now FROM wm) - day > 2)
+--
+SELECT fips, event, CAST(last_seen AS VARCHAR) AS last_seen, CAST(day AS VARCHAR) AS day FROM told""")
+def stream_freshness_alerts(spark, sf):
+    """Alerts and returns as the stream wrote them."""
+    target = run(lambda t, c: alerts.stream_alerts(events(spark, sf), t, c, limit_days=2), spark, "alerts")
+    return spark.read.schema(alerts.OUTPUT).parquet(target)

@@ -16,8 +16,9 @@ from furrow.session import materialise
 
 END, TAIL = 0, 1  # outputs of the model before the frequent words
 FEATURES = 3  # the word before, the two words before, the word before that (skip)
-CHUNK = 1 << 19  # words of a chunk
-BLOCK = 1 << 15  # tokens of one numpy step
+CHUNK = 1 << 18  # words of a chunk
+BATCH = 8  # chunks that go to a Python worker at once while the model is fitted
+BLOCK = 1 << 14  # tokens of one numpy step
 ROWS = 256  # rows of a weight table that travel together
 
 
@@ -69,17 +70,21 @@ def start(totals: np.ndarray, buckets: int) -> Model:
     return Model(place, bias, (np.zeros((buckets, classes), np.float32), np.zeros((buckets, slots), np.float32)))
 
 
-def features(ids: np.ndarray, ends: np.ndarray, pad: int) -> np.ndarray:
-    """A 64-bit number for each feature of each token's history; a text begins after ``pad``."""
-    first = np.zeros(len(ids), bool)
-    first[np.concatenate(([0], ends[:-1]))] = True
-    one = np.concatenate(([pad], ids[:-1])).astype(np.uint64)
+def histories(ids: np.ndarray, ends: np.ndarray, pad: int) -> tuple[np.ndarray, np.ndarray]:
+    """The output before each token and the one before that; a text begins after ``pad``."""
+    first = np.concatenate(([0], ends[:-1])).astype(np.int64)
+    one, two = np.empty(len(ids), np.int32), np.empty(len(ids), np.int32)
+    one[1:], two[1:] = ids[:-1], one[:-1]
     one[first] = pad
-    two = np.concatenate(([pad], one[:-1])).astype(np.uint64)
+    two[1:] = one[:-1]
     two[first] = pad
-    with np.errstate(over="ignore"):
-        keys = np.stack((one, one + (two + np.uint64(1)) * np.uint64(1 << 20), two + np.uint64(1 << 50)))
-        return _mix(keys)
+    return one, two
+
+
+def features(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A 64-bit number for each feature of the histories."""
+    one, two = one.astype(np.uint64), two.astype(np.uint64)
+    return _mix(np.stack((one, one + (two + np.uint64(1)) * np.uint64(1 << 20), two + np.uint64(1 << 50))))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -142,11 +147,11 @@ def updated(model: Model, seen: list[np.ndarray], expected: list[np.ndarray], tr
 
 def log_probabilities(model: Model, ids: np.ndarray, ends: np.ndarray, pad: int) -> np.ndarray:
     """log10 of the model's probability of every output, given what stands before it in its text."""
-    keys, out = features(ids, ends, pad), np.empty(len(ids))
+    (one, two), out = histories(ids, ends, pad), np.empty(len(ids))
     for at in range(0, len(ids), BLOCK):
         part = slice(at, at + BLOCK)
         total = np.zeros(len(ids[part]))
-        for _, some, _, column, p in factors(model, keys[:, part], ids[part]):
+        for _, some, _, column, p in factors(model, features(one[part], two[part]), ids[part]):
             total[some] += np.log10(np.maximum(p[np.arange(len(column)), column], 1e-38))
         out[part] = total
     return out
@@ -242,7 +247,7 @@ def read(docs: DataFrame, training: Training) -> tuple[DataFrame, Vocabulary]:
 
 def _unpack(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     ends = batch.column("ends")[row].values.to_numpy()
-    return unpacked(batch.column("ids")[row].as_py(), 2, int(ends[-1])).astype(np.int64), ends
+    return unpacked(batch.column("ids")[row].as_py(), 2, int(ends[-1])).astype(np.int32), ends
 
 
 def gradient(texts: DataFrame, model: Model, pad: int, part: int, slices: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -258,10 +263,10 @@ def gradient(texts: DataFrame, model: Model, pad: int, part: int, slices: int) -
                 ids, ends = _unpack(batch, row)
                 turn = batch.column("turn")[row].values.to_numpy()
                 some = np.flatnonzero(np.repeat((turn >= 0) & (turn % slices == part), np.diff(ends, prepend=0)))
-                keys = features(ids, ends, pad)
+                one, two = histories(ids, ends, pad)
                 for at in range(0, len(some), BLOCK):
-                    any_ = True
-                    moments.add(model, keys[:, some[at:at + BLOCK]], ids[some[at:at + BLOCK]])
+                    any_, part_ = True, some[at:at + BLOCK]
+                    moments.add(model, features(one[part_], two[part_]), ids[part_])
         if not any_:
             return
         for table, values in enumerate([*moments.seen, *moments.expected]):
@@ -290,8 +295,14 @@ def fit(texts: DataFrame, vocabulary: Vocabulary, training: Training = Training(
     """The model after ``rounds`` updates, each by the gradient over all texts of its part."""
     totals = vocabulary.totals
     model = start(totals, training.buckets)
-    for number in range(training.rounds):
-        model = updated(model, *gradient(texts, model, len(totals), number % training.slices, training.slices), training)
+    conf, name = texts.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, BATCH)  # a row is a whole chunk
+    try:
+        for number in range(training.rounds):
+            model = updated(model, *gradient(texts, model, len(totals), number % training.slices, training.slices), training)
+    finally:
+        conf.set(name, before)
     return model
 
 

@@ -84,7 +84,7 @@ def test_moments_against_a_plain_sum():
     model = maxent.start(rng.integers(1, 50, 12).astype(float), 32)
     model.weights = tuple(rng.normal(0, 1, w.shape).astype(np.float32) for w in model.weights)
     ids, ends = rng.integers(0, 12, 200), np.array([1, 50, 200])
-    keys = maxent.features(ids, ends, 12)
+    keys = maxent.features(*maxent.histories(ids, ends, 12))
     moments = maxent.Moments(model)
     moments.add(model, keys, ids)
     seen, expected = [np.zeros(w.shape) for w in model.weights], [np.zeros(w.shape) for w in model.weights]
@@ -108,7 +108,7 @@ def test_an_update_raises_the_probability():
         now = maxent.log_probabilities(model, ids, ends, 11).sum()
         assert now > last
         moments, last = maxent.Moments(model), now
-        moments.add(model, maxent.features(ids, ends, 11), ids)
+        moments.add(model, maxent.features(*maxent.histories(ids, ends, 11)), ids)
         model = maxent.updated(model, moments.seen, moments.expected, SMALL)
 
 

@@ -29,9 +29,12 @@ def local_session(cpus: int = 8, name: str = "furrow") -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder named by spark.checkpoint.dir; a temporary one where that is unset and all work is in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         folder = _test_folders.setdefault(spark.sparkContext.applicationId, None)
         if folder is None:
             folder = _test_folders[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="furrow-")

@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from furrow.llm import quotient
 from furrow.llm.numbering import numbered
-from furrow.llm.wordchunks import MARK, chunks, counts, local_ids, lookup, with_values
+from furrow.llm.wordchunks import MARK, chunks, counts, global_ids, with_ids
 from furrow.session import materialise
 
 _LETTERS = bytes(range(65, 91)), bytes(range(97, 123))
 _SPLITS = b".,;:!?\n\x0b\x0c\r"
 _FOLD = bytes.maketrans(_LETTERS[0] + b"\t" + _SPLITS, _LETTERS[1] + b" " + MARK * len(_SPLITS))
 _MARKS = re.compile(re.escape(MARK) + b"+")
-FLUSH = 2_000_000  # entries that a task holds before it sends its filters
+FLUSH = 1_000_000  # entries that a task holds before it sends its filters
 PARTS = 32
 SHARD = 1 << 22  # occurrences that a shard of the key space should hold
 
@@ -63,8 +63,7 @@ def filters(known: DataFrame, bits: int, shards: int) -> DataFrame:
 
         for batch in batches:
             for row in range(batch.num_rows):
-                local = local_ids(batch, row)
-                ids = lookup(batch, row, "id", local, 0, np.uint64)[local]
+                ids = global_ids(batch, row)
                 if len(ids) < 2:
                     continue
                 first, second, third = grams(ids)
@@ -124,8 +123,7 @@ def collocations(docs: DataFrame, least: int = 10, share: int = 50, top: int = 2
     known, total = ids.count(), words.agg(F.sum("f")).first()[0] or 0
     bits = max(known.bit_length(), 1)
     shards = min(1 << max(2 * total // SHARD, 1).bit_length(), 1 << bits)
-    numbered_words = with_values(chunked, ids.select("grp", "word", "id"), "id")
-    found = materialise(counted(filters(numbered_words, bits, shards), bits, least), "phrases")
+    found = materialise(counted(filters(with_ids(chunked, ids), bits, shards), bits, least), "phrases")
 
     def word(at: str):
         return ids.select(F.col("id").alias(at), F.col("f").alias(f"f_{at}"), F.col("word").alias(f"word_{at}"), F.col("grp").alias(f"lang_{at}"))

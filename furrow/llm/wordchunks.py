@@ -98,14 +98,14 @@ def counts(chunked: DataFrame) -> DataFrame:
     return each.filter("w.n > 0").groupBy("grp", F.col("w.words").alias("word")).agg(F.sum("w.n").alias("f"))
 
 
-def with_values(chunked: DataFrame, values: DataFrame, *columns: str) -> DataFrame:
-    """``chunked`` without words and n, and ``known``: a struct (at, ``columns``) for each word that ``values`` holds.
+def with_ids(chunked: DataFrame, ids: DataFrame) -> DataFrame:
+    """``chunked`` without words and n, and ``known``: one number for each word that ``ids`` (grp, word, id) holds.
 
-    ``values`` has one row per (grp, word). ``at`` is the local id. The join sees a word once per chunk.
+    ``ids`` has one row per word, ids below 2 ** 35. The join sees a word once per chunk. See :func:`global_ids`.
     """
     words = chunked.select("chunk", "grp", F.posexplode("words").alias("at", "word"))
-    known = words.join(values, ["grp", "word"]).groupBy("chunk").agg(
-        F.collect_list(F.struct((F.col("at") + 1).alias("at"), *columns)).alias("known"))
+    code = F.shiftleft("id", 28) + F.col("at") + 1
+    known = words.join(ids.select("grp", "word", "id"), ["grp", "word"]).groupBy("chunk").agg(F.collect_list(code).alias("known"))
     return chunked.drop("words", "n").join(known, "chunk", "left")
 
 
@@ -125,12 +125,11 @@ def local_ids(row: pa.RecordBatch, at: int) -> np.ndarray:
     return unpacked(row.column("ids")[at].as_py(), row.column("width")[at].as_py(), ends[len(ends) - 1].as_py())
 
 
-def lookup(row: pa.RecordBatch, at: int, field: str, ids: np.ndarray, fill, kind) -> np.ndarray:
-    """Value of ``field`` by local id for the chunk in row ``at``; ``fill`` where a word is not known."""
-    found = row.column("known")[at]
-    out = np.full(int(ids.max(initial=0)) + 1, fill, kind)
-    if found.is_valid:
-        inner = found.values
-        places = inner.field("at").to_numpy()
-        out[places] = inner.field(field).to_numpy()
-    return out
+def global_ids(row: pa.RecordBatch, at: int) -> np.ndarray:
+    """The ids of :func:`with_ids` in the order of the text of the chunk in row ``at``; 0 where a word has none."""
+    local, codes = local_ids(row, at), row.column("known")[at].values
+    out = np.zeros(int(local.max(initial=0)) + 1, np.uint64)
+    if codes is not None:
+        codes = codes.to_numpy()
+        out[codes & (1 << 28) - 1] = codes >> 28
+    return out[local]

@@ -18,9 +18,16 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-TOKEN = r"(?<![A-Za-z0-9])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{12,}+"
+SIGNS = r"._!@#$%^&*+/~-"
+# What can fill a slot: a run of letters, digits and signs that ends in a letter or digit. It holds a digit among or after its
+# first 64 characters, or follows "=" or ":" (and a quote) and holds a sign inside.
+VALUE = (rf"(?:(?<![A-Za-z0-9])(?<![A-Za-z0-9][{SIGNS}])(?=[A-Za-z{SIGNS}]{{0,64}}+[0-9])"
+         rf"|(?<=[:=]\x20{{0,2}}[\"']?)(?=[A-Za-z]++[{SIGNS}]++[A-Za-z]))"
+         rf"[A-Za-z0-9]++(?:[{SIGNS}]++[A-Za-z0-9]++)*+")
+# What stands between a name and its value.
+SLOT = r"[A-Za-z0-9_][\"']?\s{0,2}[:=]\x20{0,2}[\"']?$"
 # Names whose assigned value is a seed.
-SEED_NAMES = ("password", "passwd", "secret")
+SEED_NAMES = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "access_key")
 
 
 def _digits(text: Column) -> Column:
@@ -58,7 +65,7 @@ def _blocks(name: str) -> Column:
 
 
 def _spans(name: str, valid) -> Column:
-    """Array of (start, end, value, left) of the matches that pass; ``left`` is the text between a match and the one before."""
+    """Array of (start, end, value, left, right) of the matches that pass; ``left`` and ``right`` reach to the next match."""
     steps, blocks, gaps = (F.col(f"{name}_{part}") for part in ("steps", "blocks", "gaps"))
 
     def span(m: Column) -> Column:
@@ -67,7 +74,7 @@ def _spans(name: str, valid) -> Column:
         left = F.get(gaps, m["at"])
         start = before + F.length(left)
         return F.struct(start.alias("start"), (start + F.length(m["value"])).alias("end"), m["value"].alias("value"),
-                        left.alias("left"))
+                        F.substring(left, -64, 64).alias("left"), F.substring(F.get(gaps, m["at"] + 1), 1, 64).alias("right"))
 
     marked = F.transform(f"{name}_found", lambda m, i: F.struct(m.alias("value"), i.alias("at")))
     return F.transform(F.filter(marked, lambda m: valid(m["value"])), span)
@@ -84,7 +91,7 @@ SEARCHES = (
     ("ip", IP, (".",), lambda v: v.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
     ("card", CARD, (), _passes_luhn),
     ("phone", PHONE, ("+",), lambda v: _between(F.length(_digits(v)), 10, 15)),
-    ("tokens", TOKEN, (), lambda v: (F.length(_digits(v)) >= 4) & (F.length(v) - F.length(_digits(v)) >= 2)),
+    ("values", VALUE, None, lambda v: F.length(v) >= 4),
 )
 
 
@@ -95,8 +102,9 @@ def _between(n: Column, low: int, high: int) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Rows (doc_id, tid, base, candidates), one per row of ``docs``; ``tid`` hashes the whole text.
 
-    ``base``: array of (start, kind, end, value, left), sorted; ``kind`` indexes :data:`KINDS`. ``candidates``: tokens
-    of 12 letters and digits or more, with at least four digits and two letters, outside the base spans. A null text
+    ``base``: array of (start, kind, end, value, left, right), sorted; ``kind`` indexes :data:`KINDS`. ``candidates``: values
+    outside the base spans that an identifier's context could hold: assigned to a name, of four characters or more; or
+    anywhere, of six or more with a letter and a digit, or with nine digits. A null text
     is empty; an empty text has no spans. Matches that fail their test are dropped and not tried again. The steps are
     columns of their own, so that a text is searched once however many matches it has.
     """
@@ -105,8 +113,8 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "text", text.rlike("[0-9]").alias("digit"))
     none, found = F.array().cast("array<string>"), []
     for name, pattern, needs, _ in SEARCHES:
-        near = F.lit(True) if name == "email" else F.col("digit")
-        for sign in needs:
+        near = F.lit(True) if name == "email" or needs is None else F.col("digit")
+        for sign in needs or ():
             near = near & F.contains(text, F.lit(sign))
         found.append(F.when(near, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none).alias(f"{name}_found"))
     rows = rows.select("doc_id", "text", *found)
@@ -119,25 +127,36 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def of(kind: int):
         return lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end"),
-                                  s["value"].alias("value"), s["left"].alias("left"))
+                                  *[s[c].alias(c) for c in ("value", "left", "right")])
 
     parts = [F.transform(F.col(name), of(kind)) for kind, name in enumerate(KINDS[:4])]
-    spans = spans.select("doc_id", "tid", F.array_sort(F.concat(*parts)).alias("base"), "tokens")
-    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    spans = spans.select("doc_id", "tid", F.array_sort(F.concat(*parts)).alias("base"), "values")
+    free = F.filter("values", lambda t: _fills(t) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     return spans.select("doc_id", "tid", "base", free.alias("candidates"))
 
 
-def _patterns(value: Column, left: Column) -> Column:
-    """Lexical patterns around and in an instance: the word before it, three words before it, alphabet, opening letters."""
-    before = F.lower(F.substring(left, -48, 48))
-    shape = F.when(value.rlike("^[0-9a-f]+$"), "hex").when(value.rlike("^[0-9A-Z]+$"), "capitals").when(
-        value.rlike("^[0-9a-zA-Z]+$"), "mixed")
-    opening = F.regexp_extract(value, "^[A-Z]{4}", 0)
-    return F.array(
-        F.concat(F.lit("1 "), F.regexp_extract(before, r"(\S+\s*)$", 1)),
-        F.concat(F.lit("3 "), F.regexp_extract(before, r"((?:\S+\s+){2}\S+\s*)$", 1)),
-        F.concat(F.lit("a "), shape),
-        F.when(opening != "", F.concat(F.lit("o "), opening)))
+def _fills(t: Column) -> Column:
+    value, n_digits = t["value"], F.length(_digits(t["value"]))
+    mixed = (n_digits > 0) & value.rlike("[A-Za-z]") & (F.length(value) >= 6)
+    return t["left"].rlike(SLOT) | mixed | (n_digits >= 9)
+
+
+def _contexts(left: Column, right: Column) -> Column:
+    """Lexical patterns round an instance: the word before it, two and three words before it, the words on both sides.
+
+    Blanks round "=" and ":" and quotes do not count, case neither. A text's beginning is no pattern.
+    """
+    before = F.regexp_replace(F.regexp_replace(F.lower(left), "[\"']", ""), r"\s*([:=])\s*", "$1 ")
+    before = F.trim(F.regexp_replace(before, r"\s+", " "))
+    after = F.regexp_extract(F.lower(right), r"^[\"']?\s*([^\s\"']+)", 1)
+    one = F.regexp_extract(before, r"(\S+)$", 1)
+
+    def words(n: int) -> Column:
+        return F.regexp_extract(before, rf"((?:\S+ ){{{n - 1}}}\S+)$", 1)
+
+    named = [("1 ", one), ("2 ", words(2)), ("3 ", words(3))]
+    sided = F.when((one != "") & (after != ""), F.concat(F.lit("b "), one, F.lit(" _ "), after))
+    return F.array(*[F.when(w != "", F.concat(F.lit(mark), w)) for mark, w in named], sided)
 
 
 def discover(found: DataFrame, rounds: int = 4, threshold: float = 0.6, prior: float = 1.0,
@@ -146,30 +165,29 @@ def discover(found: DataFrame, rounds: int = 4, threshold: float = 0.6, prior: f
 
     Instances are distinct values, so copies of a document add nothing. Seeds are the base entities and values
     assigned to a name of ``seed_names``; they score 1. In a round a pattern's confidence is the sum of its instances'
-    scores over their number plus ``prior``, and a candidate scores the noisy-or of its patterns: one minus the
-    product of (1 - confidence). Patterns and scores are aggregates with map-side combine and an equi join that
-    adaptive execution can split at a hot pattern. Only the graph is written; the rounds are one plan that grows by
-    two joins a round.
+    scores over their number plus ``prior``, and a candidate scores the confidence of its best pattern: patterns of one
+    place hold each other, so they are no independent evidence. All patterns are contexts; the look of a value counts
+    for nothing, so a hash is taken only where the words round it stand round secrets. Patterns and scores are aggregates with
+    map-side combine and an equi join that adaptive execution can split at a hot pattern. Only the graph is written; the
+    rounds are one plan that grows by two joins a round. No candidate, or no base entity, is an empty side of the graph.
     """
-    named = rf"(?i)(?:{'|'.join(seed_names)})\s*[=:]\s*[\"']?$"
+    named = rf"(?i)(?<![a-z])(?:[a-z0-9]+[_-])?(?:{'|'.join(seed_names)})[\"']?\s*[=:]\s*[\"']?$"
     base = found.select(F.explode("base").alias("s")).select(
         F.concat(F.col("s.kind").cast("string"), F.lit(" "), F.col("s.value")).alias("value"),
-        F.lit(True).alias("seed"), _patterns(F.col("s.value"), F.col("s.left")).alias("patterns"))
-    tokens = found.select(F.explode("candidates").alias("s")).select(
-        F.col("s.value").alias("value"), F.col("s.left").rlike(named).alias("seed"),
-        _patterns(F.col("s.value"), F.col("s.left")).alias("patterns"))
-    edges = base.unionByName(tokens).select("value", "seed", F.explode("patterns").alias("pattern")).filter(
-        "pattern IS NOT NULL AND length(trim(pattern)) > 1")
+        F.lit(True).alias("seed"), _contexts(F.col("s.left"), F.col("s.right")).alias("patterns"))
+    values = found.select(F.explode("candidates").alias("s")).select(
+        F.concat(F.lit("4 "), F.col("s.value")).alias("value"), F.col("s.left").rlike(named).alias("seed"),
+        _contexts(F.col("s.left"), F.col("s.right")).alias("patterns"))
+    edges = base.unionByName(values).select("value", "seed", F.explode("patterns").alias("pattern")).filter("pattern IS NOT NULL")
     edges = materialise(edges.groupBy("value", "pattern").agg(F.max("seed").alias("seed")), "edges")
     scores = edges.groupBy("value").agg(F.max("seed").cast("double").alias("score"))
     for _ in range(rounds):
         rated = edges.select("value", "pattern").join(scores, "value")
         confidence = rated.groupBy("pattern").agg((F.sum("score") / (F.count("*") + prior)).alias("confidence"))
         joined = edges.join(confidence, "pattern")
-        scores = joined.groupBy("value").agg(
-            F.when(F.max("seed"), 1.0).otherwise(
-                1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("confidence")))))).alias("score"))
-    return scores.filter((F.col("score") >= threshold) & ~F.col("value").rlike("^[0-9] ")).select("value")
+        scores = joined.groupBy("value").agg(F.when(F.max("seed"), 1.0).otherwise(F.max("confidence")).alias("score"))
+    kept = scores.filter((F.col("score") >= threshold) & F.startswith("value", F.lit("4 ")))
+    return kept.select(F.substring("value", 3, 1 << 30).alias("value"))
 
 
 def spans(docs: DataFrame, **options) -> DataFrame:

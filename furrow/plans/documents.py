@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.operators import forecast, joins, retrieval, rollup
+from furrow.operators import forecast, joins, lexical_index, retrieval, rollup
 from furrow.plans import domain as d
 from furrow.plans.base_sql import half_up, r6
 from furrow.plans.forecasting import LINEAR_UNC, POINT, STD, features_sql
@@ -230,12 +230,41 @@ def benchmark(spark, sf):
     return d.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-@query("bm25_rank", CHUNKS + ",\nitems AS (SELECT doc_id || '#' || chunk_index AS item_id, text FROM chunked)," + bm25_sql("items") + f"""
+CHUNK_ITEMS = CHUNKS + ",\nitems AS (SELECT doc_id || '#' || chunk_index AS item_id, text FROM chunked),"
+BM25_RANK = CHUNK_ITEMS + bm25_sql("items") + f"""
 --
-SELECT query_id, item_id, {r6('score')} AS score, rank FROM bmr WHERE rank <= 5""")
-def bm25_rank(spark, sf):
+SELECT query_id, item_id, {r6('score')} AS score, rank FROM bmr WHERE rank <= 5"""
+
+
+def chunk_items(spark, sf):
     key = F.concat_ws("#", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string"))
-    return retrieval.bm25(benchmark(spark, sf), chunks(spark, sf).select(key.alias("item_id"), "text"), 5)
+    return chunks(spark, sf).select(key.alias("item_id"), "text")
+
+
+def chunk_index(spark, sf):
+    """Inverted index of all chunks."""
+    return lexical_index.build_index(materialise(chunk_items(spark, sf), "chunks"))
+
+
+@query("bm25_rank", BM25_RANK)
+def bm25_rank(spark, sf):
+    return retrieval.bm25(benchmark(spark, sf), chunk_items(spark, sf), 5)
+
+
+@query("bm25_search", BM25_RANK)
+def bm25_search(spark, sf):
+    """The rows of ``bm25_rank`` from an index that is searched with exact bounds."""
+    return lexical_index.search(chunk_index(spark, sf), benchmark(spark, sf), 5)
+
+
+@query("bm25_terms", CHUNK_ITEMS + bm25_sql("items") + f"""
+--
+SELECT md5(term) AS term, any_value(df) AS df, {r6('ln(1 + (any_value(n) - any_value(df) + 0.5e0) / (any_value(df) + 0.5e0))')} AS idf,
+  {r6('max(tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl)))')} AS top
+FROM tf JOIN df USING (term) CROSS JOIN size GROUP BY term""")
+def bm25_terms(spark, sf):
+    """Terms of the index: in how many chunks, weight, largest impact."""
+    return chunk_index(spark, sf).terms.withColumn("term", F.md5("term"))
 
 
 @query("rrf_fuse", "items AS (SELECT doc_id AS item_id, text FROM documents)," + bm25_sql("items") + "," + COSINE + f"""

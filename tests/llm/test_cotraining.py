@@ -63,3 +63,77 @@ def test_odd_rows(odd, none, corpus):
     assert cotraining.score(none, model).count() == 0
     assert cotraining.learn(none, labels.filter("false")) is None
     assert {r["score"] for r in cotraining.score(odd, None).collect()} == {0.5}
+
+
+def plain_views(docs):
+    rows = docs.orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    found = [cotraining._both(r["text"], r["lang"], r["source"], r["n_chars"]) for r in rows]
+    return rows, *(np.array([v[k] for v in found]).astype(np.float32).astype(float) for k in (0, 1))
+
+
+def test_rounds_on_spark_equal_rounds_over_arrays(corpus):
+    docs, labels = corpus
+    known = {r["doc_id"]: r["quality"] for r in labels.filter(~held_out(F.col("doc_id"))).collect()}
+    rows, content, metadata = plain_views(docs)
+    plain = cotraining.co_train(content, metadata, np.array([known.get(r["doc_id"], -1) for r in rows]))
+    for found in (cotraining.learn(docs, labels), cotraining.learn(docs.repartition(7), labels)):
+        assert np.allclose(found.content, plain.content, atol=1e-6) and np.allclose(found.metadata, plain.metadata, atol=1e-6)
+        assert np.allclose(found.joint, plain.joint, atol=1e-6)
+
+
+def test_handed_rows_by_a_row_at_a_time_version():
+    rng = np.random.default_rng(5)
+    views = [rng.standard_normal((400, 5)), rng.standard_normal((400, 3))]
+    history = [cotraining.Handing((rng.standard_normal(5), rng.standard_normal(3)), (-2.0, -1.5), (1.8, 1.6)) for _ in range(3)]
+    found = cotraining.handed(views, history)
+    for k in range(400):
+        given = [None, None]
+        for past in history:
+            for own in (0, 1):
+                logit = float(views[own][k] @ past.weights[own])
+                if given[1 - own] is None and (logit < past.below[own] or logit >= past.above[own]):
+                    given[1 - own] = float(logit >= past.above[own])
+        assert [None if np.isnan(g[k]) else g[k] for g in found] == given
+
+
+def test_thresholds_bound_the_share():
+    logits = np.random.default_rng(6).normal(0, 6, 5_000)
+    counts = cotraining._counts([np.ones(1)])([logits[:, None]])[0][0]
+    below, above = cotraining._thresholds(counts, 0.05, 0.9)
+    near = 0.05 * len(logits)
+    assert near <= (logits < below).sum() <= 1.1 * near and near <= (logits >= above).sum() <= 1.1 * near
+    assert cotraining._thresholds(counts, 0.9, 0.9) == pytest.approx((-np.log(9), np.log(9)))
+
+
+@pytest.fixture(scope="module")
+def moved(spark):
+    """Pages whose layout tells their quality; the labelled ones are written in other letters than the rest."""
+    rng = random.Random(21)
+
+    def page(k, letters):
+        good = k % 2 == 0
+        body = ["".join(rng.choices(letters[:13] if good else letters[13:], k=5)) for _ in range(120)]
+        return (". " if good else "\n").join(" ".join(body[i:i + 6]) for i in range(0, 120, 6))
+
+    old, new = "abcdefghijklmnopqrstuvwxyz", "αβγδεζηθικλμνξοπρστυφχψωϊϋ"
+    docs = frame(spark, [page(k, old if k < 120 else new) for k in range(720)])
+    return docs, spark.createDataFrame([(k, int(k % 2 == 0)) for k in range(120)], "doc_id long, quality int")
+
+
+def test_the_exchange_teaches_what_no_label_shows(moved):
+    docs, labels = moved
+
+    def right(rounds):
+        scored = cotraining.score(docs, cotraining.learn(docs, labels, rounds=rounds)).filter("doc_id >= 120").collect()
+        return np.mean([(r["content_score"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in scored])
+
+    assert right(0) < 0.9 and right(4) > 0.97
+
+
+def test_repeated_rows_of_a_labelled_document_teach_once(corpus):
+    docs, labels = corpus
+    again = docs.filter("doc_id = 0")
+    for _ in range(4):
+        again = again.unionByName(again)
+    one, two = cotraining.learn(docs, labels), cotraining.learn(docs.unionByName(again), labels)
+    assert np.allclose(one.content, two.content) and np.allclose(one.joint, two.joint)

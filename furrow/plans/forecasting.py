@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from furrow.config import TreeGrid
-from furrow.operators import forecast, joins, model
+from furrow.operators import explain, forecast, joins, model
 from furrow.plans import domain as d
 from furrow.plans.base_sql import r6, r6s
 from furrow.plans.registry import query
@@ -168,6 +168,24 @@ def feature_importance(spark, sf):
     return model.importances(_trained(spark, sf)[0], spark)
 
 
+def _explained(spark, sf):
+    """Contributions for every week of the newest season."""
+    features = season_features(spark, sf).filter(F.col("year") == d.season_years(spark, sf)[1])
+    return explain.contributions(features, _trained(spark, sf)[0], ("fips", "year", "current_week"))
+
+
+@query("forecast_explain")
+def forecast_explain(spark, sf):
+    """What each feature adds to the tree forecast of every county week, strongest first."""
+    return explain.drivers(_explained(spark, sf), ("fips", "year", "current_week"))
+
+
+@query("explained_importance")
+def explained_importance(spark, sf):
+    """Features by the mean size of what they add to the newest season's forecasts."""
+    return explain.importance(_explained(spark, sf))
+
+
 @query("model_score")
 def model_score(spark, sf):
     features = season_features(spark, sf).filter(F.col("year") == d.season_years(spark, sf)[1])

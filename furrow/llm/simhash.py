@@ -18,6 +18,8 @@ BITS = 64
 RADIUS = 3
 PARTS = 4  # blocks of 16 bits
 WIDTH = BITS // PARTS
+VARIANTS = PARTS * (1 + BITS - WIDTH)
+VARIANTS_A_TASK = 4_000_000
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
@@ -168,8 +170,14 @@ def _colliding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints within three bits, enough to give the components of all of them."""
-    dealt = variants(fps.select("fp").distinct()).repartition("variant").sortWithinPartitions("variant", "part")
+    """Links (a, b) between distinct fingerprints within three bits, enough to give the components of all of them.
+
+    Fingerprints are small and their variants are not, so they are dealt by the number of rows that they become: a
+    task emits about ``VARIANTS_A_TASK``, however few bytes its input has.
+    """
+    tasks = max(fps.sparkSession.sparkContext.defaultParallelism, -(-fps.count() * VARIANTS // VARIANTS_A_TASK))
+    dealt = variants(fps.select("fp").repartition(tasks, "fp").distinct())
+    dealt = dealt.repartition("variant").sortWithinPartitions("variant", "part")
     return dealt.mapInArrow(_colliding, "a long, b long").distinct()
 
 

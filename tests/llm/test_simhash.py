@@ -100,3 +100,13 @@ def test_odd_rows(odd, none):
     groups = {r["root"] for r in got}
     assert kept.count() == len(groups)
     assert simhash.near_duplicates(none).count() == 0 and simhash.keep_one(none).count() == 0
+
+
+def test_variants_are_dealt_by_their_number(spark, monkeypatch):
+    fps = spark.range(2_000).select(F.xxhash64("id").alias("fp"))
+    assert simhash.variants(fps).count() == 2_000 * simhash.VARIANTS
+    found = {tuple(r) for r in simhash.link_fingerprints(fps.unionByName(fps)).collect()}
+    monkeypatch.setattr(simhash, "VARIANTS_A_TASK", 10_000)
+    plan = simhash.link_fingerprints(fps)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(fp" in plan and ", 40), REPARTITION_BY_NUM" in plan
+    assert found == {tuple(r) for r in simhash.link_fingerprints(fps).collect()}

@@ -9,6 +9,7 @@ from furrow.operators import explain, forecast, joins, model
 from furrow.plans import domain as d
 from furrow.plans.base_sql import r6, r6s
 from furrow.plans.registry import query
+from furrow.session import versions
 
 # Season-to-date records over each county's last 30 weeks, the later date winning per week number.
 STD = """
@@ -149,9 +150,9 @@ _fitted: dict[tuple, tuple] = {}
 
 
 def _trained(spark, sf):
-    """Model and fold scores over the whole grid, fitted once per session and list of input files."""
-    files = sorted(f for n in ("lineitem", "supplier") for f in d.table(spark, sf, n).inputFiles())
-    key = (spark.sparkContext.applicationId, *files)
+    """Model and fold scores over the whole grid, fitted once per session and version of the input files."""
+    tables = [d.table(spark, sf, n) for n in ("lineitem", "supplier")]
+    key = (spark.sparkContext.applicationId, sf, versions(tables))
     if key not in _fitted:
         past = _training(spark, sf).filter(F.col("year") < d.season_years(spark, sf)[1])
         _fitted[key] = model.train(past, TreeGrid(), folds=2)

@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _test_folders: dict[str, str | None] = {}
 
@@ -53,17 +55,27 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def versions(sources: Sequence[DataFrame]) -> tuple[int, int]:
+    """Number and digest of the files the frames read: names, lengths and times of change, never their content."""
+    spark = sources[0].sparkSession
+    files = sorted({unquote(f) for s in sources for f in s.inputFiles()})
+    if not files:
+        return 0, 0
+    listed = spark.read.format("binaryFile").load(files).select(F.xxhash64("path", "modificationTime", "length").alias("v"))
+    return tuple(listed.agg(F.count("*"), F.bit_xor("v")).first())
+
+
 _stored: dict[tuple, str] = {}
 
 
 def stored(name: str, sources: Sequence[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
-    """A table of the pipeline: written once per session and list of input files, then read by every query.
+    """A table of the pipeline: written once per session and version of the input files, then read by every query.
 
-    A file that is replaced under its own name within a session is not noticed.
+    A file that is replaced under its own name has another length or time of change, so the table is built again.
     """
     spark = sources[0].sparkSession
     files = tuple(sorted(f for s in sources for f in s.inputFiles()))
-    key = (spark.sparkContext.applicationId, shared_folder(spark), name, files)
+    key = (spark.sparkContext.applicationId, shared_folder(spark), name, files, versions(sources))
     if key not in _stored:
         path = new_path(spark, name)
         build().write.parquet(path)

@@ -267,20 +267,23 @@ def bm25_terms(spark, sf):
     return chunk_index(spark, sf).terms.withColumn("term", F.md5("term"))
 
 
-@query("rrf_fuse", "items AS (SELECT doc_id AS item_id, text FROM documents)," + bm25_sql("items") + "," + COSINE + f"""
+ASKED_TWICE = COSINE.replace("q.vec_id % 50 = 0", "q.vec_id IN (SELECT item_id FROM benchmark)")
+
+
+@query("rrf_fuse", "items AS (SELECT doc_id AS item_id, text FROM documents)," + bm25_sql("items") + "," + ASKED_TWICE + f"""
 --
 SELECT query_id, item_id, {r6('sum(1e0 / (60 + rank))')} AS rrf_score FROM (
-  SELECT query_id, item_id, rank FROM bmr WHERE rank <= 20
-  UNION ALL SELECT query_id, item_id, rank FROM ranked WHERE rank <= 20 AND query_id IN (SELECT item_id FROM benchmark))
+  SELECT query_id, item_id, rank FROM bmr WHERE rank <= 20 AND query_id IN (SELECT vec_id FROM embeddings)
+  UNION ALL SELECT query_id, item_id, rank FROM ranked WHERE rank <= 20)
 GROUP BY query_id, item_id""")
 def rrf_fuse(spark, sf):
+    """Both lists are asked for the same queries: the benchmark items that have a stored vector."""
     docs = documents(spark, sf).select(F.col("doc_id").alias("item_id"), "text")
-    queries, v = benchmark(spark, sf), vectors(spark, sf)
-    lexical = retrieval.bm25(queries, docs, 20)
-    near = retrieval.cosine_topk(
-        v.filter("vec_id % 50 = 0").join(queries, F.col("vec_id") == F.col("query_id")).select("query_id", F.col("embedding").alias("vector")),
-        v.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("vector")), 20)
-    return retrieval.rrf(lexical, near)
+    queries, v = benchmark(spark, sf), vectors(spark, sf).withColumnsRenamed({"vec_id": "item_id", "embedding": "vector"})
+    both = queries.join(v.select(F.col("item_id").alias("query_id")), "query_id", "left_semi")
+    asked = v.withColumnRenamed("item_id", "query_id").join(queries, "query_id", "left_semi").select("query_id", "vector")
+    lexical = retrieval.bm25(both, docs, 20)
+    return retrieval.rrf(lexical, retrieval.cosine_topk(asked, v.select("item_id", "vector"), 20))
 
 
 @query("embed_chunks", EMBEDDED + f"""

@@ -83,6 +83,11 @@ def stored(name: str, sources: Sequence[DataFrame], build: Callable[[], DataFram
     return spark.read.parquet(_stored[key])
 
 
+def refresh() -> None:
+    """Forget the stored tables, so that the next query builds them again."""
+    _stored.clear()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Deal the rows of a scan to all cores where the input has fewer splits than cores.
 

@@ -194,6 +194,14 @@ def test_embeddings_are_unit_and_weighted(spark):
     assert sorted(rows[1][rows[1] > 0]) == pytest.approx(sorted(weights / np.linalg.norm(weights)), abs=1e-6)
 
 
+def test_a_corpus_is_counted_once(spark):
+    df = spark.createDataFrame([(1, "corn heat"), (2, None), (3, "!!!")], "doc_id long, text string").filter("doc_id <> 2")
+    found, weights = retrieval.embed(df, dim=8)
+    assert "EvalPython" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sum(w == pytest.approx(math.log(3)) for w in weights) >= 6
+    assert set(retrieval.embed(df.filter("false"), dim=8)[1]) == {0.0}
+
+
 def contexts(spark, **over):
     row = {"request_id": 1, "message": "How dry is it?", "fips": "19001", "has_stress": True, "has_yield": True,
            "county_name": "Adair", "week_start": "2025-08-01", "week_of_season": 14, "overall_stress": 16.29,
@@ -242,3 +250,32 @@ def test_client_values_win_only_when_truthy(spark):
     assert not got[2]["has_stress"] and not got[3]["has_stress"] and got[3]["predicted_yield"] is None
     only = {r["request_id"]: r for r in retrieval.chat_context(req, near, fc, client_only=True).collect()}
     assert only[1]["water_stress"] is None
+
+
+def _bounded(most_queries, most_items):
+    """A kernel of ones that fails on blocks over its bounds."""
+    import pyarrow as pa
+
+    def kernel(queries, items, k):
+        if queries.num_rows > most_queries or items.num_rows > most_items:
+            raise AssertionError(f"a block of {queries.num_rows} x {items.num_rows}")
+        return best_k(np.ones((queries.num_rows, items.num_rows)), queries["query_id"].combine_chunks(),
+                      pa.chunked_array(items["item_id"]).combine_chunks(), k)
+
+    return kernel
+
+
+@pytest.mark.parametrize("layout", [{}, {"small_bytes": 1, "cell_bytes": 300}])
+def test_no_task_scores_more_than_a_block(spark, layout):
+    """All queries at once against a batch took gigabytes; a corpus row is dealt once, whatever the number of queries."""
+    from pyspark.sql import functions as F
+
+    from furrow.operators.topk import blockwise_topk
+
+    queries = spark.range(20).withColumnRenamed("id", "query_id")
+    corpus = spark.range(30).withColumnRenamed("id", "item_id")
+    found = blockwise_topk(queries, corpus, _bounded(4, 5), 3, F.lit(8), F.lit(8), cell_queries=4, cell_items=5, **layout)
+    assert [tuple(r) for r in found.orderBy("query_id", "rank").select("query_id", "item_id").collect()] == [
+        (q, i) for q in range(20) for i in range(3)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == (1 if layout else 0)

@@ -24,6 +24,7 @@ SIMILARITY = 0.8
 SEED = 42
 FAR = 20  # differing bits of 64 beyond which a pair is not verified: 3.6 standard deviations over those at 0.8
 BLOCK = 1024
+SMALL = 64  # members of a bucket of which all pairs are taken at once
 
 
 def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
@@ -52,9 +53,16 @@ def plan(texts: int, recall: float = 0.92, least: float = SIMILARITY) -> tuple[i
     return bits, ceil(log(1 - recall) / log(1 - meet))
 
 
+def _hashes(text: bytes, words: int) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], np.uint64)
+
+
 def _sketch(text: bytes, bits: int, tables: int, words: int) -> np.ndarray:
     """The fingerprint, then the sketches: majorities of the bits of mixed hashes of the different shingles."""
-    base = np.array([xxhash.xxh64_intdigest(s, SEED) for s in shingles(text, words)], np.uint64)
+    return _majorities(_hashes(text, words), bits, tables)
+
+
+def _majorities(base: np.ndarray, bits: int, tables: int) -> np.ndarray:
     if not len(base):
         return np.zeros(tables + 1, np.int64)
     need = 1 + -(-bits * tables // 64)
@@ -73,99 +81,130 @@ def _sketch(text: bytes, bits: int, tables: int, words: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, bits: int, tables: int, words: int = WORDS) -> DataFrame:
-    """Rows (doc_id, tid, fp, sketch): ``tid`` hashes the text, ``fp`` is its fingerprint; one row per input row."""
+    """Rows (doc_id, tid, sid, fp, sketch), one per input row: ``tid`` hashes the text, ``sid`` its set of shingles, ``fp``
+    is its fingerprint."""
     rows = spread(docs.select("doc_id", F.xxhash64("text").alias("tid"), F.col("text").cast("binary").alias("text")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [_sketch(t.as_py() or b"", bits, tables, words) for t in batch.column(2)]
+            hashes = [_hashes(t.as_py() or b"", words) for t in batch.column(2)]
+            sets = np.array([h.sum(dtype=np.uint64) for h in hashes], np.uint64).view(np.int64)
+            found = [_majorities(h, bits, tables) for h in hashes]
             table = np.stack(found) if found else np.zeros((0, tables + 1), np.int64)
             lists = pa.FixedSizeListArray.from_arrays(pa.array(table[:, 1:].reshape(-1)), tables).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array(table[:, 0]), lists], ["doc_id", "tid", "fp", "sketch"])
+                [*batch.columns[:2], pa.array(sets), pa.array(table[:, 0]), lists], ["doc_id", "tid", "sid", "fp", "sketch"])
 
-    return rows.mapInArrow(scan, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tid long, fp long, sketch array<long>")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(scan, f"doc_id {kind}, tid long, sid long, fp long, sketch array<long>")
 
 
 def _variants(nodes: DataFrame, bits: int) -> DataFrame:
-    """Rows (part, variant, fp): every sketch of a node and all its variants of one bit."""
+    """Rows (part, variant, fp, tid): every sketch of a node and all its variants of one bit."""
     flips = F.array(*[F.lit(0).cast("long"), *[F.lit(1 << b).cast("long") for b in range(bits)]])
-    each = nodes.select("fp", F.posexplode("sketch").alias("part", "code"))
-    return each.select(F.col("part").cast("tinyint").alias("part"), "code", "fp", F.explode(flips).alias("flip")).select(
-        "part", F.col("code").bitwiseXOR(F.col("flip")).alias("variant"), "fp")
+    each = nodes.select("fp", "tid", F.posexplode("sketch").alias("part", "code"))
+    return each.select(F.col("part").cast("tinyint").alias("part"), "code", "fp", "tid", F.explode(flips).alias("flip")).select(
+        "part", F.col("code").bitwiseXOR(F.col("flip")).alias("variant"), "fp", "tid")
 
 
-def bucket_pairs(run: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """Rows (a, b): for each member the smallest other one of its run within :data:`FAR` bits, if that is smaller.
+def bucket_pairs(run: np.ndarray, fp: np.ndarray, name: np.ndarray | None = None) -> np.ndarray:
+    """Rows (a, b) of members, by ``name`` (None: by fingerprint): all pairs within :data:`FAR` bits of one run of up to :data:`SMALL` members, a star of larger ones.
 
-    Arrays are sorted by (run, fp). A run of over :data:`BLOCK` members is compared block by block; those without a
-    smaller partner in their block meet each other in turn, which ends because a block of them that stays whole has no
-    pairs, and pairs of whole blocks are compared block against block.
+    Arrays are sorted by (run, fp). In a larger run each member is paired with the smallest near one that comes before it;
+    the pairs this leaves are those of :func:`other_pairs`, which is asked for what the stars did not join.
     """
+    name = fp if name is None else name
     found, size = [np.empty((0, 2), np.int64)], np.bincount(run)
-    small = size[run] <= 64
-    index = np.flatnonzero(small & (size[run] > 1))
-    first = np.full(len(run), -1)
-    for step in range(1, 64):
+    index = np.flatnonzero((size[run] <= SMALL) & (size[run] > 1))
+    for step in range(1, SMALL):
         index = index[index + step < len(run)]
-        index = index[run[np.minimum(index + step, len(run) - 1)] == run[index]]
+        index = index[run[index + step] == run[index]]
         if not len(index):
             break
-        near = np.bitwise_count((fp[index] ^ fp[index + step]).view(np.uint64)) <= FAR
-        first[index[near] + step] = index[near]  # a longer step is a smaller partner
-    has = np.flatnonzero(first >= 0)
-    found.append(np.stack((fp[first[has]], fp[has]), axis=1))
-    for large in np.flatnonzero(size > 64):
-        left = fp[run == large]
-        while len(left):
-            rest, one_block = [], len(left) <= BLOCK
-            for at in range(0, len(left), BLOCK):
-                own = left[at:at + BLOCK]
-                near = np.tril(np.bitwise_count((own[:, None] ^ own[None, :]).view(np.uint64)) <= FAR, -1)
-                least = np.where(near.any(axis=1), near.argmax(axis=1), -1)
-                found.append(np.stack((own[least[least >= 0]], own[least >= 0]), axis=1))
-                rest.append(own[least < 0])
-            after = np.concatenate(rest)
-            if one_block:
-                break
-            if len(after) == len(left):  # no pair inside any block: every block against every earlier one
-                for at in range(BLOCK, len(after), BLOCK):
-                    own = after[at:at + BLOCK]
-                    for before in range(0, at, BLOCK):
-                        other = after[before:before + BLOCK]
-                        near = np.bitwise_count((own[:, None] ^ other[None, :]).view(np.uint64)) <= FAR
-                        hit = near.any(axis=1)
-                        found.append(np.stack((other[near.argmax(axis=1)[hit]], own[hit]), axis=1))
-                break
-            left = after
+        near = index[np.bitwise_count((fp[index] ^ fp[index + step]).view(np.uint64)) <= FAR]
+        found.append(np.stack((name[near], name[near + step]), axis=1))
+    for large in np.flatnonzero(size > SMALL):
+        left, names = fp[run == large], name[run == large]
+        for at in range(0, len(left), BLOCK):
+            own = left[at:at + BLOCK]
+            open_ = np.arange(len(own))  # without a partner so far
+            for before in range(0, at + BLOCK, BLOCK):
+                other = left[before:before + BLOCK]
+                near = np.bitwise_count((own[open_, None] ^ other[None, :]).view(np.uint64)) <= FAR
+                if before == at:
+                    near &= np.arange(len(other))[None, :] < open_[:, None]
+                hit = near.any(axis=1)
+                found.append(np.stack((names[before + near.argmax(axis=1)[hit]], names[at + open_[hit]]), axis=1))
+                open_ = open_[~hit]
+                if not len(open_):
+                    break
     pairs = np.concatenate(found)
     return np.unique(pairs, axis=0) if len(pairs) else pairs
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a partition sorted by (variant, part, fp); the last run waits for the next batch."""
-    waiting: list[np.ndarray] | None = None
+def other_pairs(fp: np.ndarray, name: np.ndarray, root: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows (a, b) of all pairs of one run within :data:`FAR` bits whose roots differ, block against block."""
+    for at in range(0, len(fp), BLOCK):
+        for before in range(0, at + 1, BLOCK):
+            own, other = slice(at, at + BLOCK), slice(before, before + BLOCK)
+            near = np.bitwise_count((fp[own, None] ^ fp[None, other]).view(np.uint64)) <= FAR
+            near &= root[own, None] != root[None, other]
+            right, left = np.nonzero(np.tril(near, -1) if at == before else near)
+            if len(right):
+                yield np.stack((name[before + left], name[at + right]), axis=1)
 
-    def out(columns: list[np.ndarray]) -> pa.RecordBatch:
-        part, variant, fp = columns
-        new = np.concatenate(([True], (variant[1:] != variant[:-1]) | (part[1:] != part[:-1])))
-        pairs = bucket_pairs(np.cumsum(new) - 1, fp)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole runs of a partition sorted by its first two columns; the last run waits for the next batch."""
+    waiting: list[list[np.ndarray]] = []
     for batch in batches:
-        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        if waiting is not None:
-            columns = [np.concatenate(pair) for pair in zip(waiting, columns)]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
-        part, variant, _ = columns
-        last = np.flatnonzero((variant != variant[-1]) | (part != part[-1]))
-        cut = last[-1] + 1 if len(last) else 0
-        waiting = [c[cut:] for c in columns]
-        if cut:
-            yield out([c[:cut] for c in columns])
-    if waiting is not None and len(waiting[0]):
-        yield out(waiting)
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        one, two = columns[:2]
+        last = np.flatnonzero((one != one[-1]) | (two != two[-1]))
+        same = waiting and one[0] == waiting[-1][0][-1] and two[0] == waiting[-1][1][-1]
+        if waiting and not same:
+            yield [np.concatenate(c) for c in zip(*waiting)]
+            waiting = []
+        if len(last):
+            cut = last[-1] + 1
+            yield [np.concatenate(c) for c in zip(*waiting, [c[:cut] for c in columns])]
+            waiting, columns = [], [c[cut:] for c in columns]
+        waiting.append(columns)
+    if waiting:
+        yield [np.concatenate(c) for c in zip(*waiting)]
+
+
+def _numbers(columns: list[np.ndarray]) -> np.ndarray:
+    one, two = columns[:2]
+    return np.cumsum(np.concatenate(([False], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
+
+
+def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) of a partition sorted by (variant, part, fp), and the members (part, variant, fp, tid) of its large runs."""
+    names = ["a", "b", "part", "variant", "fp", "tid"]
+    for columns in _runs(batches):
+        run, (_, _, fp, tid) = _numbers(columns), columns
+        pairs = bucket_pairs(run, fp, tid)
+        if len(pairs):
+            empty = [pa.nulls(len(pairs), kind) for kind in (pa.int8(), *[pa.int64()] * 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *empty], names)
+        large = np.bincount(run)[run] > SMALL
+        if large.any():
+            members = [pa.array(c[large]) for c in columns]
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(members[0]), pa.int64())] * 2, *members], names)
+
+
+def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`other_pairs` of a partition of members (part, variant, fp, tid, root) sorted by (variant, part, fp)."""
+    for columns in _runs(batches):
+        run, (_, _, fp, tid, root) = _numbers(columns), columns
+        begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        for i, j in zip(begin, [*begin[1:], len(run)]):
+            if (root[i:j] != root[i]).any():
+                for pairs in other_pairs(fp[i:j], tid[i:j], root[i:j]):
+                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
@@ -188,38 +227,42 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> Da
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, tid, root): the group of every row; rows are linked by texts of ``least`` similarity or more.
 
-    Equal texts are one node. Of the texts that meet in a bucket each is paired with the smallest near one; pairs are
-    verified on the texts, first one pair for each text, then what is left between the groups found so far. No link is
-    made without that. Texts without a word form one group; a null text is empty.
+    Texts with the same shingles are one node, without a word too; a null text is empty. Nodes that meet in a bucket and
+    are near are pairs, in large buckets a star of them at first. Pairs are verified on the texts: one pair for each node,
+    then every pair whose ends are in different groups so far, with those of the large buckets that the stars left out.
+    So every near pair is either verified itself or already joined by verified ones.
     """
     bits, tables = plan(docs.count())
     prints = materialise(sketches(docs, bits, tables, words), "sketches")
-    nodes = materialise(prints.groupBy("fp").agg(F.min("tid").alias("tid"), F.min_by("sketch", "tid").alias("sketch")), "nodes")
+    nodes = materialise(prints.groupBy("sid").agg(
+        F.min("tid").alias("tid"), F.min("fp").alias("fp"), F.min_by("sketch", "tid").alias("sketch")), "nodes")
     rows = nodes.count() * tables * (bits + 1)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 4_000_000 + 1)
-    spread_ = nodes.select("fp", "sketch").repartition(max(parts // 4, 1), "fp")  # a node becomes hundreds of rows
+    spread_ = nodes.select("fp", "tid", "sketch").repartition(max(parts // 4, 1), "tid")  # a node becomes hundreds of rows
     met = _variants(spread_, bits).repartition(parts, "variant").sortWithinPartitions("variant", "part", "fp")
-    met = met.mapInArrow(_meetings, "a long, b long").distinct()
-    name = nodes.select("fp", "tid")
-    met = met.join(name.select(F.col("fp").alias("a"), F.col("tid").alias("ta")), "a").join(
-        name.select(F.col("fp").alias("b"), F.col("tid").alias("tb")), "b").select("ta", "tb")
-    same = prints.select("fp", F.col("tid").alias("tb")).distinct().join(
-        name.withColumnRenamed("tid", "ta"), "fp").filter("ta <> tb").select("ta", "tb")
-    pairs = materialise(met.unionByName(same).select(
-        F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "pairs")
+    met = materialise(met.mapInArrow(_meetings, "a long, b long, part tinyint, variant long, fp long, tid long"), "met")
+    same = nodes.select("fp", F.col("tid").alias("b")).join(nodes.groupBy("fp").agg(F.min("tid").alias("a")), "fp")
+    pairs = materialise(_pairs(met.filter("a IS NOT NULL").unionByName(same, allowMissingColumns=True)), "pairs")
     first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
     tried = materialise(_verified(first, docs, words, least), "verified")
     links = tried.filter("near").select("a", "b")
     roots = materialise(components(links, "a", "b"), "roots")
-    moved = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
+    members = met.filter("a IS NULL").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select(
+        "part", "variant", "fp", "tid", F.coalesce("root", "tid").alias("root"))
+    more = members.repartition(parts, "variant").sortWithinPartitions("variant", "part", "fp").mapInArrow(_left, "a long, b long")
+    apart = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    moved = moved.select(F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y")).filter("x <> y")
-    moved = moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    rest = materialise(moved.join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    rest = materialise(_pairs(apart.unionByName(more)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(_verified(rest, docs, words, least).filter("near").select("a", "b"))
     roots = components(materialise(links, "links"), "a", "b")
-    named = prints.select("doc_id", "tid").join(roots, prints["tid"] == roots["node"], "left")
-    return named.select("doc_id", "tid", F.coalesce("root", "tid").alias("root"))
+    own = nodes.select("sid", F.col("tid").alias("node")).join(roots, "node", "left").select(
+        "sid", F.coalesce("root", "node").alias("root"))
+    return prints.select("doc_id", "tid", "sid").join(own, "sid").select("doc_id", "tid", "root")
+
+
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:

@@ -113,3 +113,38 @@ def test_near_copies_and_odd_rows(spark, odd, none, skewed):
     kept = [(r["doc_id"], r["text"]) for r in got.collect()]
     assert len(kept) == len({plain(t) for _, t in ODD}) and (5, "one two three four five six") in kept
     assert (1, None) in kept and shinglegroups.keep_one(none).count() == 0
+
+
+def test_no_near_pair_of_a_bucket_is_left_out(monkeypatch):
+    """A member near two that are not near each other keeps both pairs; in a large bucket the second pass finds the other."""
+    one, two = 0, (1 << 32) - 1
+    both = (1 << 16) - 1  # 16 bits from either
+    fp = np.array([one, both, two])
+    assert shinglegroups.bucket_pairs(np.zeros(3, int), fp).tolist() == [[one, both], [both, two]]
+    assert shinglegroups.bucket_pairs(np.zeros(3, int), np.array([0, 1, 3])).tolist() == [[0, 1], [0, 3], [1, 3]]
+    monkeypatch.setattr(shinglegroups, "BLOCK", 70)
+    rng = np.random.default_rng(5)
+    fp = np.sort(rng.integers(0, 1 << 50, 200))
+    root = rng.integers(0, 3, 200)
+    want = {(a, b) for n, a in enumerate(range(200)) for b in range(n + 1, 200)
+            if root[a] != root[b] and int(fp[a] ^ fp[b]).bit_count() <= shinglegroups.FAR}
+    got = [tuple(p) for part in shinglegroups.other_pairs(fp, np.arange(200), root) for p in part.tolist()]
+    assert len(got) == len(set(got)) > 10 and set(got) == want
+
+
+def test_a_chain_of_near_texts_is_one_group(spark, monkeypatch):
+    """Neighbours are alike and their group's first text is not like the rest: the pairs themselves are verified."""
+    rng, rows = random.Random(11), []
+    for _ in range(12):
+        words = [f"w{rng.randrange(9000)}" for _ in range(400)]
+        for step in range(12):
+            rows.append((len(rows), " ".join(words)))
+            for _ in range(4):
+                words[rng.randrange(400)] = f"x{rng.randrange(10**9)}"
+    rng.shuffle(rows)
+    sets, links = near_pairs([t for _, t in rows])
+    number = {s: k for k, s in enumerate(sets)}
+    want = union_find(links, range(len(sets)))
+    kept = shinglegroups.keep_one(frame(spark, rows)).collect()
+    assert len(kept) == len(set(want.values())) == 12
+    assert len({want[number[plain(r["text"])]] for r in kept}) == 12

@@ -70,14 +70,22 @@ def nearest_week_table(scored: DataFrame, limit: int = 30, same_season: bool = F
     if same_season:
         newest = F.max("year").over(Window.partitionBy("fips"))
         tail = tail.withColumn("__y", newest).filter(F.col("year") == F.col("__y")).drop("__y")
-    target = F.explode(F.concat(F.sequence(F.lit(1), F.lit(weeks)), F.array(F.lit(None).cast("int"))))
-    distance = F.when(F.col("target_week").isNull(), -F.col("week_of_season")).otherwise(
-        F.abs(F.col("week_of_season") - F.col("target_week")))
-    values = [c for c in tail.columns if c != "fips"]
-    return (tail.withColumn("target_week", target)
-            .groupBy("fips", "target_week")
-            .agg(F.min_by(F.struct(*values), F.struct(distance, "week_start")).alias("r"))
-            .select("fips", "target_week", "r.*"))
+    # only weeks and dates are compared, once per county; the rows themselves are not aggregated per target
+    county = Window.partitionBy("fips").orderBy(F.desc("week_start"))
+    whole = county.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    targets = F.concat(F.sequence(F.lit(1), F.lit(weeks)), F.array(F.lit(None).cast("int")))
+
+    def nearest(target: Column) -> Column:
+        found = F.array_min(F.transform("__weeks", lambda w: F.struct(
+            F.when(target.isNull(), -w["week_of_season"]).otherwise(F.abs(w["week_of_season"] - target)).alias("d"),
+            w["week_start"].alias("s"), w["__at"].alias("at"))))
+        return F.struct(target.alias("week"), found["at"].alias("at"))
+
+    at = tail.withColumn("__at", F.row_number().over(county)).withColumn(
+        "__weeks", F.collect_list(F.struct("week_of_season", "week_start", "__at")).over(whole))
+    picked = at.withColumn("__picks", F.first(F.when(F.col("__at") == 1, F.transform(targets, nearest))).over(whole))
+    served = picked.withColumn("__pick", F.explode(F.filter("__picks", lambda p: p["at"] == F.col("__at"))))
+    return served.select("fips", F.col("__pick")["week"].alias("target_week"), *[c for c in tail.columns if c != "fips"])
 
 
 def target_week(week: Column, weeks: int = 27) -> Column:

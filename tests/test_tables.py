@@ -315,3 +315,12 @@ def test_later_seasons_are_there(spark, tmp_path):
     assert years == list(range(first, newest + 1)) and newest >= 2002
     for name, column in (("weekly_totals", "week_start"), ("score_week", "week_start"), ("latest_all", "week_start")):
         assert QUERIES[name](spark, sf).agg(F.max(F.col(column))).first()[0][:4] == str(newest), name
+
+
+def test_nearest_week_rows_are_not_aggregated(spark):
+    """Whole rows were sorted once per target; now only weeks and dates are looked at."""
+    scored = weeks(spark, [("1", 2020, w, float(w)) for w in (25, 26, 27)] + [(None, 2021, 4, 1.0)])
+    table = joins.nearest_week_table(scored)
+    assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["fips"], r["target_week"]): r["week_of_season"] for r in table.collect()}
+    assert len(got) == 56 and got["1", 1] == 25 and got["1", None] == 27 and got[None, 27] == 4

@@ -40,6 +40,16 @@ def test_cut_prefers_priority_not_position():
     assert _windows(text, 1000, 200)[0] == "a" * 501 + "."
 
 
+def test_pieces_are_cut_where_the_text_is(spark):
+    """The Python step returns places; characters beyond 16 bits and odd blanks count as Python counts them."""
+    texts = ["\u3000 x\U0001F33D" * 400 + ". " + "y" * 900 + " \x1c", "\u00a0\u2003", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = retrieval.chunk(df)
+    got = [(r["doc_id"], r["text"]) for r in found.orderBy("doc_id", "chunk_index").collect()]
+    assert got == [(i, p) for i, t in enumerate(texts) for p in _windows(t or "", 1000, 200)] and len(got) > 2
+    assert "array<struct" in str(found._jdf.queryExecution().optimizedPlan().toString()) or "begin" in found._jdf.queryExecution().toString()
+
+
 def test_arguments_that_do_not_advance():
     with pytest.raises(ValueError):
         Chunking(size=200, overlap=200)

@@ -21,7 +21,7 @@ _FOLD = bytes.maketrans(_LETTERS[0] + b"\t" + _SPLITS, _LETTERS[1] + b" " + MARK
 _MARKS = re.compile(re.escape(MARK) + b"+")
 FLUSH = 1_000_000  # entries that a task holds before it sends its filters
 PARTS = 32
-SHARD = 1 << 22  # occurrences that a shard of the key space should hold
+SHARD = 1 << 20  # occurrences that a shard of the key space should hold; a task merges one in some 100 bytes each
 
 
 def phrase_words(text: bytes) -> list[bytes]:

@@ -319,7 +319,8 @@ def test_later_seasons_are_there(spark, tmp_path):
 
 def test_nearest_week_rows_are_not_aggregated(spark):
     """Whole rows were sorted once per target; now only weeks and dates are looked at."""
-    scored = weeks(spark, [("1", 2020, w, float(w)) for w in (25, 26, 27)] + [(None, 2021, 4, 1.0)])
+    scored = weeks(spark, [("1", 2020, w, float(w)) for w in (25, 26, 27)] + [("2", 2021, 4, 1.0)])
+    scored = scored.withColumn("fips", F.nullif("fips", F.lit("2")))
     table = joins.nearest_week_table(scored)
     assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["fips"], r["target_week"]): r["week_of_season"] for r in table.collect()}

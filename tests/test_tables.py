@@ -325,3 +325,22 @@ def test_nearest_week_rows_are_not_aggregated(spark):
     assert "Aggregate" not in table._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["fips"], r["target_week"]): r["week_of_season"] for r in table.collect()}
     assert len(got) == 56 and got["1", 1] == 25 and got["1", None] == 27 and got[None, 27] == 4
+
+
+def test_daily_table_is_joined_before_its_days_are_made(spark):
+    """The rows of the join by day, with null and repeated keys; nothing of the grid's size is shuffled."""
+    names = [f"{n}_{s}" for n in grid.INDICATORS for s in ("mean", "std")]
+    rows = [(dt.date(2020, 6, 1), "19001"), (dt.date(2020, 6, 1), "19001"), (dt.date(2021, 10, 31), "19001"), (None, "19001"),
+            (dt.date(2020, 1, 5), "19001"), (dt.date(2020, 5, 1), None), (dt.date(2019, 7, 1), "19003"), (dt.date(2020, 7, 1), "19009")]
+    wide = spark.createDataFrame([(d, f, *[float(k + n) if n % 3 else None for n in range(len(names))]) for k, (d, f) in enumerate(rows)],
+                                 "date date, fips string, " + ", ".join(f"{n} double" for n in names))
+    counties = spark.createDataFrame([("19001", "a"), ("19003", "b"), (None, "c"), ("19005", None)], "fips string, county_name string")
+    want = grid.daily_from_wide(grid.season_grid(counties, 2020, 2021), wide)
+    got = grid.daily_by_season(counties, 2020, 2021, wide)
+    assert got.dtypes == want.dtypes and got.count() == want.count() == 4 * 2 * 184 + 1
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+    made = got.filter("week_of_season > 3").groupBy("fips", "year", "week_of_season").count()
+    plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    days = next(k for k, line in enumerate(plan) if "Generate inline" in line)
+    assert not any("Exchange" in line for line in plan[:days])  # the days are made above the last shuffle

@@ -19,12 +19,22 @@ from furrow.operators.forecast import FEATURES, evaluate, forecast_linear
 from furrow.session import materialise
 
 LABEL = "yield_bu_per_acre"
+ROWS_A_TASK = 250_000
 
 
 def _assembled(df: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
+def _few_parts(table: DataFrame) -> DataFrame:
+    """The table in as many parts as there are cores, more where a part would pass :data:`ROWS_A_TASK`.
+
+    A fit is some hundred short stages, each with a task a part, so the parts must not follow the number of files.
+    """
+    parts = max(table.sparkSession.sparkContext.defaultParallelism, -(-table.count() // ROWS_A_TASK))
+    return table.coalesce(parts) if table.rdd.getNumPartitions() > parts else table
+
+
 def train(training: DataFrame, grid: TreeGrid = TreeGrid(), folds: int = 2,
           features: Sequence[str] = FEATURES, parallel: int = 8) -> tuple[GBTRegressionModel, DataFrame]:
     """Best model of the grid and the fold scores.
@@ -33,7 +43,7 @@ def train(training: DataFrame, grid: TreeGrid = TreeGrid(), folds: int = 2,
     and is scored on that year. The training table is written once, since every
     fit reads it many times. ``parallel`` fits of the grid run side by side: a fit is many short jobs.
     """
-    table = materialise(_assembled(training, features).select("fips", "year", "features", LABEL), "training")
+    table = _few_parts(materialise(_assembled(training, features).select("fips", "year", "features", LABEL), "training"))
     years = [r["year"] for r in table.select("year").distinct().orderBy(F.desc("year")).limit(folds + 1).collect()]
     held_out = years[:-1]
     if not held_out:

@@ -282,6 +282,30 @@ def test_tree_model_and_fallback(spark):
     assert model.importances(fitted, spark).count() == 5
 
 
+def test_fits_have_no_more_parts_than_cores(spark, monkeypatch):
+    from furrow.config import TreeGrid
+
+    parts = []
+
+    class Seen(model.GBTRegressor):
+        def fit(self, dataset):
+            parts.append(dataset.rdd.getNumPartitions())
+            return super().fit(dataset)
+
+    monkeypatch.setattr(model, "GBTRegressor", Seen)
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(str(k), 2000 + k % 3, *(float(k % (n + 2)) for n in range(7)), float(k % 11)) for k in range(120)]
+    names = ", ".join(f"{f} double" for f in model.FEATURES)
+    df = spark.createDataFrame(rows, f"fips string, year int, {names}, yield_bu_per_acre double").repartition(3 * cores)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        model.train(df, TreeGrid(depths=(2,), rates=(0.1,), rounds=(2,)), folds=2)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len(parts) == 3 and max(parts) <= cores
+
+
 def test_quality_checks(spark):
     df = spark.createDataFrame([(day("2024-05-01"), "1", 0.5), (day("2024-05-01"), "1", 1.5), (None, None, None), (None, None, 0.1)],
                                "date date, fips string, ndvi_mean double")

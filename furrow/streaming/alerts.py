@@ -23,7 +23,8 @@ class SilenceWatch(StatefulProcessor):
     """State of one county: its newest closed day, whether its silence was told, and the days not closed yet.
 
     A day is closed once the watermark has reached it, so arrivals out of order within the watermark's delay give the
-    same alerts. The days not closed are at most those of the delay and of one batch.
+    same alerts. The days not closed are at most those of the delay and of one batch. Of these, the earliest alone has
+    a timer: once it fires, all days up to the watermark are closed at once.
     """
 
     def __init__(self, limit_days: int):
@@ -37,11 +38,11 @@ class SilenceWatch(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         known = {r[0] for r in self.pending.get()} if self.pending.exists() else set()
         days = {int(t.timestamp() * 1000) for part in rows for t in part["day"].unique()} - known
-        for day in sorted(days):
-            self.handle.registerTimer(day)
         if days:
+            if not known or min(days) < min(known):
+                self.handle.registerTimer(min(days))
             self.pending.put([(d,) for d in sorted(known | days)])
-        yield pd.DataFrame(columns=["fips", "event", "last_seen", "day"])
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
@@ -64,10 +65,13 @@ class SilenceWatch(StatefulProcessor):
             if last != before and before is not None and before + self.limit + DAY > now:
                 self.handle.deleteTimer(before + self.limit + DAY)
         left = [(d,) for d in days if d > now]
+        if left:
+            self.handle.registerTimer(left[0][0])
         if len(left) < len(days):
             self.pending.put(left) if left else self.pending.clear()
-        yield pd.DataFrame([(key[0], event, _date(a), _date(b)) for event, a, b in out],
-                           columns=["fips", "event", "last_seen", "day"])
+        if out:
+            yield pd.DataFrame([(key[0], event, _date(a), _date(b)) for event, a, b in out],
+                               columns=["fips", "event", "last_seen", "day"])
 
 
 def silence_alerts(stream: DataFrame, limit_days: int = 7, delay: str = "1 day", event_time: str = "ts") -> DataFrame:

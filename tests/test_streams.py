@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from furrow.plans import all_queries
@@ -243,3 +244,68 @@ def test_runs_are_merged_and_one_bucket_answers_a_lookup(spark):
     tiers.add_batch(spark.createDataFrame(part, "k long, seq long, v long"), 23, target, keys, order, 4, 3)
     assert read() == want
     assert tiers.drop_replaced(spark, target) > 0 and read() == want
+
+
+class KeptState:
+    """Value and list state, and the timers, of one county."""
+
+    def __init__(self):
+        self.held, self.timers, self.registered = {}, set(), 0
+
+    def getValueState(self, name, schema):
+        return _Held(self.held, name)
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.registered += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.timers.discard(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+class _Held:
+    def __init__(self, held, name):
+        self.held, self.name = held, name
+
+    def exists(self):
+        return self.name in self.held
+
+    def get(self):
+        return self.held[self.name]
+
+    def put(self, value):
+        self.held[self.name] = value
+
+    update = put
+
+    def clear(self):
+        del self.held[self.name]
+
+
+def test_a_county_has_one_timer_for_all_its_open_days():
+    state = KeptState()
+    watch = alerts.SilenceWatch(2)
+    watch.init(state)
+
+    def arrive(*days):
+        list(watch.handleInputRows(("a",), iter([pd.DataFrame({"day": pd.to_datetime([f"2024-05-{d:02}" for d in days])})]), state))
+
+    def pass_to(day):
+        state.now, told = int(pd.Timestamp(f"2024-05-{day:02}").timestamp() * 1000), []
+        for at in sorted(t for t in state.timers if t <= state.now):
+            state.timers.discard(at)
+            told += [tuple(r) for part in watch.handleExpiredTimer(("a",), state, None) for r in part[["event", "day"]].values]
+        return [(event, day.day) for event, day in told]
+
+    arrive(8, *range(12, 22))
+    assert state.registered == 1
+    arrive(5)  # an earlier day moves the timer
+    assert pass_to(13) == [("silent", 8), ("back", 8), ("silent", 11), ("back", 12)]
+    assert pass_to(18) == [] and pass_to(21) == []
+    assert pass_to(24) == [("silent", 24)]
+    assert state.registered < 10 and not state.timers

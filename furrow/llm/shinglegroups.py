@@ -2,7 +2,7 @@
 
 The meet-in-the-middle of :mod:`simhash` with a radius that reaches a similarity of 0.8: each of several short sketches
 emits all variants within half the radius 2, colliding texts are compared by a further fingerprint of 64 bits, and
-what passes is verified on the shingles themselves.
+the clusters of what passes are verified on the shingles themselves, where their texts lie together.
 """
 
 from __future__ import annotations
@@ -25,6 +25,8 @@ SEED = 42
 FAR = 20  # differing bits of 64 beyond which a pair is not verified: 3.6 standard deviations over those at 0.8
 BLOCK = 1024
 SMALL = 64  # members of a bucket of which all pairs are taken at once
+CELL_ROWS, CELL_BYTES = 1_000, 8_000_000  # texts and bytes of a side of a cell
+SIDES = 24  # up to which a cluster is dealt to smaller sides of SMALL texts, so that many tasks share it
 
 
 def shingles(text: bytes, words: int = WORDS) -> list[bytes]:
@@ -181,56 +183,142 @@ def _numbers(columns: list[np.ndarray]) -> np.ndarray:
     return np.cumsum(np.concatenate(([False], (one[1:] != one[:-1]) | (two[1:] != two[:-1]))))
 
 
-def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) of a partition sorted by (variant, part, fp), and the members (part, variant, fp, tid) of its large runs."""
-    names = ["a", "b", "part", "variant", "fp", "tid"]
-    for columns in _runs(batches):
-        run, (_, _, fp, tid) = _numbers(columns), columns
-        pairs = bucket_pairs(run, fp, tid)
-        if len(pairs):
-            empty = [pa.nulls(len(pairs), kind) for kind in (pa.int8(), *[pa.int64()] * 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *empty], names)
-        large = np.bincount(run)[run] > SMALL
-        if large.any():
-            members = [pa.array(c[large]) for c in columns]
-            yield pa.RecordBatch.from_arrays([*[pa.nulls(len(members[0]), pa.int64())] * 2, *members], names)
-
-
-def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """:func:`other_pairs` of a partition of members (part, variant, fp, tid, root) sorted by (variant, part, fp)."""
+def joined(label: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Labels after the links of ``pairs`` (rows of places): the smallest place reachable; ``label`` is such an array before."""
+    label = label.copy()
+    while True:
+        one, two = label[pairs[:, 0]], label[pairs[:, 1]]
+        apart = one != two
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
+def forest(run: np.ndarray, fp: np.ndarray, root: np.ndarray) -> np.ndarray:
+    """Rows (a, b) of roots: what pairs within :data:`FAR` bits of one run join, as fewer rows than there are roots.
+
+    Arrays are sorted by (run, fp). Runs of one root add nothing and are not compared.
+    """
+    begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    mixed = np.minimum.reduceat(root, begin) != np.maximum.reduceat(root, begin)
+    kept = np.repeat(mixed, np.diff(np.append(begin, len(run))))
+    run, fp = run[kept], fp[kept]
+    names, own = np.unique(root[kept], return_inverse=True)
+    label = joined(np.arange(len(names)), own[bucket_pairs(run, fp, np.arange(len(run)))])
+    for large in np.flatnonzero(np.bincount(run) > SMALL):
+        i, j = np.searchsorted(run, (large, large + 1))
+        now = label[own[i:j]]  # read block by block, so later blocks see what earlier ones joined
+        for pairs in other_pairs(fp[i:j], np.arange(i, j), now):
+            label = joined(label, own[pairs])
+            now[:] = label[own[i:j]]
+    moved = label != np.arange(len(names))
+    return np.stack((names[label[moved]], names[moved]), axis=1)
+
+
+def _joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """:func:`forest` of a partition of (part, variant, fp, root) sorted by (variant, part, fp)."""
     for columns in _runs(batches):
-        run, (_, _, fp, tid, root) = _numbers(columns), columns
-        begin = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        for i, j in zip(begin, [*begin[1:], len(run)]):
-            if (root[i:j] != root[i]).any():
-                for pairs in other_pairs(fp[i:j], tid[i:j], root[i:j]):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+        links = forest(_numbers(columns), *columns[2:])
+        if len(links):
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, words: int, least: float) -> DataFrame:
-    """Rows (a, b, near) of pairs of text hashes, by the exact similarity of the texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("tid")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("tid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(wanted, "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
-    both = pairs.join(texts.select(F.col("tid").alias("a"), F.col("text").alias("one")), "a").join(
-        texts.select(F.col("tid").alias("b"), F.col("text").alias("other")), "b")
+def cell_links(fp: np.ndarray, sketch: np.ndarray, side: np.ndarray, texts: list[bytes], words: int = WORDS,
+               least: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Links (places a < b) with the components of all near pairs of a cell whose texts have the similarity ``least``.
 
+    Near pairs lie within :data:`FAR` bits and share a variant of a sketch, or have one fingerprint. In a cell of two sides pairs
+    of one side are left to that side's own cell. Hashed shingles are counted for all pairs not joined so far; what
+    passes is compared itself.
+    """
+    hashes = [_hashes(t, words) for t in texts]
+    size = np.array([len(h) for h in hashes])
+    ids = np.unique(np.concatenate(hashes), return_inverse=True)[1]
+    ends = np.cumsum(size)
+    shingle = np.split(ids, ends[:-1])
+    mark, label, links = np.zeros(len(ids), bool), np.arange(len(texts)), []
+    cross = (side != side[0]).any()
+    for k in range(1, len(texts)):
+        at = np.flatnonzero((label[:k] != label[k]) & (np.bitwise_count((fp[:k] ^ fp[k]).view(np.uint64)) <= FAR))
+        at = at[np.minimum(size[at], size[k]) / np.maximum(np.maximum(size[at], size[k]), 1) >= least]
+        if cross:
+            at = at[side[at] != side[k]]
+        if len(at):
+            at = at[(np.bitwise_count(sketch[at] ^ sketch[k]) <= 2).any(axis=1) | (fp[at] == fp[k])]
+        if not len(at):
+            continue
+        mark[shingle[k]] = True
+        owner = np.repeat(np.arange(len(at)), size[at])
+        shared = np.bincount(owner[mark[np.concatenate([shingle[x] for x in at])]], minlength=len(at))
+        mark[shingle[k]] = False
+        for x in at[shared / (size[at] + size[k] - shared) >= least].tolist():
+            if label[x] != label[k] and similarity(texts[x], texts[k], words) >= least:
+                links.append((x, k))
+                label[label == label[k]] = label[x]
+    return links
+
+
+def _cells(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Whole cells of a partition sorted by its first ``keys`` columns, one at a time."""
+    waiting: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:keys]])
+        begin = np.flatnonzero(np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        for i, j in zip(begin, [*begin[1:], batch.num_rows]):
+            if waiting and last != tuple(key[:, i]):
+                yield pa.Table.from_batches(waiting)
+                waiting = []
+            waiting.append(batch.slice(i, j - i))
+            last = tuple(key[:, i])
+    if waiting:
+        yield pa.Table.from_batches(waiting)
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Members (root, tid, fp, sketch, text) with the cells (one, two) of their cluster and their own ``side``.
+
+    A cluster of up to :data:`SMALL` texts is one cell. A larger one is dealt to :data:`SIDES` sides or fewer by a hash of the
+    text, to more where a side would pass :data:`CELL_ROWS` texts or :data:`CELL_BYTES`, and each side meets itself and
+    every other in a cell of their own. A text is copied once a side.
+    """
+    n, size = F.count("*"), F.octet_length("text")
+    sides = members.groupBy("root").agg(
+        F.ceil(F.greatest(F.least(n / SMALL, F.lit(float(SIDES))), n / CELL_ROWS, F.sum(size) / CELL_BYTES)).cast("int").alias("sides"))
+    side = F.pmod(F.xxhash64("tid", F.lit(SEED)), F.col("sides")).cast("int")
+    each = members.join(sides, "root").withColumn("side", side).withColumn(
+        "other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    return each.select("root", F.least("side", "other").alias("one"), F.greatest("side", "other").alias("two"), "side",
+                       "tid", "fp", "sketch", "text")
+
+
+def _verified(cells: DataFrame, parts: int, words: int, least: float) -> DataFrame:
+    """Rows (a, b) of text hashes: :func:`cell_links` of every cell, fewer than the cell has texts."""
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            near = [similarity(x.as_py(), y.as_py(), words) >= least for x, y in zip(batch.column("one"), batch.column("other"))]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a"), batch.column("b"), pa.array(near, pa.bool_())], ["a", "b", "near"])
+        for cell in _cells(batches, 3):
+            tid, fp, side = (cell[c].to_numpy() for c in ("tid", "fp", "side"))
+            sketch = cell["sketch"].combine_chunks().flatten().to_numpy().reshape(len(tid), -1)
+            links = cell_links(fp, sketch, side, cell["text"].to_pylist(), words, least)
+            if links:
+                a, b = np.array(links).T
+                yield pa.RecordBatch.from_arrays([pa.array(tid[a]), pa.array(tid[b])], ["a", "b"])
 
-    return both.select("a", "b", "one", "other").mapInArrow(compare, "a long, b long, near boolean")
+    keys = ["root", "one", "two"]
+    return cells.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """Rows (doc_id, tid, root): the group of every row; rows are linked by texts of ``least`` similarity or more.
 
     Texts with the same shingles are one node, without a word too; a null text is empty. Nodes that meet in a bucket and
-    are near are pairs, in large buckets a star of them at first. Pairs are verified on the texts: one pair for each node,
-    then every pair whose ends are in different groups so far, with those of the large buckets that the stars left out.
-    So every near pair is either verified itself or already joined by verified ones.
+    are near lie in one cluster: buckets of equal sketches join nodes first, buckets of variants then join clusters, both
+    by forests, whose rows grow with the nodes and not with their pairs. Each cluster's near pairs are verified on the
+    texts where these lie together, so no row is made for a pair; every near pair is either verified itself or already
+    joined by verified ones.
     """
     bits, tables = plan(docs.count())
     prints = materialise(sketches(docs, bits, tables, words), "sketches")
@@ -238,33 +326,29 @@ def groups(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> Da
         F.min("tid").alias("tid"), F.min("fp").alias("fp"), F.min_by("sketch", "tid").alias("sketch")), "nodes")
     rows = nodes.count() * tables * (bits + 1)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // 4_000_000 + 1)
-    spread_ = nodes.select("fp", "tid", "sketch").repartition(max(parts // 4, 1), "tid")  # a node becomes hundreds of rows
-    met = _variants(spread_, bits).repartition(parts, "variant").sortWithinPartitions("variant", "part", "fp")
-    met = materialise(met.mapInArrow(_meetings, "a long, b long, part tinyint, variant long, fp long, tid long"), "met")
+
+    def meet(buckets: DataFrame) -> DataFrame:
+        dealt = buckets.repartition(parts, "variant").sortWithinPartitions("variant", "part", "fp")
+        return dealt.mapInArrow(_joins, "a long, b long")
+
     same = nodes.select("fp", F.col("tid").alias("b")).join(nodes.groupBy("fp").agg(F.min("tid").alias("a")), "fp")
-    pairs = materialise(_pairs(met.filter("a IS NOT NULL").unionByName(same, allowMissingColumns=True)), "pairs")
-    first = materialise(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
-    tried = materialise(_verified(first, docs, words, least), "verified")
-    links = tried.filter("near").select("a", "b")
-    roots = materialise(components(links, "a", "b"), "roots")
-    members = met.filter("a IS NULL").join(roots.select(F.col("node").alias("tid"), "root"), "tid", "left").select(
-        "part", "variant", "fp", "tid", F.coalesce("root", "tid").alias("root"))
-    more = members.repartition(parts, "variant").sortWithinPartitions("variant", "part", "fp").mapInArrow(_left, "a long, b long")
-    apart = pairs.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
-        roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-    apart = apart.filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
-    rest = materialise(_pairs(apart.unionByName(more)).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(_verified(rest, docs, words, least).filter("near").select("a", "b"))
-    roots = components(materialise(links, "links"), "a", "b")
+    equal = nodes.select("fp", "tid", F.posexplode("sketch").alias("part", "variant")).select(
+        F.col("part").cast("tinyint").alias("part"), "variant", "fp", "tid")
+    links = materialise(meet(equal).unionByName(same.filter("a <> b").select("a", "b")), "equal")
+    roots = components(links, "a", "b").withColumnsRenamed({"node": "tid"})
+    rooted = nodes.join(roots, "tid", "left").select("sid", "fp", F.coalesce("root", "tid").alias("tid"), "sketch")
+    rooted = rooted.repartition(max(parts // 4, 1), "sid")  # a node becomes hundreds of rows
+    clusters = components(materialise(links.unionByName(meet(_variants(rooted, bits))), "met"), "a", "b")
+    members = nodes.select("tid", "fp", "sketch").join(clusters.withColumnsRenamed({"node": "tid"}), "tid")
+    texts = docs.select(F.xxhash64("text").alias("tid"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    texts = texts.join(members.select("tid"), "tid", "left_semi").groupBy("tid").agg(F.first("text").alias("text"))
+    members = materialise(members.join(texts, "tid"), "members")
+    roots = components(_verified(_dealt(members), parts, words, least), "a", "b")
     own = nodes.select("sid", F.col("tid").alias("node")).join(roots, "node", "left").select(
         "sid", F.coalesce("root", "node").alias("root"))
     return prints.select("doc_id", "tid", "sid").join(own, "sid").select("doc_id", "tid", "root")
 
 
-def _pairs(pairs: DataFrame) -> DataFrame:
-    return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def keep_one(docs: DataFrame, words: int = WORDS, least: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each group of :func:`groups`: the one with the smallest doc_id (nulls last).
 

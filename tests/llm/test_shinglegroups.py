@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from furrow.llm import queries, shinglegroups
+from furrow.session import materialise
 
 from .conftest import ODD, frame, union_find
 
@@ -148,3 +149,84 @@ def test_a_chain_of_near_texts_is_one_group(spark, monkeypatch):
     kept = shinglegroups.keep_one(frame(spark, rows)).collect()
     assert len(kept) == len(set(want.values())) == 12
     assert len({want[number[plain(r["text"])]] for r in kept}) == 12
+
+
+def clump(n, seed):
+    """Different texts around one passage: all are near by fingerprint and few are alike, in many small groups."""
+    rng, rows = random.Random(seed), []
+    shared = [f"s{k}" for k in range(80)]
+    while len(rows) < n:
+        own = [f"w{rng.randrange(10**6)}" for _ in range(12)]
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            rows.append((len(rows), " ".join([*shared, *own, f"x{rng.randrange(10**6)}"])))
+            own = own[:-2] + [f"w{rng.randrange(10**6)}" for _ in range(2)]
+    rng.shuffle(rows)
+    return rows
+
+
+def joined_by(links, members):
+    """The sets of members that the links join."""
+    root = union_find([tuple(p) for p in links], members)
+    found = {}
+    for m in members:
+        found.setdefault(root[m], set()).add(m)
+    return sorted(map(sorted, found.values()))
+
+
+def test_a_bucket_gives_no_more_rows_than_members(monkeypatch):
+    """A forest joins what all near pairs of a bucket join, also with roots that are joined before and runs of other sizes."""
+    monkeypatch.setattr(shinglegroups, "BLOCK", 70)
+    rng = np.random.default_rng(8)
+    for sizes, names in (([300], 300), ([30, 1, 64], 95), ([65, 200, 3], 60), ([2], 1), ([500, 40], 540)):
+        run = np.repeat(np.arange(len(sizes)), sizes)
+        fp = np.concatenate([np.sort(rng.integers(0, 1 << 44, n)) for n in sizes])
+        root = rng.integers(0, names, len(run)) * 7 - 50
+        whole = [(root[a], root[b]) for a in range(len(run)) for b in range(a)
+                 if run[a] == run[b] and int(fp[a] ^ fp[b]).bit_count() <= shinglegroups.FAR]
+        links = shinglegroups.forest(run, fp, root)
+        members = sorted(set(root.tolist()))
+        assert len(links) < len(members) and all(a < b for a, b in links.tolist())
+        assert joined_by(links.tolist(), members) == joined_by(whole, members)
+
+
+def test_cells_verify_every_near_pair(monkeypatch):
+    """Links of a cell, of one side or two, join what all its near and similar pairs join."""
+    texts = [t.encode() for _, t in clump(150, 3)]
+    table = np.stack([shinglegroups._sketch(t, 24, 8, 5) for t in texts])
+    fp, sketch = table[:, 0], table[:, 1:]
+    near = [(a, b) for b in range(len(texts)) for a in range(b) if int(fp[a] ^ fp[b]).bit_count() <= shinglegroups.FAR
+            and (np.bitwise_count(sketch[a] ^ sketch[b]) <= 2).any()]
+    good = [p for p in near if shinglegroups.similarity(texts[p[0]], texts[p[1]]) >= 0.8]
+    assert len(near) > 5 * len(good) > 0
+    for side in (np.zeros(len(texts), int), np.arange(len(texts)) % 2):
+        links = shinglegroups.cell_links(fp, sketch, side, texts)
+        want = [p for p in good if not side.any() or side[p[0]] != side[p[1]]]
+        assert len(links) < len(texts) and set(links) <= set(want)
+        assert joined_by(links, range(len(texts))) == joined_by(want, range(len(texts)))
+
+
+def test_a_clump_makes_rows_in_proportion(spark, monkeypatch):
+    """Texts that are near by fingerprint and not alike: rows of links follow the texts, and sides of a cell lose no group."""
+    written = {}
+
+    def count(df, name="table"):
+        out = materialise(df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(shinglegroups, "materialise", count)
+    made = []
+    for n in (100, 400):
+        rows = clump(n, 6)
+        docs = frame(spark, rows).coalesce(1)
+        monkeypatch.setattr(shinglegroups, "CELL_ROWS", 60 if n == 400 else 1000)
+        found = {r["doc_id"]: r["root"] for r in shinglegroups.groups(docs).collect()}
+        made.append(max(written[name] for name in ("equal", "met", "members")))
+        written.clear()
+    assert made[1] < 6 * made[0]
+    sets, links = near_pairs([t for _, t in rows])
+    number = {s: k for k, s in enumerate(sets)}
+    want = union_find(links, range(len(sets)))
+    root = {number[plain(t)]: found[d] for d, t in rows}
+    assert len(set(want.values())) <= len(set(root.values())) < 1.05 * len(set(want.values())) < 0.8 * len(rows)
+    assert len({(want[k], r) for k, r in root.items()}) == len(set(root.values()))  # none joins two true groups
